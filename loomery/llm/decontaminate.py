@@ -106,34 +106,41 @@ def _bit_table(gate: DataFrame, count: int) -> tuple[Column, int]:
 def _candidates(docs: DataFrame, gate: DataFrame, width: int, shortest: int, longest: int) -> DataFrame:
     """Documents in which ``shortest`` gate positions lie within ``longest`` words:
     ``(key, doc_id, shingles, hits)``."""
-    split = docs.select("doc_id", _trimmed(words(F.col("text"))).alias("w"))
-    hashed = split.select("doc_id", _shingles(F.col("w"), width).alias("shingles")).filter(F.size("shingles") > 0)
+    hashed = F.transform(F.transform(F.array(words(F.col("text"))), _trimmed), lambda w: _shingles(w, width))
     gate = gate.filter(F.col("width") == width).select("h").distinct()
     count = gate.count()
+
+    def close(hits: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.size(hits) - shortest)
+        near = F.exists(ends, lambda k: F.get(hits, k + (shortest - 1)) - F.get(hits, k) <= longest - width)
+        return F.when(F.size(hits) >= shortest, near).otherwise(F.lit(False))
+
     if count <= MAX_TABLE_SHINGLES:
         table, bits = _bit_table(gate, count)
 
-        def held(i: Column) -> Column:
-            h = F.get("shingles", i)
+        def held(h: Column) -> Column:
             cell = F.shiftright(h, 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
             return F.getbit(F.get(table, cell), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-        hits = F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), held)
-        found = hashed.select("doc_id", "shingles", hits.alias("hits")).filter(F.size("hits") >= shortest)
-        found = found.withColumn("key", F.monotonically_increasing_id())
-    else:
-        keyed = staged(hashed.withColumn("key", F.monotonically_increasing_id()), "decon-hashed")
-        places = keyed.select("key", F.posexplode("shingles").alias("at", "h")).join(gate, "h", "left_semi")
-        listed = places.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("hits")).filter(F.size("hits") >= shortest)
-        found = keyed.join(listed, "key")
-    ends = F.sequence(F.lit(0), F.size("hits") - shortest)
-    close = F.exists(ends, lambda k: F.get("hits", k + (shortest - 1)) - F.get("hits", k) <= longest - width)
-    return found.filter(close).select("key", "doc_id", "shingles", "hits")
+        def places(shingles: Column) -> Column:
+            at = F.when(F.size(shingles) > 0, F.sequence(F.lit(0), F.size(shingles) - 1)).otherwise(F.array().cast("array<int>"))
+            return F.struct(shingles.alias("shingles"), F.filter(at, lambda i: held(F.get(shingles, i))).alias("hits"))
+
+        # One generator over nested lambdas: every step is evaluated once a row, and no
+        # filter on a derived array can be pushed down and repeat it.
+        kept = F.filter(F.transform(hashed, places), lambda x: close(x["hits"]))
+        found = docs.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.shingles", "x.hits")
+        return found.withColumn("key", F.monotonically_increasing_id())
+    keyed = staged(docs.select("doc_id", F.explode(hashed).alias("shingles")).withColumn("key", F.monotonically_increasing_id()), "decon-hashed")
+    places = keyed.select("key", F.posexplode("shingles").alias("at", "h")).join(gate, "h", "left_semi")
+    listed = staged(places.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("hits")), "decon-hits")
+    return keyed.join(listed.filter(close(F.col("hits"))), "key")
 
 
 def _windows(found: DataFrame, gate: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
     """``(key, doc_id, length, start, shingles)`` of all windows that can reach the similarity."""
-    places = found.select("key", F.posexplode("shingles").alias("at", "h"), "hits").filter(F.array_contains("hits", F.col("at"))).select("key", "at", "h")
+    marks = F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("shingles", i).alias("h")))
+    places = found.select("key", F.explode(marks).alias("m")).select("key", "m.at", "m.h")
     exact = places.join(gate.filter(F.col("width") == width).select("h", "length"), "h")
     runs = exact.groupBy("key", "length").agg(F.sort_array(F.collect_set("at")).alias("at")).join(sizes, "length")
     span = F.col("length") - width  # the last shingle starts this far into the window
