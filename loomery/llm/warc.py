@@ -17,6 +17,7 @@ and no rows; further columns are ignored.
 from __future__ import annotations
 
 import gzip
+import io
 import hashlib
 import re
 import uuid
@@ -209,7 +210,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 with fs.open_input_stream(file, compression=None, buffer_size=1 << 20) as raw:
-                    stream = gzip.GzipFile(fileobj=raw) if file.endswith(".gz") else raw
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if file.endswith(".gz") else raw, 1 << 20)
                     rows, held = [], 0
                     for fields, block in _records(stream):
                         rows.append(_row(fields, block, payloads))
