@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 _SKIPPABLE, _IDS_FRAME, _SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 _CHECKSUMS = 0x80
 _NULL_ID = -(1 << 63)
-_MEMO_WORDS, _MEMO_LONGEST = 400_000, 120
+_MEMO_WORDS, _MEMO_LONGEST = 600_000, 120
+_TEXTS = 64
 
 
 class FrameWriter:
@@ -92,12 +93,15 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class WordMemo:
-    """Encodes a text word by word through the tokenizers library.
+    """Encodes texts word by word through the tokenizers library.
 
     The vocabulary's own splitting never joins across white space and drops
     it, so the ids of a text are those of its pieces between spaces and line
     feeds.  Each distinct piece goes through the library once and is then
-    remembered (up to a bounded number, then the memory starts anew).
+    remembered (up to a bounded number, then the memory starts anew).  Pieces
+    of Latin letters and closing punctuation are split there, as the
+    vocabulary splits them, and their lower-cased letters are encoded many at
+    a time: a letter run is one word, and its last id alone is a word end.
     """
 
     def __init__(self, path: str):
@@ -105,23 +109,69 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.splits = bool(self.ends.any())
+
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> None:
+        """Remember lower-cased letter runs, encoded many to a text."""
+        groups = [runs[k : k + 256] for k in range(0, len(runs), 256)]
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            else:
+                self.known.update(zip(some, self._many(some), strict=True))
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        known, plain, other = self.known, [], []
+        for piece in pieces:
+            core = piece.rstrip(",.!?;:")
+            run = core.lower()
+            if self.splits and run.isalpha() and len(run) == len(core) <= _MEMO_LONGEST and (core.isascii() or max(core) < "\u0250"):
+                plain.append((piece, run, piece[len(core) :]))
+            else:
+                other.append(piece)
+        made = dict(zip(other, self._many(other), strict=True))
+        self._runs(list({run for _, run, _ in plain if run not in known}))
+        tails = list({tail for _, _, tail in plain if tail not in known})
+        known.update(zip(tails, self._many(tails), strict=True))
+        made.update([(piece, known[run] + known[tail] if tail else known[run]) for piece, run, tail in plain])
+        return made
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit."""
+        if len(self.known) > _MEMO_WORDS:
+            self.known = {"": b""}
         known = self.known
-        missing = list({w for w in words if w not in known})
-        extra: dict[str, bytes] = {}
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(known.get, w)) for w in words]
+        gaps = [[k for k, g in enumerate(got) if g is None] for got in found]
+        missing = {own[k] for own, at in zip(words, gaps, strict=True) for k in at}
         if missing:
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, "<u4").tobytes()
-                (known if len(word) <= _MEMO_LONGEST else extra)[word] = ids
-        if extra:
-            out = b"".join([extra[w] if w in extra else known[w] for w in words])
-        else:
-            out = b"".join([known[w] for w in words])
-        if len(known) > _MEMO_WORDS:
-            self.known = {"": b""}
-        return out
+            made = self._learn(list(missing))
+            for own, got, at in zip(words, found, gaps, strict=True):
+                for k in at:
+                    got[k] = made[own[k]]
+            known.update((w, b) for w, b in made.items() if len(w) <= _MEMO_LONGEST)
+        return [b"".join(f) for f in found]
+
+
+_MEMOS: dict[str, WordMemo] = {}
+
+
+def _memo(path: str) -> WordMemo:
+    """A worker's memory, kept from task to task."""
+    if path not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[path] = WordMemo(path)
+    return _MEMOS[path]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,18 +190,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         fs, root = file_system(path)
         name = f"{root}/ids-{part:06d}.zst"
         hidden = f"{root}/_{part:06d}-{context.taskAttemptId()}"
-        memo, end = WordMemo(tokenizer), struct.pack("<I", end_id)
+        memo, end = _memo(tokenizer), struct.pack("<I", end_id)
         writer, stream, tokens = None, None, 0
         for batch in batches:
-            texts = batch.column(1)
-            for doc_id, k in zip(batch.column(0).fill_null(_NULL_ID).to_pylist(), range(len(texts)), strict=True):
-                if writer is None:
-                    fs.create_dir(root, recursive=True)
-                    stream = fs.open_output_stream(hidden)
-                    writer = FrameWriter(stream)
-                payload = memo.encode(texts[k].as_py()) + end
-                tokens += len(payload) // 4
-                writer.add(doc_id, payload)
+            if writer is None and len(batch):
+                fs.create_dir(root, recursive=True)
+                stream = fs.open_output_stream(hidden)
+                writer = FrameWriter(stream)
+            for k in range(0, len(batch), _TEXTS):
+                some = batch.slice(k, _TEXTS)
+                for doc_id, ids in zip(some.column(0).fill_null(_NULL_ID).to_pylist(), memo.encode(some.column(1).to_pylist()), strict=True):
+                    payload = ids + end
+                    tokens += len(payload) // 4
+                    writer.add(doc_id, payload)
         if writer is not None:
             writer.close()
             stream.close()
