@@ -21,12 +21,12 @@ def _modules():
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for module in _modules():
-        out |= module.QUERIES
+        out |= getattr(module, "QUERIES", {})
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for module in _modules():
-        out |= module.ORACLES
+        out |= getattr(module, "ORACLES", {})
     return out
