@@ -47,6 +47,8 @@ from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
 
 SMALL, FIRST_LEADERS, GROWTH = 16, 4, 8
+#: Ids to test are sent to the scan up to this many (16 MB); beyond, texts are shuffled to them.
+BROADCAST_IDS = 1 << 21
 _SLICE = 1 << 14
 _SEEN = 200_000
 
@@ -284,11 +286,14 @@ def ordered_sets(docs: DataFrame, ranks, wanted: DataFrame) -> DataFrame:
                 items = [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(items)), pa.array(items, pa.binary())], names=["doc", "items"])
 
-    return docs.join(wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(run, "doc long, items binary").filter(F.length("items") > 0)
+    small = wanted.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(run, "doc long, items binary").filter(F.length("items") > 0)
 
 
-def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verify(docs: DataFrame, ranks, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, tested with whole sets."""
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    sets = staged(ordered_sets(docs, ranks, staged(wanted, "jaccard-wanted")), "jaccard-sets")
     left = sets.select(F.col("doc").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("items").alias("items_b"))
 
@@ -310,7 +315,9 @@ def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-    return staged(joined.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    links = staged(joined.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    discard(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,10 +335,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     small, large = groups.filter(F.col("f") <= SMALL), groups.filter(F.col("f") > SMALL)
     first = small_pairs(small, percent).unionByName(leader_pairs(large.withColumn("comp", F.col("doc")), 0, FIRST_LEADERS, percent))
     first = staged(first.distinct(), "jaccard-pairs")
-    # Texts are dealt out once, for the sets of all documents that any round may test.
-    wanted = first.select(F.col("a").alias("doc")).unionByName(first.select(F.col("b").alias("doc"))).unionByName(large.select("doc")).distinct()
-    sets = staged(ordered_sets(slim, ranks, wanted), "jaccard-sets")
-    edges = verify(sets, first, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    edges = verify(slim, ranks, first, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     same = rows.filter("sig is not null and doc is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.count("*").alias("size")).filter("size > 1")
     same = staged(same, "jaccard-same")
@@ -352,13 +356,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
         done *= GROWTH
         if not pairs.limit(1).collect():
             continue
-        more = verify(sets, pairs, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        more = verify(slim, ranks, pairs, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         if more.limit(1).collect():
             # The old labels stand for the old edges.
             stars = labels.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
             labels = staged(connected_components(stars.unionByName(more)), "jaccard-labels")
 
     discard(groups)
-    discard(sets)
     named = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
