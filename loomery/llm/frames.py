@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 _SKIPPABLE, _IDS_FRAME, _SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 _CHECKSUMS = 0x80
 _NULL_ID = -(1 << 63)
-_MEMO_WORDS, _MEMO_LONGEST = 600_000, 120
+_MEMO_WORDS, _MEMO_LONGEST = 1_200_000, 120
 _TEXTS = 64
 
 
