@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.shingles import trim
+
 LEAF_CHARS = 4096
 LEAF_IDS = 4096
 
@@ -106,6 +108,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern, leaf)
         for batch in batches:
+            trim()
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 ids = [codec.encode(t.as_py() or "") for t in part.column(1)]
@@ -130,5 +133,6 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
                 coded.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], names=names)
+            trim()
 
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.perfect_hash import Shard, as_words
-from loomery.llm.shingles import buffers
+from loomery.llm.shingles import buffers, trim
 from loomery.operators.skew import HOT_SHARE
 from loomery.sources.staging import staged
 
@@ -48,6 +48,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "row", "digest"],
         )
         row += len(found)
+        trim()
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

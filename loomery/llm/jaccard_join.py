@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.shingles import buffers, chunks, shingle_sets
+from loomery.llm.shingles import buffers, chunks, shingle_sets, trim
 from loomery.operators.skew import join_back
 from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
@@ -77,6 +77,7 @@ def _sets(batch_texts: pa.Array):
     for low, high in chunks(offsets):
         values, at = shingle_sets(offsets[low : high + 1] - offsets[low], data[offsets[low] : offsets[high]])
         yield low, at, values
+    trim()
 
 
 def _signature(values: np.ndarray) -> bytes:

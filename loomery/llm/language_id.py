@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.shingles import buffers, chunks, mix
+from loomery.llm.shingles import buffers, chunks, mix, trim
 
 WIDTH = 5
 SAMPLE_TEXTS = 1500
@@ -133,6 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 keyed, n = np.unique((grams[new] << np.uint64(6)) | tongue[low:high][row[new]].astype(np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keyed.view(np.int64)), pa.array(n)], names=["keyed", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(languages))), pa.array(np.bincount(tongue[low:high], minlength=len(languages)))], names=["keyed", "n"])
+            trim()
 
     totals = picked.mapInArrow(count, "keyed long, n long").groupBy("keyed").agg(F.sum("n").alias("n"))
     # 64 languages and 40-bit n-grams share a key of 46 bits; negative keys count texts.
@@ -166,5 +167,6 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", id_
                     best, score, ok = np.zeros(high - low, int), np.zeros(high - low), np.zeros(high - low, bool)
                 names = [model.languages[b] if good else UNKNOWN for b, good in zip(best, ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+            trim()
 
     return slim.mapInArrow(predict, "doc_id long, lang_pred string, score double")

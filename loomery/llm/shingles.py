@@ -10,13 +10,15 @@ polynomial over the word values.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
 #: Texts are taken this many bytes at a time (one longer text is taken alone),
 #: which bounds a worker's scratch memory to some 15 times as much.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -28,6 +30,15 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are kept between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every output bit depends on all input bits."""
     x = x ^ (x >> np.uint64(30))
