@@ -1 +1 @@
-
+"""Column functions: stable hashes and placements."""

@@ -1 +1 @@
-
+"""Structured Streaming operators; each has a batch twin."""
