@@ -15,7 +15,8 @@ The plan, each step over all rows and none gathering a group:
    pairs inside one component are skipped.  Only connectivity is asked for, so
    a group of thousands of near copies costs a few pairs a member, and every
    pair is either tested, bounded out, or already connected.
-4. Pairs are verified with whole sets: the sets to test against one probe form
+4. Pairs whose parity bits show that they cannot share enough are left out
+   (the bound is exact); the others are verified with whole sets: the sets to test against one probe form
    a prefix tree in the global order, walked depth first with the overlap of
    shared prefixes carried over and subtrees left as soon as the
    remaining lengths cannot reach the required overlap.
@@ -277,26 +278,63 @@ class PrefixTree:
         return out
 
 
-def ordered_sets(docs: DataFrame, ranks, wanted: DataFrame) -> DataFrame:
-    """``(doc, items)``: the whole sets, in the global order, of the ids in ``wanted``."""
+def parity_bits(values: np.ndarray) -> bytes:
+    """A bit for each of about as many buckets as values: whether an odd number of values falls there."""
+    size = max(1 << max(len(values) - 1, 1).bit_length(), 512)
+    odd = np.bincount((values >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
+    """The most two sets can share: each bucket of odd difference holds a value of one set alone."""
+    x, y = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``doc`` is in ``ids``, which are sent to them if few."""
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), "doc", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return staged(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "jaccard-ends")
+
+
+def ordered_sets(docs: DataFrame, ranks) -> DataFrame:
+    """``(doc, n, bits, items)``: the whole sets in the global order, and their parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, at, values in _sets(batch.column(1)):
                 values, _ = _ordered(at, values, ranks.value)
-                items = [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(items)), pa.array(items, pa.binary())], names=["doc", "items"])
+                own = [values[at[i] : at[i + 1]] for i in range(len(at) - 1)]
+                columns = [pa.array(np.diff(at)), pa.array([parity_bits(v) for v in own], pa.binary()), pa.array([v.tobytes() for v in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(own)), *columns], names=["doc", "n", "bits", "items"])
 
-    small = wanted.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc", "left_semi").mapInArrow(run, "doc long, items binary").filter(F.length("items") > 0)
+    return docs.mapInArrow(run, "doc long, n long, bits binary, items binary").filter("n > 0")
 
 
 def verify(docs: DataFrame, ranks, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, tested with whole sets."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = staged(ordered_sets(docs, ranks, staged(wanted, "jaccard-wanted")), "jaccard-sets")
-    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("items_b"))
+    """The pairs that link: those whose parity bits allow it, tested with whole sets."""
+    sets = staged(ordered_sets(_among(docs, _ends(pairs)), ranks), "jaccard-sets")
+
+    def sides(rows: DataFrame, *columns: str) -> list[DataFrame]:
+        return [rows.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in ("a", "b")]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [overlap_bound(n, x, m, y) >= needed_overlap(n + m, percent) for n, x, m, y in zip(*[batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sides(sets, "n", "bits")
+    close = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = staged(close.mapInArrow(bound, "a long, b long").distinct(), "jaccard-close")
+    left, right = sides(_among(sets, _ends(pairs)), "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,9 +385,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
 
     done = FIRST_LEADERS
     while True:
+        large = large.filter(F.col("f") > done)  # smaller groups are tested in full
         named = large.drop("comp").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left")
         named = named.withColumn("comp", F.coalesce("comp", "doc"))
-        open_ = named.filter(F.col("f") > done).groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h")
+        open_ = named.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h")
         large = staged(named.join(open_, "h", "left_semi"), "jaccard-open")
         if not large.limit(1).collect():
             break

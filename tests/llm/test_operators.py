@@ -503,3 +503,15 @@ def test_warc_reader_takes_plain_files_and_refuses_damage(spark, tmp_path):
     (tmp_path / "w" / "a.warc").write_bytes(one[:-12])
     with pytest.raises(Exception, match="ends early"):
         warc.read_archives(spark, str(tmp_path / "w")).collect()
+
+
+def test_parity_bits_never_understate_the_overlap():
+    rng = np.random.default_rng(15)
+    for _ in range(300):
+        common = rng.integers(0, 1 << 63, rng.integers(0, 900), dtype=np.uint64)
+        a = np.unique(np.concatenate([common, rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([common, rng.integers(0, 1 << 63, rng.integers(1, 3000), dtype=np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        assert jaccard_join.overlap_bound(len(a), jaccard_join.parity_bits(a), len(b), jaccard_join.parity_bits(b)) >= shared
+    far = [np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)) for _ in range(2)]
+    assert jaccard_join.overlap_bound(500, jaccard_join.parity_bits(far[0]), 500, jaccard_join.parity_bits(far[1])) < jaccard_join.needed_overlap(1000, 80)
