@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomery.llm import bpe, chat, decontaminate, exact_dedup, frames, jaccard_join, language_id, secrets, sharding, warc
+from loomery.llm import bpe, chat, decontaminate, exact_dedup, frames, jaccard_join, language_id, oracles, secrets, sharding, warc
 from loomery.sources.staging import new_path, staged
 
 
@@ -105,4 +105,6 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc, op2_exact_dedup, op3_sharding, op4_token_files, op5_chat, op6_decontaminate, op7_byte_bpe, op8_language_id, op9_secrets, op10_jaccard_join)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": oracles.WARC, "op2_exact_dedup": oracles.DEDUP, "op3_sharding": oracles.SHARDING, "op5_chat": oracles.CHAT, "op10_jaccard_join": oracles.JACCARD,
+}
