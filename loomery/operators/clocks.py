@@ -69,16 +69,22 @@ FLOW = {
     "ringbuffer": Op("SELECT k, LIST(seq) AS kept FROM (SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS back FROM {ev}) x WHERE back <= {capacity} GROUP BY k", {"capacity": 4}),
     "slidingwindowrate": Op("SELECT k, TOTAL(CASE WHEN r <= {limit} THEN 1 ELSE 0 END) AS admitted, TOTAL(CASE WHEN r > {limit} THEN 1 ELSE 0 END) AS refused FROM (SELECT k, row_number() OVER (PARTITION BY k, INT(t / {window}e0) ORDER BY seq) AS r FROM {ev}) x GROUP BY k", {"limit": 2, "window": 86400}),
     "tenantquota": Op("SELECT k, TOTAL(v) AS used, min(CASE WHEN p * 100 >= {budget} * 50 THEN seq END) AS warned_at_50, min(CASE WHEN p * 100 >= {budget} * 95 THEN seq END) AS warned_at_95, greatest(CAST(0 AS BIGINT), TOTAL(v) - {budget}) AS overage FROM (SELECT k, v, seq, CAST(sum(v) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS p FROM {ev}) x GROUP BY k", {"budget": 2000}),
-    "drr": Op("SELECT kind, count(*) AS items, CAST(ceil(TOTAL(v + 1) / {quantum}e0) AS BIGINT) AS rounds_at_least, TOTAL(v + 1) AS bytes FROM {ev} GROUP BY kind", {"quantum": 200}),
     "maxminfair": Op("SELECT k, demand, least(demand, level) AS share FROM (SELECT k, demand, max(CASE WHEN fits THEN NULL ELSE fair END) OVER () AS lv, coalesce(min(CASE WHEN NOT fits THEN fair END) OVER (), max(demand) OVER ()) AS level FROM (SELECT k, demand, INT(({capacity} - before) / CAST(n - r + 1 AS DOUBLE)) AS fair, demand <= INT(({capacity} - before) / CAST(n - r + 1 AS DOUBLE)) AS fits FROM (SELECT k, demand, row_number() OVER (ORDER BY demand, k) AS r, count(*) OVER () AS n, CAST(coalesce(sum(demand) OVER (ORDER BY demand, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT k, TOTAL(v) AS demand FROM {ev} GROUP BY k) a) b) c) d", {"capacity": 20000}),
     # Load of a retry storm after each round, without and with a retry budget.
     "retrystorm": Op(
-        """SELECT n AS round_no, INT({base} * (1 - power({fail}, n + 1)) / (1 - {fail})) AS naive_bound, {base} + INT({base} * {share}) AS budgeted FROM """ + _N + " x",
+        """SELECT n AS round_no, aggregate(sequence(CAST(1 AS BIGINT), n), CAST({base} AS BIGINT), (s, i) -> {base} + CAST(floor(s * {fail}) AS BIGINT)) AS naive,
+           aggregate(sequence(CAST(1 AS BIGINT), n), CAST({base} AS BIGINT), (s, i) -> {base} + least(CAST(floor(s * {fail}) AS BIGINT), CAST(floor({base} * {share}) AS BIGINT))) AS budgeted FROM """ + _N + " x",
         {"n": 10, "base": 1000, "fail": "8e-1", "share": "1e-1"},
+        """SELECT n AS round_no, list_reduce(generate_series(1, n), lambda s, i: {base} + CAST(floor(s * {fail}) AS BIGINT), CAST({base} AS BIGINT)) AS naive,
+           list_reduce(generate_series(1, n), lambda s, i: {base} + least(CAST(floor(s * {fail}) AS BIGINT), CAST(floor({base} * {share}) AS BIGINT)), CAST({base} AS BIGINT)) AS budgeted FROM """ + _N + " x",
     ),
-    "smoothwrr": Op("SELECT kind, w, total, CAST(round(1000e0 * w / total) AS BIGINT) AS picks_per_1000 FROM (SELECT kind, count(*) AS w, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM {ev} GROUP BY kind) x"),
-    "backpressure": Op("SELECT day, n, greatest(CAST(0 AS BIGINT), n - {capacity}) AS stalled FROM (SELECT INT(t / 86400e0) AS day, count(*) AS n FROM {ev} GROUP BY 1) x", {"capacity": 300}),
-    "tinylfu": Op("SELECT k, item, n, r <= {capacity} AS resident FROM (SELECT k, v % 9 AS item, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, v % 9) AS r FROM {ev} GROUP BY k, v % 9) x", {"capacity": 3}),
+    # Smooth weighted round robin over three servers: the pick of each turn.
+    "smoothwrr": Op(
+        """SELECT n AS turn, (aggregate(sequence(CAST(1 AS BIGINT), n), named_struct('a', CAST(0 AS BIGINT), 'b', CAST(0 AS BIGINT), 'c', CAST(0 AS BIGINT), 'p', 'x'), (s, i) -> CASE WHEN s.a + {wa} >= s.b + {wb} AND s.a + {wa} >= s.c + {wc} THEN named_struct('a', s.a - {wb} - {wc}, 'b', s.b + {wb}, 'c', s.c + {wc}, 'p', 'a') WHEN s.b + {wb} >= s.c + {wc} THEN named_struct('a', s.a + {wa}, 'b', s.b - {wa} - {wc}, 'c', s.c + {wc}, 'p', 'b') ELSE named_struct('a', s.a + {wa}, 'b', s.b + {wb}, 'c', s.c - {wa} - {wb}, 'p', 'c') END)).p AS picked FROM """ + _N + " x",
+        {"n": 24, "wa": 5, "wb": 2, "wc": 1},
+        """SELECT n AS turn, (list_reduce(generate_series(1, n), lambda s, i: CASE WHEN s.a + {wa} >= s.b + {wb} AND s.a + {wa} >= s.c + {wc} THEN {'a': s.a - {wb} - {wc}, 'b': s.b + {wb}, 'c': s.c + {wc}, 'p': 'a'} WHEN s.b + {wb} >= s.c + {wc} THEN {'a': s.a + {wa}, 'b': s.b - {wa} - {wc}, 'c': s.c + {wc}, 'p': 'b'} ELSE {'a': s.a + {wa}, 'b': s.b + {wb}, 'c': s.c - {wa} - {wb}, 'p': 'c'} END, {'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'c': CAST(0 AS BIGINT), 'p': 'x'})).p AS picked FROM """ + _N + " x",
+    ),
+
 }
 
 COORDINATION = {
@@ -87,9 +93,19 @@ COORDINATION = {
     "bully": Op("SELECT kind, max(CASE WHEN alive THEN k END) AS leader, count(*) AS nodes FROM (SELECT kind, k, max_by(ok, seq) AND max(v) > 30 AS alive FROM {ev} GROUP BY kind, k) x GROUP BY kind"),
     "causaldelivery": Op("SELECT k, TOTAL(CASE WHEN need < have THEN 1 ELSE 0 END) AS deliverable, TOTAL(CASE WHEN need >= have THEN 1 ELSE 0 END) AS pending FROM (SELECT k, v % 8 AS need, row_number() OVER (PARTITION BY k ORDER BY seq) AS have FROM {ev}) x GROUP BY k"),
     "chandylamport": Op("SELECT k, TOTAL(CASE WHEN seq < m THEN v ELSE 0 END) AS local_state, TOTAL(CASE WHEN seq >= m AND seq < m + 100 AND kind = 'view' THEN 1 ELSE 0 END) AS in_flight FROM (SELECT k, seq, v, kind, min(CASE WHEN kind = 'signup' THEN seq END) OVER (PARTITION BY k) AS m FROM {ev}) x WHERE m IS NOT NULL GROUP BY k"),
-    "gossip": Op("SELECT n AS round_no, least(CAST({size} AS DOUBLE), power(1e0 + {fanout}, n)) AS most_covered FROM " + _N + " x", {"n": 10, "size": 1000, "fanout": 2}),
+    # Pushes to peers drawn by a stable hash: who is covered after each round.
+    "gossip": Op(
+        """SELECT n AS round_no, CAST(size(aggregate(sequence(CAST(1 AS BIGINT), n), array(CAST(0 AS BIGINT)), (s, i) -> array_distinct(concat(s, transform(s, e -> (e * 7919 + i * 104729 + 13) % {size}), transform(s, e -> (e * 6101 + i * 15485863 + 7) % {size}))))) AS BIGINT) AS covered FROM """ + _N + " x",
+        {"n": 9, "size": 200},
+        """SELECT n AS round_no, CAST(len(list_reduce(generate_series(1, n), lambda s, i: list_distinct(list_concat(s, list_concat(list_transform(s, lambda e: (e * 7919 + i * 104729 + 13) % {size}), list_transform(s, lambda e: (e * 6101 + i * 15485863 + 7) % {size})))), [CAST(0 AS BIGINT)])) AS BIGINT) AS covered FROM """ + _N + " x",
+    ),
     "mvcc": Op("SELECT k, max_by(CASE WHEN seq <= {snapshot} THEN v END, CASE WHEN seq <= {snapshot} THEN seq ELSE -1 END) AS seen, greatest(CAST(0 AS BIGINT), TOTAL(CASE WHEN seq <= {horizon} THEN 1 ELSE 0 END) - 1) AS collectable FROM {ev} GROUP BY k HAVING min(seq) <= {snapshot}", {"snapshot": 600, "horizon": 300}),
-    "phiaccrual": Op("SELECT k, round(avg(gap), 4) AS mean_gap, round(stddev_pop(gap), 4) AS deviation, round(((SELECT max(t) FROM {ev}) - max(t) - avg(gap)) / greatest(stddev_pop(gap), 1e0), 5) AS z FROM (SELECT k, t, t - lag(t) OVER (PARTITION BY k ORDER BY seq) AS gap FROM {ev}) x GROUP BY k HAVING count(gap) > 1"),
+    # Tail of the normal distribution by a rational approximation (absolute error below 2e-7), at least 1e-12.
+    "phiaccrual": Op(
+        """SELECT k, round(z, 6) AS z, round(-log10(greatest(1e-12, CASE WHEN z >= 0 THEN q ELSE 1 - q END)), 5) AS phi, -log10(greatest(1e-12, CASE WHEN z >= 0 THEN q ELSE 1 - q END)) > {threshold} AS suspect FROM (SELECT k, z, 5e-1 * w * (0.254829592e0 + w * (-0.284496736e0 + w * (1.421413741e0 + w * (-1.453152027e0 + w * 1.061405429e0)))) * exp(-z * z / 2) AS q FROM
+           (SELECT k, z, 1 / (1 + 0.3275911e0 * abs(z) / sqrt(2e0)) AS w FROM (SELECT k, ((SELECT max(t) FROM {ev}) - max(t) - avg(gap)) / greatest(stddev_pop(gap), 1e0) AS z FROM (SELECT k, t, t - lag(t) OVER (PARTITION BY k ORDER BY seq) AS gap FROM {ev}) x GROUP BY k HAVING count(gap) > 1) y) v) u""",
+        {"threshold": 3},
+    ),
     "priorityinherit": Op("SELECT k, max(v) AS effective_priority, max_by(v, seq) AS own_priority, max(v) > max_by(v, seq) AS inherited FROM {ev} GROUP BY k"),
     "quorumwrite": Op("SELECT k, max(CASE WHEN r = {w} THEN v END) AS latency, {r} + {w} > {n} AS overlaps FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS r FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) a WHERE i <= {n}) b GROUP BY k", {"n": 5, "w": 3, "r": 3}),
     "raftcommit": Op("SELECT max(pos) AS commit_index FROM (SELECT a.pos AS pos FROM (SELECT kind, max(seq) AS pos FROM {ev} GROUP BY kind) a JOIN (SELECT kind, max(seq) AS pos FROM {ev} GROUP BY kind) b ON b.pos >= a.pos GROUP BY a.pos HAVING count(*) * 2 > 5) x"),

@@ -589,3 +589,53 @@ def two_choice(bins: int = 8) -> Fold:
         {"a": f"CAST(x.v % {bins} + 1 AS INT)", "b": f"CAST((x.seq * 31 + 7) % {bins} + 1 AS INT)", "at": "CASE WHEN element_at(s.l, $a) <= element_at(s.l, $b) THEN $a ELSE $b END"},
         ARRAYS,
     )
+
+
+def bounded_line(capacity: int = 3) -> Fold:
+    """Three stages joined by bounded channels; the sink takes only on ``ok`` rows, and a full channel stalls what is before it."""
+    return Fold(
+        {
+            "a": (N, "0", "CASE WHEN $room_a THEN $left_a + 1 ELSE $left_a END"),
+            "b": (N, "0", "$left_b + CASE WHEN $move THEN 1 ELSE 0 END"),
+            "out": (N, "0", "s.out + s.b - $left_b"),
+            "stall": (N, "0", "s.stall + CASE WHEN $room_a THEN 0 ELSE 1 END"),
+        },
+        {"delivered": (N, "s.out"), "stalled_ticks": (N, "s.stall"), "waiting": (N, "s.a + s.b")},
+        {"left_b": "CASE WHEN x.ok AND s.b > 0 THEN s.b - 1 ELSE s.b END", "move": f"s.a > 0 AND $left_b < {capacity}", "left_a": "CASE WHEN $move THEN s.a - 1 ELSE s.a END", "room_a": f"$left_a < {capacity}"},
+    )
+
+
+def tiny_lfu(capacity: int = 3, ids: int = 7) -> Fold:
+    """A cache whose newcomer must have been asked for more often than the least recent entry it would replace."""
+    zeros = ", ".join("0" for _ in range(ids))
+    return Fold(
+        {
+            "f": ("ARRAY<BIGINT>", f"array({zeros})", "$f"),
+            "keys": ("ARRAY<BIGINT>", "array()", f"CASE WHEN $hit THEN array_append(filter(s.keys, e -> e <> $id), $id) WHEN size(s.keys) < {capacity} THEN array_append(s.keys, $id) WHEN element_at($f, CAST($id AS INT)) > element_at($f, CAST(element_at(s.keys, 1) AS INT)) THEN array_append(filter(s.keys, e -> e <> element_at(s.keys, 1)), $id) ELSE s.keys END"),
+            "hits": (N, "0", "s.hits + CASE WHEN $hit THEN 1 ELSE 0 END"),
+        },
+        {"hits": (N, "s.hits"), "cached": (N, "size(s.keys)")},
+        {"id": f"x.v % {ids} + 1", "hit": "array_contains(s.keys, $id)", "f": f"transform(sequence(1, {ids}), g -> element_at(s.f, CAST(g AS INT)) + CASE WHEN g = $id THEN 1 ELSE 0 END)"},
+        {**ARRAYS, "g ->": "lambda g:"},
+    )
+
+
+def deficit_round(quantum: int = 60) -> Fold:
+    """A flow's items of size ``v + 1`` in order: the rounds needed when each adds a quantum and unspent credit carries over."""
+    _need(quantum > 0, "the quantum must be positive")
+    return Fold(
+        {"d": (N, "0", "s.d + $more * " + str(quantum) + " - (x.v + 1)"), "r": (N, "0", "s.r + $more"), "bytes": (N, "0", "s.bytes + x.v + 1")},
+        {"rounds": (N, "s.r"), "bytes": (N, "s.bytes"), "credit_left": (N, "s.d")},
+        {"more": f"CAST(ceil(greatest(0, x.v + 1 - s.d) / {quantum}e0) AS BIGINT)"},
+    )
+
+
+def job_slots(slots: int = 6) -> Fold:
+    """Jobs by falling profit ``v``, deadline ``seq % slots + 1``: each takes the latest free slot before its deadline."""
+    zeros = ", ".join("0" for _ in range(slots))
+    return Fold(
+        {"used": ("ARRAY<BIGINT>", f"array({zeros})", f"transform(sequence(1, {slots}), g -> CASE WHEN g = $slot THEN 1 ELSE element_at(s.used, CAST(g AS INT)) END)"), "p": (N, "0", "s.p + CASE WHEN $slot > 0 THEN x.v ELSE 0 END"), "n": (N, "0", "s.n + CASE WHEN $slot > 0 THEN 1 ELSE 0 END")},
+        {"profit": (N, "s.p"), "jobs": (N, "s.n")},
+        {"slot": f"coalesce(array_max(filter(sequence(1, {slots}), e -> e <= x.seq % {slots} + 1 AND element_at(s.used, CAST(e AS INT)) = 0)), 0)"},
+        {**ARRAYS, "g ->": "lambda g:"},
+    )

@@ -79,7 +79,15 @@ ORDERING = {
         {},
         "SELECT k, CAST(len(list_reduce(list(v ORDER BY seq), lambda a, x: list_concat(list_filter(a, lambda e: e < x), list_concat([x], list_filter(a, lambda e: e >= x)[2:])), CAST([] AS BIGINT[]))) AS BIGINT) AS longest FROM {ev} GROUP BY k",
     ),
-    "nextpermutation": Op("SELECT k, max(i) AS pivot FROM (SELECT k, i, v, lead(v) OVER (PARTITION BY k ORDER BY i) AS nv FROM " + _RANKED + " a) b WHERE v < nv GROUP BY k"),
+    "nextpermutation": Op(
+        """SELECT k, JOINED(transform(CASE WHEN i = 0 THEN reverse(a) ELSE concat(slice(a, 1, i - 1), array(a[j - 1]), reverse(transform(sequence(i + 1, size(a)), x -> CASE WHEN x = j THEN a[i - 1] ELSE a[x - 1] END))) END, x -> TEXT(x)), ',') AS following FROM
+           (SELECT k, a, i, CASE WHEN i = 0 THEN 0 ELSE array_max(filter(sequence(i + 1, size(a)), x -> a[x - 1] > a[i - 1])) END AS j FROM (SELECT k, a, coalesce(array_max(filter(sequence(1, size(a) - 1), x -> a[x - 1] < a[x])), 0) AS i FROM
+           (SELECT k, transform(array_sort(collect_list(named_struct('s', seq, 'v', v % 9))), e -> e.v) AS a FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 8 GROUP BY k HAVING count(*) > 1) b) c) d""",
+        {},
+        """SELECT k, array_to_string(CASE WHEN i = 0 THEN list_reverse(a) ELSE list_concat(a[1:i - 1], list_concat([a[j]], list_reverse(list_transform(generate_series(i + 1, len(a)), lambda x: CASE WHEN x = j THEN a[i] ELSE a[x] END)))) END, ',') AS following FROM
+           (SELECT k, a, i, CASE WHEN i = 0 THEN 0 ELSE list_max(list_filter(generate_series(i + 1, len(a)), lambda x: a[x] > a[i])) END AS j FROM (SELECT k, a, coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda x: a[x] < a[x + 1])), 0) AS i FROM
+           (SELECT k, list(v % 9 ORDER BY seq) AS a FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 8 GROUP BY k HAVING count(*) > 1) b) c) d""",
+    ),
     "resequencer": Op("SELECT k, max(CASE WHEN seen = seq_in THEN seq_in ELSE 0 END) AS contiguous, count(*) AS offered FROM (SELECT k, r AS seq_in, count(*) OVER (PARTITION BY k ORDER BY r) AS seen FROM (SELECT DISTINCT k, v % 30 + 1 AS r FROM {ev}) x) y GROUP BY k"),
     "skewmeter": Op("SELECT k, max(CASE WHEN r = CAST(ceil(n * 0.9e0) AS BIGINT) THEN d END) AS p90, round(100 * avg(CASE WHEN d > {bound} THEN 1e0 ELSE 0e0 END), 4) AS refused_share FROM (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d, seq) AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT k, seq, (seq * 7919 % 97) * 60 AS d FROM {ev}) x) y GROUP BY k", {"bound": 3000}),
 }

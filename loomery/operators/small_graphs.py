@@ -262,3 +262,33 @@ class RollbackSets:
                 a, b = step
                 self.parent[b] = b
                 self.size[a] -= self.size[b]
+
+
+def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of the convex hull, counter-clockwise from the least point; points on an edge are left out."""
+
+    def chain(run: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for p in run:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    run = sorted(set(points))
+    return run if len(run) < 2 else chain(run) + chain(run[::-1])
+
+
+def alias_table(weights: list[float]) -> list[tuple[float, int]]:
+    """For each column the share it keeps and the column that takes the rest: constant-time weighted draws."""
+    n, total = len(weights), sum(weights)
+    scaled = [w * n / total for w in weights]
+    short, long = [i for i, w in enumerate(scaled) if w < 1], [i for i, w in enumerate(scaled) if w >= 1]
+    out = [(1.0, i) for i in range(n)]
+    while short and long:
+        i, j = short.pop(), long[-1]
+        out[i] = (scaled[i], j)
+        scaled[j] -= 1 - scaled[i]
+        if scaled[j] < 1:
+            short.append(long.pop())
+    return out

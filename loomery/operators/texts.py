@@ -21,8 +21,14 @@ STRINGS = {
     "deltaencode": Op("SELECT k, count(*) AS n, TOTAL(CASE WHEN d < 128 THEN 1 WHEN d < 16384 THEN 2 WHEN d < 2097152 THEN 3 WHEN d < 268435456 THEN 4 ELSE 5 END) AS encoded_bytes, count(*) * 8 AS raw_bytes FROM (SELECT k, t - lag(t, 1, t) OVER (PARTITION BY k ORDER BY t, seq) AS d FROM {ev}) x GROUP BY k"),
     "editdistance": Op("SELECT a.s AS a, b.s AS b, CAST(levenshtein(a.s, b.s) AS BIGINT) AS distance FROM " + _WORDS + " a JOIN " + _WORDS + " b ON a.s < b.s"),
     "gray": Op("SELECT n, XOR(n, RSHIFT(n, 1)) AS code FROM " + _N + " x", {"n": 256}),
-    "lcpkasai": Op("SELECT item_id, max(CASE WHEN p > 0 THEN p ELSE 0 END) AS longest_repeat FROM (SELECT item_id, CASE WHEN substring(suffix, 1, 6) = substring(before, 1, 6) THEN 6 WHEN substring(suffix, 1, 4) = substring(before, 1, 4) THEN 4 WHEN substring(suffix, 1, 2) = substring(before, 1, 2) THEN 2 ELSE 0 END AS p FROM (SELECT item_id, suffix, lag(suffix) OVER (PARTITION BY item_id ORDER BY suffix) AS before FROM (SELECT item_id, substring(s, CAST(i AS INT), 1000) AS suffix FROM " + _AT + " a) b) c) d GROUP BY item_id"),
-    "suffixarray": Op("SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY SHA(suffix), i) AS place FROM (SELECT item_id, i, substring(s, CAST(i AS INT), 8) AS suffix FROM " + _AT + " a) b"),
+    "lcpkasai": Op(
+        """SELECT item_id, max(coalesce(array_max(filter(sequence(1, least(length(suffix), length(before))), n -> substring(suffix, 1, n) = substring(before, 1, n))), 0)) AS longest_repeat FROM
+           (SELECT item_id, suffix, lag(suffix) OVER (PARTITION BY item_id ORDER BY suffix) AS before FROM (SELECT item_id, substring(s, CAST(i AS INT), 10000) AS suffix FROM """ + _AT + """ a) b) c WHERE before IS NOT NULL GROUP BY item_id""",
+        {},
+        """SELECT item_id, CAST(max(coalesce(list_max(list_filter(generate_series(1, least(length(suffix), length(before))), lambda n: suffix[1:n] = before[1:n])), 0)) AS INTEGER) AS longest_repeat FROM
+           (SELECT item_id, suffix, lag(suffix) OVER (PARTITION BY item_id ORDER BY suffix) AS before FROM (SELECT item_id, s[i:] AS suffix FROM """ + _AT + """ a) b) c WHERE before IS NOT NULL GROUP BY item_id""",
+    ),
+    "suffixarray": Op("SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS place FROM (SELECT item_id, i, substring(s, CAST(i AS INT), 10000) AS suffix FROM " + _AT + " a) b"),
     "luhn": Op("SELECT c_custkey, luhn_check(lpad(CAST(c_custkey * 7919 AS STRING), 12, '0')) AS valid FROM {customer}", {}, "SELECT c_custkey, list_sum(list_transform(generate_series(1, 12), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(d[i] AS INT) * 2 > 9 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END ELSE CAST(d[i] AS INT) END)) % 10 = 0 AS valid FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 12, '0') AS d FROM {customer}) x"),
     "manacher": Op("SELECT s, max(length(p)) AS longest FROM (SELECT s, substring(s, CAST(i AS INT), CAST(n AS INT)) AS p FROM (SELECT s, i, SERIES(CAST(1 AS BIGINT), length(s) - i + 1) AS n FROM (SELECT s, SERIES(CAST(1 AS BIGINT), CAST(length(s) AS BIGINT)) AS i FROM " + _WORDS + " w) x) y) z WHERE p = reverse(p) GROUP BY s"),
     "rle": Op("SELECT k, kind, count(*) AS run_length, min(seq) AS starts FROM (SELECT k, kind, seq, row_number() OVER (PARTITION BY k ORDER BY seq) - row_number() OVER (PARTITION BY k, kind ORDER BY seq) AS g FROM {ev}) x GROUP BY k, kind, g"),
@@ -65,8 +71,6 @@ NUMBERS = {
         {"n": 50},
         "SELECT n, round(n / 3e0, 4) AS peak FROM " + _N + " x",
     ),
-    # Extreme points: nothing lies beyond them in one of 16 directions.
-    "convexhull": Op("SELECT DISTINCT k, x, y FROM (SELECT k, x, y, rank() OVER (PARTITION BY k, d ORDER BY x * dx + y * dy DESC) AS r FROM (SELECT k, v AS x, seq % 101 AS y FROM {ev}) p CROSS JOIN (SELECT i AS d, INT(1000 * cos(i * 0.39269908169872414e0)) AS dx, INT(1000 * sin(i * 0.39269908169872414e0)) AS dy FROM (SELECT SERIES(CAST(0 AS BIGINT), CAST(15 AS BIGINT)) AS i) s) q) z WHERE r = 1"),
 }
 
 INDEXES = {
@@ -92,16 +96,28 @@ OPTIMISATION = {
         {"capacity": 60},
         "SELECT k, (list_reduce(xs, lambda s, x: list_transform(generate_series(0, {capacity}), lambda j: CASE WHEN j >= x.w THEN greatest(s[j + 1], s[j - x.w + 1] + x.p) ELSE s[j + 1] END), list_transform(generate_series(0, {capacity}), lambda j: CAST(0 AS BIGINT))))[-1] AS best FROM (SELECT k, list({'w': v % 17 + 1, 'p': v} ORDER BY seq) AS xs FROM {ev} GROUP BY k) y",
     ),
+    # All subset sums of the first twelve values: the split nearest to half.
     "partitionsum": Op(
-        "SELECT k, TOTAL(v2) AS total, min(abs(2 * reach - whole)) AS closest FROM (SELECT k, v2, reach, CAST(sum(v2) OVER (PARTITION BY k) AS BIGINT) AS whole FROM (SELECT k, v2, CAST(sum(v2) OVER (PARTITION BY k ORDER BY v2 DESC, seq) AS BIGINT) AS reach FROM (SELECT k, seq, v % 50 AS v2 FROM {ev}) a) b) c GROUP BY k"
+        """SELECT k, CAST(array_min(transform(sums, e -> abs(2 * e - total))) AS BIGINT) AS closest, array_contains(transform(sums, e -> 2 * e), total) AS equal_split FROM (SELECT k, aggregate(xs, array(CAST(0 AS BIGINT)), (s, x) -> array_distinct(concat(s, transform(s, e -> e + x)))) AS sums, aggregate(xs, CAST(0 AS BIGINT), (s, x) -> s + x) AS total FROM
+           (SELECT k, transform(array_sort(collect_list(named_struct('s', seq, 'v', v % 50))), e -> e.v) AS xs FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 12 GROUP BY k) a) b""",
+        {},
+        """SELECT k, CAST(list_min(list_transform(sums, lambda e: abs(2 * e - total))) AS BIGINT) AS closest, list_contains(list_transform(sums, lambda e: 2 * e), total) AS equal_split FROM (SELECT k, list_reduce(xs, lambda s, x: list_distinct(list_concat(s, list_transform(s, lambda e: e + x))), [CAST(0 AS BIGINT)]) AS sums, CAST(list_sum(xs) AS BIGINT) AS total FROM
+           (SELECT k, list(v % 50 ORDER BY seq) AS xs FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 12 GROUP BY k) a) b""",
     ),
     "coinchange": Op(
         "SELECT n AS amount, CAST(coalesce(min(a + b + c), -1) AS BIGINT) AS coins FROM (SELECT n, a, b, n - 7 * a - 5 * b AS rest, INT((n - 7 * a - 5 * b) / 3e0) AS c FROM " + _N + " x CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(20 AS BIGINT)) AS a) p CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(20 AS BIGINT)) AS b) q) y WHERE rest >= 0 AND rest % 3 = 0 GROUP BY n",
         {"n": 90},
     ),
     "fractionalknapsack": Op("SELECT k, round(sum(CASE WHEN c <= {capacity} THEN p WHEN c - w < {capacity} THEN p * ({capacity} - (c - w)) / CAST(w AS DOUBLE) ELSE 0 END), 5) AS best FROM (SELECT k, w, CAST(p AS DOUBLE) AS p, CAST(sum(w) OVER (PARTITION BY k ORDER BY p / CAST(w AS DOUBLE) DESC, seq) AS BIGINT) AS c FROM (SELECT k, seq, v % 17 + 1 AS w, v AS p FROM {ev}) a) b GROUP BY k", {"capacity": 60}),
-    "jobsequencing": Op("SELECT k, TOTAL(p) AS profit_bound, count(*) AS jobs FROM (SELECT k, v AS p, row_number() OVER (PARTITION BY k, v % 6 ORDER BY v DESC, seq) AS r FROM {ev}) x WHERE r = 1 GROUP BY k"),
-    "meetmiddle": Op("SELECT a.k AS k, count(*) > 0 AS reachable, min(abs(a.s + b.s - {target})) AS miss FROM (SELECT DISTINCT x.k AS k, x.v + y.v AS s FROM {ev} x JOIN {ev} y ON x.k = y.k AND x.seq < y.seq WHERE x.kind = 'view' AND y.kind = 'view') a JOIN (SELECT DISTINCT k, v AS s FROM {ev} WHERE kind = 'click') b ON a.k = b.k GROUP BY a.k", {"target": 150}),
+
+    # Subset sums of two halves of sixteen values: whether one of each makes the target.
+    "meetmiddle": Op(
+        """SELECT k, exists(aggregate(one, array(CAST(0 AS BIGINT)), (s, x) -> array_distinct(concat(s, transform(s, e -> e + x)))), e -> array_contains(aggregate(two, array(CAST(0 AS BIGINT)), (s, x) -> array_distinct(concat(s, transform(s, f -> f + x)))), {target} - e)) AS reachable FROM
+           (SELECT k, transform(filter(xs, e -> e.r <= 8), e -> e.v) AS one, transform(filter(xs, e -> e.r > 8), e -> e.v) AS two FROM (SELECT k, array_sort(collect_list(named_struct('r', r, 'v', v))) AS xs FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 16 GROUP BY k) a) b""",
+        {"target": 777},
+        """SELECT k, max(CASE WHEN total = {target} THEN 1 ELSE 0 END) = 1 AS reachable FROM (SELECT k, unnest(list_reduce(xs, lambda s, x: list_distinct(list_concat(s, list_transform(s, lambda e: e + x))), [CAST(0 AS BIGINT)])) AS total FROM
+           (SELECT k, list(v ORDER BY seq) AS xs FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 16 GROUP BY k) a) b GROUP BY k""",
+    ),
     "weightedschedule": Op(
         "SELECT k, aggregate(xs, named_struct('best', CAST(0 AS BIGINT), 'log', CAST(array() AS ARRAY<STRUCT<b: BIGINT, w: BIGINT>>)), (s, x) -> named_struct('best', greatest(s.best, x.w + coalesce(array_max(transform(filter(s.log, e -> e.b <= x.a), e -> e.w)), 0)), 'log', array_append(s.log, named_struct('b', x.b, 'w', greatest(s.best, x.w + coalesce(array_max(transform(filter(s.log, e -> e.b <= x.a), e -> e.w)), 0))))), s -> s.best) AS best FROM (SELECT k, array_sort(collect_list(named_struct('b', t + v * 3000, 'seq', seq, 'a', t, 'w', v))) AS xs FROM {ev} GROUP BY k) y",
         {},

@@ -157,6 +157,16 @@ QUERIES = {
     "dsurollback": _solved(_rollback, "joined long, after_rollback long"),
 }
 
+
+
+def convexhull(spark, sf_dir):
+    """Corners of each user's points (value, sequence)."""
+    points = frame(spark, sf_dir, "ev").select(F.col("k").alias("group"), F.col("v").alias("src"), (F.col("seq") % 101).alias("dst"), F.lit(0).alias("w"))
+    return _named(g.per_graph(points, lambda e: {"corners": len(g.hull([(a, b) for a, b, _ in e])), "outline": str(g.hull([(a, b) for a, b, _ in e])[:4])}, "corners long, outline string"))
+
+
+QUERIES["convexhull"] = convexhull
+
 _HEAD = f"WITH RECURSIVE {_EV}{_EDGES}"
 _ALL = _HEAD + _PATHS.format(e="edges", agg="min", n=NODES)
 _DAG = _HEAD + ", dag AS (SELECT grp, src, dst, w FROM edges WHERE src < dst)"

@@ -31,7 +31,7 @@ FOLDS = {
     "statettl": m.write_ttl(), "seqdedupe": m.producer_sequence(), "acktracking": m.ack_tree(), "spillover": m.spill_store(), "jobmanager": m.lease_election(),
     "lease": m.lease_election(43200, 2), "fencing": m.fencing_token(), "occ": m.version_checked(), "rwlock": m.reader_writer(), "hintedhandoff": m.hinted_handoff(),
     "minstack": m.min_stack(), "nonadjacent": m.non_adjacent(), "binpacking_next_fit": m.next_fit(), "binpacking": m.first_fit(), "lpt_in_order": m.longest_processing(),
-    "powerof2": m.two_choice(),
+    "powerof2": m.two_choice(), "backpressure": m.bounded_line(), "tinylfu": m.tiny_lfu(), "drr": m.deficit_round(),
 }
 
 

@@ -21,6 +21,6 @@ def _by_size(fold):
 for _name, _fold in {"intervalschedule": m.earliest_finish(), "intervalstab": m.stabbing()}.items():
     QUERIES[_name] = _over_spans(_fold)
     ORACLES[_name] = _fold.duck_sql(_DUCK, ["k"], ["b", "seq"], ["a"])
-for _name, _fold in {"lpt": m.longest_processing(), "binpacking_decreasing": m.first_fit()}.items():
+for _name, _fold in {"lpt": m.longest_processing(), "binpacking_decreasing": m.first_fit(), "jobsequencing": m.job_slots()}.items():
     QUERIES[_name] = _by_size(_fold)
     ORACLES[_name] = _fold.duck_sql(f"SELECT k, -v AS down, v, seq FROM ({DUCK_EVENTS})", ["k"], ["down", "seq"], ["v"])

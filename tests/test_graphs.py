@@ -125,3 +125,25 @@ def test_components_of_chains_stars_and_noise(spark):
             p, q = sorted((find(a), find(b)))
             parent[q] = p
     assert out == {x: find(x) for x in list(parent)}
+
+
+def test_hull_and_alias_table():
+    rng = random.Random(9)
+    for _ in range(200):
+        points = [(rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(1, 12))]
+        corners = g.hull(points)
+
+        def outside(p, a, b):
+            return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+        if len(corners) > 2:
+            sides = list(zip(corners, corners[1:] + corners[:1], strict=True))
+            assert all(outside(p, a, b) >= 0 for p in points for a, b in sides)
+            assert all(outside(c, a, b) > 0 for a, b in sides for c in corners if c not in (a, b))
+        weights = [rng.randrange(0, 9) for _ in range(rng.randrange(1, 7))]
+        if sum(weights):
+            shares = [0.0] * len(weights)
+            for i, (keep, other) in enumerate(g.alias_table(weights)):
+                shares[i] += keep / len(weights)
+                shares[other] += (1 - keep) / len(weights)
+            assert all(abs(s_ - w / sum(weights)) < 1e-9 for s_, w in zip(shares, weights, strict=True))
