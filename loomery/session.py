@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from loomery.shipping import ship
+
 
 def build_session(app: str = "loomery", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and quiet logs."""
@@ -21,4 +23,5 @@ def build_session(app: str = "loomery", master: str | None = None, **conf: str)
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
