@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from loomery.shipping import shipped
 from loomery.sources.staging import staged
 
 #: A document is rejected when no language holds this share of the evidence.
@@ -47,11 +48,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language ID", identify_language),
-    ("exact dedup", drop_exact_repeats),
-    ("n-gram Jaccard join", drop_near_repeats),
-    ("benchmark decontamination", drop_contaminated),
-    ("byte-level BPE", tokenize),
+    ("language ID", shipped(identify_language)),
+    ("exact dedup", shipped(drop_exact_repeats)),
+    ("n-gram Jaccard join", shipped(drop_near_repeats)),
+    ("benchmark decontamination", shipped(drop_contaminated)),
+    ("byte-level BPE", shipped(tokenize)),
 ]
 
 #: Language ID, near copies, fingerprints and merges have no SQL form; tests/llm hold brute-force twins.
