@@ -28,3 +28,17 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, total: in
     warm = rows.filter(is_hot).join(F.broadcast(groups.filter(F.col(size) > limit)), key, how)
     rest = rows.filter(~is_hot).join(groups.filter(F.col(size) <= limit), key, how)
     return warm.unionByName(rest)
+
+
+#: Ids are sent to the rows up to this many (16 MB of longs); beyond, both sides are shuffled.
+BROADCAST_IDS = 1 << 21
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of wide ``rows`` with a one-column frame of distinct ``ids``.
+
+    The ids are counted first: few enough, and they are broadcast, so that
+    wide rows stay where they are; else the join shuffles.
+    """
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, how)
