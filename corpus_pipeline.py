@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from loomery.operators.skew import join_ids
 from loomery.shipping import shipped
 from loomery.sources.staging import staged
 
@@ -15,12 +16,16 @@ MIN_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language; nulls, texts without letters and unclear ones go."""
+    """Keep documents with a recognised language; null texts, texts without letters and unclear ones go.
+
+    A document without an id cannot be named by the operator: it stays if its text has a letter.
+    """
     model = language_id.train(docs)
     named = language_id.identify(docs, model)
     rejected = named.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_SCORE)).select("doc_id")
-    rejected = staged(rejected, "pipeline-rejected")
-    return docs.filter(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rejected = staged(rejected.distinct(), "pipeline-rejected")
+    readable = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return join_ids(docs.filter(readable), rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +37,14 @@ def drop_near_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep the document with the least id of each component of near copies."""
     found = jaccard_join.jaccard_components(docs)
     gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark."""
     leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = staged(leaks.select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.perfect_hash import Shard, as_words
 from loomery.llm.shingles import buffers, trim
-from loomery.operators.skew import HOT_SHARE
+from loomery.operators.skew import HOT_SHARE, join_ids
 from loomery.sources.staging import staged
 
 BUCKET_ENTRIES = 32768
@@ -201,7 +201,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dropped = out.filter("not kept").select(F.col("doc_id").alias("_id"))
     same_id = F.col(id_col).eqNullSafe(F.col("_id"))
     if not unclear.limit(1).collect():
-        return docs.join(dropped, F.col(id_col) == F.col("_id"), "left_anti")
+        return join_ids(docs, dropped.withColumnRenamed("_id", id_col), id_col, "left_anti").select(docs.columns)
     clear = docs.join(unclear, same_id, "left_anti").join(dropped, F.col(id_col) == F.col("_id"), "left_anti")
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     kept = out.filter("kept").select(F.col("doc_id").alias("_id"), F.lower(F.hex("digest")).alias("_kept"))

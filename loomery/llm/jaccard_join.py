@@ -43,13 +43,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.llm.shingles import buffers, chunks, shingle_sets, trim
-from loomery.operators.skew import join_back
+from loomery.operators.skew import join_back, join_ids
 from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
 
 SMALL, FIRST_LEADERS, GROWTH = 16, 4, 8
-#: Ids to test are sent to the scan up to this many (16 MB); beyond, texts are shuffled to them.
-BROADCAST_IDS = 1 << 21
 _SLICE = 1 << 14
 _SEEN = 200_000
 
@@ -295,12 +293,6 @@ def overlap_bound(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
     return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``doc`` is in ``ids``, which are sent to them if few."""
-    small = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), "doc", "left_semi")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return staged(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "jaccard-ends")
 
@@ -321,7 +313,7 @@ def ordered_sets(docs: DataFrame, ranks) -> DataFrame:
 
 def verify(docs: DataFrame, ranks, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that link: those whose parity bits allow it, tested with whole sets."""
-    sets = staged(ordered_sets(_among(docs, _ends(pairs)), ranks), "jaccard-sets")
+    sets = staged(ordered_sets(join_ids(docs, _ends(pairs), "doc", "left_semi"), ranks), "jaccard-sets")
 
     def sides(rows: DataFrame, *columns: str) -> list[DataFrame]:
         return [rows.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in ("a", "b")]
@@ -334,7 +326,7 @@ def verify(docs: DataFrame, ranks, pairs: DataFrame, percent: int) -> DataFrame:
     left, right = sides(sets, "n", "bits")
     close = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     pairs = staged(close.mapInArrow(bound, "a long, b long").distinct(), "jaccard-close")
-    left, right = sides(_among(sets, _ends(pairs)), "items")
+    left, right = sides(join_ids(sets, _ends(pairs), "doc", "left_semi"), "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
