@@ -34,7 +34,7 @@ WINDOWS = {
     "windowcost": Op("SELECT s AS slide, CAST(c AS BIGINT) AS live_panes, INT(2592000e0 / s) * {keys} AS firings, c * 64 AS state_bytes FROM (SELECT s, INT(86400e0 / s) * {keys} AS c FROM (SELECT i * 3600 AS s FROM (SELECT SERIES(CAST(1 AS BIGINT), CAST(24 AS BIGINT)) AS i) h) a) b", {"keys": 150}),
     "lateroom": Op(
         """SELECT CASE WHEN late <= 3600 THEN '1 short' WHEN late <= 36000 THEN '2 medium' ELSE '3 long' END AS bucket, count(*) AS n, count(DISTINCT w) AS windows, TOTAL(CASE WHEN late > {patience} THEN 1 ELSE 0 END) AS expired FROM
-           (SELECT INT(e / 3600e0) AS w, mark - e AS late FROM (SELECT e, max(e) OVER (ORDER BY a, seq) AS mark FROM (SELECT seq, t AS e, t + (seq * 7919 % 97) * 600 AS a FROM {ev}) x) y WHERE e < mark) z GROUP BY 1""",
+           (SELECT INT(e / 3600e0) AS w, mark - e AS late FROM (SELECT e, max(e) OVER (PARTITION BY kind ORDER BY a, seq) AS mark FROM (SELECT kind, seq, t AS e, t + (seq * 7919 % 97) * 600 AS a FROM {ev}) x) y WHERE e < mark) z GROUP BY 1""",
         {"patience": 30000},
     ),
 }
@@ -64,13 +64,7 @@ ORDERING = {
     "coordcompress": Op("SELECT k, seq, dense_rank() OVER (PARTITION BY k ORDER BY v) - 1 AS rank FROM {ev}"),
     "coordinatedomission": Op("SELECT kind, count(*) AS samples, TOTAL(v2) AS total FROM (SELECT kind, v - {every} * i AS v2 FROM (SELECT kind, v, SERIES(CAST(0 AS BIGINT), greatest(CAST(0 AS BIGINT), INT((v - 1) / {every}e0))) AS i FROM {ev}) y) x WHERE v2 > 0 OR v2 IS NULL GROUP BY kind", {"every": 25}),
     "countingsort": Op("SELECT v, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY v) AS BIGINT) AS ends FROM {ev} GROUP BY v"),
-    "dutchflag": Op("SELECT seq, v, row_number() OVER (ORDER BY CASE WHEN v < {pivot} THEN 0 WHEN v = {pivot} THEN 1 ELSE 2 END, seq) - 1 AS place FROM {ev}", {"pivot": 50}),
-    "eventtimesort": Op("SELECT seq, e, row_number() OVER (ORDER BY e, seq) AS place FROM (SELECT seq, t + (seq * 7919 % 97) * 60 AS e FROM {ev}) x"),
-    "fisheryates": Op("SELECT seq, row_number() OVER (ORDER BY HASH(seq), seq) AS place FROM {ev}"),
     "heapsort": Op("SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS place FROM {ev}"),
-    "mergesort": Op("SELECT seq, row_number() OVER (ORDER BY v, seq) AS place FROM {ev}"),
-    "radixsort": Op("SELECT seq, row_number() OVER (ORDER BY v % 10, INT(v / 10e0), seq) AS place FROM {ev}"),
-    "kwaymerge": Op("SELECT place, seq FROM (SELECT seq, row_number() OVER (ORDER BY t, seq) AS place FROM (SELECT seq, t FROM {ev} WHERE kind = 'click' UNION ALL SELECT seq, t FROM {ev} WHERE kind = 'view') u) x"),
     "ordering": Op("SELECT k, TOTAL(CASE WHEN s <= top THEN 1 ELSE 0 END) AS violations FROM (SELECT k, s, max(s) OVER (PARTITION BY k ORDER BY a, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT k, seq, seq AS s, t + (seq * 7919 % 97) * 3600 AS a FROM {ev}) x) y GROUP BY k"),
     "orderstat": Op("SELECT k, TOTAL(CASE WHEN v <= {value} THEN 1 ELSE 0 END) AS rank, max(CASE WHEN r = {nth} THEN v END) AS selected FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS r FROM {ev}) x GROUP BY k", {"value": 40, "nth": 7}),
     "quickselect": Op("SELECT kind, v FROM (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY v, seq) AS r FROM {ev}) x WHERE r = {nth} + 1", {"nth": 12}),
