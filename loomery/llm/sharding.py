@@ -13,11 +13,11 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions.hashing import jump_hash
-from loomery.sources.staging import staged
+from loomery.operators.ranking import number_rows
 
 
 def assign_shards(rows: DataFrame, key_col: str, shards: int, out: str = "shard") -> DataFrame:
@@ -25,24 +25,6 @@ def assign_shards(rows: DataFrame, key_col: str, shards: int, out: str = "shard"
     return rows.withColumn(out, F.coalesce(jump_hash(F.col(key_col), shards), F.lit(0)))
 
 
-def number_within(rows: DataFrame, group_col: str, order_col: str, out: str = "slot") -> DataFrame:
-    """Gapless positions from 0 inside each group, ordered by ``order_col``.
-
-    The input is staged first, so that ties and retries keep their numbers.
-    """
-    base = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "number-rows")
-    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_rows = base.repartitionByRange(parts, group_col, order_col, "_row").sortWithinPartitions(group_col, order_col, "_row")
-    placed = staged(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), "number-placed")
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    runs = placed.groupBy(group_col, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(group_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per group and partition: bounded by the number of partitions, not of rows.
-    starts = runs.select(group_col, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    joined = placed.join(F.broadcast(starts), [group_col, "_part"])
-    return joined.withColumn(out, F.col("_at") - F.col("_first") + F.col("_base")).drop("_row", "_at", "_part", "_first", "_base")
-
-
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for every row."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -53,4 +35,4 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         F.lit("key").alias("law"),
     )
     rows = assign_shards(assign_shards(rows, "doc_id", shards), "doc_id", shards + 1, "grown_shard")
-    return number_within(rows, "shard", "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return number_rows(rows, ["doc_id"], "slot", "shard").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
