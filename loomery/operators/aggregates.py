@@ -33,7 +33,7 @@ AGGREGATES = {
     "retraction": Op("SELECT k, TOTAL(w * v) AS total, max(CASE WHEN net > 0 THEN v END) AS largest FROM (SELECT k, v, w, CAST(sum(w) OVER (PARTITION BY k, v) AS BIGINT) AS net FROM (SELECT k, v, CASE WHEN ok THEN 1 ELSE -1 END AS w FROM {ev}) a) b GROUP BY k"),
     "subarraysum": Op(
         """SELECT a.k AS k, count(*) AS runs FROM (SELECT k, seq, CAST(sum(v) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS p, CAST(sum(v) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) - v AS q FROM {ev}) a
-           JOIN (SELECT k, seq, CAST(sum(v) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS p FROM {ev}) b ON a.k = b.k AND b.seq >= a.seq AND b.p - a.q = {target} GROUP BY a.k""",
+           JOIN (SELECT k, seq, CAST(sum(v) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS p FROM {ev}) b ON a.k = b.k AND b.seq >= a.seq AND b.p = a.q + {target} GROUP BY a.k""",
         {"target": 100},
     ),
     "weightedmedian": Op("SELECT k, min(v) AS median FROM (SELECT k, v, CAST(sum(seq) OVER (PARTITION BY k ORDER BY v) AS BIGINT) AS c, CAST(sum(seq) OVER (PARTITION BY k) AS BIGINT) AS total FROM {ev}) x WHERE 2 * c >= total GROUP BY k"),

@@ -639,3 +639,21 @@ def job_slots(slots: int = 6) -> Fold:
         {"slot": f"coalesce(array_max(filter(sequence(1, {slots}), e -> e <= x.seq % {slots} + 1 AND element_at(s.used, CAST(e AS INT)) = 0)), 0)"},
         {**ARRAYS, "g ->": "lambda g:"},
     )
+
+
+_PACK = 1 << 20  # values below this share a number with their position
+
+
+def spans(following: bool = False) -> Fold:
+    """Distance from each row to the nearest earlier row with a greater ``v`` (rows before the first count from there).
+
+    A stack of falling values holds what may still be seen, so a key costs about its rows.
+    With ``following`` rows come in reverse, and -1 says that none is greater.
+    """
+    none = "-1" if following else "s.i + 1"
+    return Fold(
+        {"i": (N, "0", "s.i + 1"), "st": ("ARRAY<BIGINT>", "array()", f"array_append($keep, (s.i + 1) * {_PACK} + x.v)"), "out": ("ARRAY<BIGINT>", "array()", f"array_append(s.out, CASE WHEN size($keep) = 0 THEN {none} ELSE s.i + 1 - CAST(floor(element_at($keep, -1) / {_PACK}) AS BIGINT) END)")},
+        {"spans": ("ARRAY<BIGINT>", "s.out")},
+        {"keep": f"filter(s.st, e -> e % {_PACK} > x.v)"},
+        ARRAYS,
+    )

@@ -49,8 +49,6 @@ FRAMES = {
         """SELECT k, max(v * (hi - lo - 1)) AS area FROM (SELECT a.k AS k, a.i AS i, min(a.v) AS v, coalesce(max(CASE WHEN b.i < a.i AND b.v < a.v THEN b.i END), 0) AS lo, coalesce(min(CASE WHEN b.i > a.i AND b.v < a.v THEN b.i END), max(n) + 1) AS hi
            FROM """ + _RANKED + " a JOIN " + _RANKED + """ b ON a.k = b.k JOIN (SELECT k, count(*) AS n FROM {ev} GROUP BY k) c ON a.k = c.k GROUP BY a.k, a.i) x GROUP BY k"""
     ),
-    "nextgreater": Op("SELECT a.k AS k, a.seq AS seq, coalesce(min(b.i) - min(a.i), -1) AS distance FROM " + _RANKED + " a LEFT JOIN " + _RANKED + " b ON a.k = b.k AND b.i > a.i AND b.v > a.v GROUP BY a.k, a.seq"),
-    "stockspan": Op("SELECT a.k AS k, a.seq AS seq, min(a.i) - coalesce(max(b.i), 0) AS span FROM " + _RANKED + " a LEFT JOIN " + _RANKED + " b ON a.k = b.k AND b.i < a.i AND b.v > a.v GROUP BY a.k, a.seq"),
     "prefixsum": Op("SELECT k, max(CASE WHEN i = {hi} THEN p END) - coalesce(max(CASE WHEN i = {lo} THEN p END), 0) AS range_sum, max(CASE WHEN i = n THEN p END) AS total FROM (SELECT k, i, count(*) OVER (PARTITION BY k) AS n, CAST(sum(v) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS p FROM " + _RANKED + " a) b GROUP BY k", {"lo": 5, "hi": 15}),
     "prefixsum2d": Op("SELECT r, c, CAST(sum(s) OVER (PARTITION BY c ORDER BY r) AS BIGINT) AS p FROM (SELECT r, c, CAST(sum(v) OVER (PARTITION BY r ORDER BY c) AS BIGINT) AS s FROM (SELECT k % 8 AS r, seq % 8 AS c, TOTAL(v) AS v FROM {ev} GROUP BY 1, 2) a) b"),
     "rainwater": Op("SELECT k, TOTAL(least(l, r) - v) AS water FROM (SELECT k, v, max(v) OVER (PARTITION BY k ORDER BY i) AS l, max(v) OVER (PARTITION BY k ORDER BY i DESC) AS r FROM " + _RANKED + " a) b GROUP BY k"),

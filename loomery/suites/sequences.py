@@ -52,3 +52,21 @@ def _ordered(order, keep):
 for _name, (_order, _keep, _sql) in _ORDERS.items():
     QUERIES[_name] = _ordered(_order, _keep)
     ORACLES[_name] = f"WITH ev AS ({DUCK_EVENTS}) SELECT seq, row_number() OVER (ORDER BY {_sql}) - 1 AS place FROM ev" + (f" WHERE {_keep}" if _keep else "")
+
+
+def stockspan(spark, sf_dir):
+    folded = m.spans().apply(frame(spark, sf_dir, "ev"), ["k"], ["seq"], ["v"])
+    return folded.select("k", F.posexplode("spans").alias("i", "span"))
+
+
+def nextgreater(spark, sf_dir):
+    folded = m.spans(following=True).apply(frame(spark, sf_dir, "ev").withColumn("back", -F.col("seq")), ["k"], ["back"], ["v"])
+    return folded.select("k", F.posexplode(F.reverse("spans")).alias("i", "distance"))
+
+
+_RANKED = f"WITH r AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) - 1 AS i FROM ({DUCK_EVENTS}) e) "
+QUERIES |= {"stockspan": stockspan, "nextgreater": nextgreater}
+ORACLES |= {
+    "stockspan": _RANKED + "SELECT a.k, CAST(a.i AS INTEGER) AS i, min(a.i) - coalesce(max(b.i), -1) AS span FROM r a LEFT JOIN r b ON a.k = b.k AND b.i < a.i AND b.v > a.v GROUP BY a.k, a.i",
+    "nextgreater": _RANKED + "SELECT a.k, CAST(a.i AS INTEGER) AS i, coalesce(min(b.i) - min(a.i), -1) AS distance FROM r a LEFT JOIN r b ON a.k = b.k AND b.i > a.i AND b.v > a.v GROUP BY a.k, a.i",
+}
