@@ -48,6 +48,8 @@ from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
 
 SMALL, FIRST_LEADERS, GROWTH = 16, 4, 8
+#: Members of a large group that one task compares with its leaders.
+BLOCK = 1024
 _SLICE = 1 << 14
 _SEEN = 200_000
 
@@ -205,35 +207,44 @@ def small_pairs(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_pairs(groups: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Possible pairs of the ``low``-th to ``high``-th members of each group with
-    the members after them in other components.  Only the leaders are held."""
+    """Possible pairs of the ``low``-th to ``high``-th members of each group, by id, with
+    the members after them in other components.
+
+    A group is dealt out in blocks of about ``BLOCK`` members.  The first
+    ``high`` of each block hold the first ``high`` of the group, and those that
+    lead are sent to all its blocks, so a hot group is spread over many tasks and
+    each holds the leaders alone.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
+    dealt = groups.select("h", "doc", "n", "pos", "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    first = dealt.withColumn("r", F.row_number().over(Window.partitionBy("h", "block").orderBy("doc"))).filter(F.col("r") <= high)
+    led = first.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("doc"))).filter(F.col("r").between(low + 1, high))
+    sent = led.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "doc", "n", "pos", "comp")
+    rows = sent.unionByName(dealt.select("h", "block", F.lit(1).alias("side"), "doc", "n", "pos", "comp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count, led = None, 0, np.zeros((4, 0), np.int64)
+        now, led = None, np.zeros((4, 0), np.int64)
         for batch in batches:
-            h = batch.column("h").to_numpy()
+            place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "side")])
             block = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("doc", "n", "pos", "comp")])
-            for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(h)) + 1):
+            for part in np.split(np.arange(place.shape[1]), np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1):
                 if not len(part):
                     continue
-                if h[part[0]] != now:
-                    now, count, led = h[part[0]], 0, np.zeros((4, 0), np.int64)
-                index = count + np.arange(len(part))
-                count += len(part)
-                own = block[:, part]
-                led = np.concatenate([led, own[:, (index >= low) & (index < high)]], axis=1)
-                if not led.shape[1]:
+                group, side, own = tuple(place[:2, part[0]]), place[2, part[0]], block[:, part]
+                if group != now:
+                    now, led = group, np.zeros((4, 0), np.int64)
+                if side == 0:
+                    led = np.concatenate([led, own], axis=1)
                     continue
-                lead_at = low + np.arange(led.shape[1])
-                for k in range(0, led.shape[1], max(1, 2_000_000 // len(part))):
-                    some = slice(k, k + max(1, 2_000_000 // len(part)))
-                    l, m = led[:, some, None], own[:, None, :]
-                    ok = (lead_at[some, None] < index[None, :]) & (l[3] != m[3]) & (l[0] != m[0]) & _possible(l[1], l[2], m[1], m[2], percent)
+                step = max(1, 2_000_000 // len(part))
+                for k in range(0, led.shape[1], step):
+                    l, m = led[:, k : k + step, None], own[:, None, :]
+                    ok = (l[0] < m[0]) & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], percent)
                     i, j = np.nonzero(ok)
                     if len(i):
-                        yield _pair_batch(led[0, some][i], own[0][j])
+                        yield _pair_batch(led[0, k : k + step][i], own[0][j])
 
-    return groups.select("h", "doc", "n", "pos", "comp").repartition("h").sortWithinPartitions("h", "doc").mapInArrow(run, "a long, b long")
+    return rows.repartition("h", "block").sortWithinPartitions("h", "block", "side", "doc").mapInArrow(run, "a long, b long")
 
 
 class PrefixTree:
@@ -381,7 +392,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
         named = large.drop("comp").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left")
         named = named.withColumn("comp", F.coalesce("comp", "doc"))
         open_ = named.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h")
-        large = staged(named.join(open_, "h", "left_semi"), "jaccard-open")
+        large = staged(join_ids(named, staged(open_, "jaccard-open-groups"), "h", "left_semi"), "jaccard-open")
         if not large.limit(1).collect():
             break
         pairs = staged(leader_pairs(large, done, done * GROWTH, percent).distinct(), "jaccard-pairs")
