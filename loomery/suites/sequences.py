@@ -30,21 +30,20 @@ for _name, _fold in {"lpt": m.longest_processing(), "binpacking_decreasing": m.f
     ORACLES[_name] = _fold.duck_sql(f"SELECT k, -v AS down, v, seq FROM ({DUCK_EVENTS})", ["k"], ["down", "seq"], ["v"])
 
 # Total orders over the whole table: range partitions and offsets, no window without a partition.
-_SPREAD = F.col("t") + (F.col("seq") * 7919 % 97) * 60
 _ORDERS = {
-    "mergesort": (["v", "seq"], None, "v, seq"),
-    "radixsort": ([F.col("v") % 10, F.floor(F.col("v") / 10), "seq"], None, "v % 10, v // 10, seq"),
-    "dutchflag": ([F.when(F.col("v") < 50, 0).when(F.col("v") == 50, 1).otherwise(2), "seq"], None, "CASE WHEN v < 50 THEN 0 WHEN v = 50 THEN 1 ELSE 2 END, seq"),
-    "eventtimesort": ([_SPREAD, "seq"], None, "t + (seq * 7919 % 97) * 60, seq"),
-    "fisheryates": ([stable_bucket(F.col("seq"), 1 << 32), "seq"], None, "CAST(CAST(concat('0x', substr(sha256(CAST(seq AS VARCHAR)), 1, 8)) AS UBIGINT) AS BIGINT), seq"),
-    "kwaymerge": (["t", "seq"], "kind IN ('click', 'view')", "t, seq"),
+    "mergesort": (lambda: ["v", "seq"], None, "v, seq"),
+    "radixsort": (lambda: [F.col("v") % 10, F.floor(F.col("v") / 10), "seq"], None, "v % 10, v // 10, seq"),
+    "dutchflag": (lambda: [F.when(F.col("v") < 50, 0).when(F.col("v") == 50, 1).otherwise(2), "seq"], None, "CASE WHEN v < 50 THEN 0 WHEN v = 50 THEN 1 ELSE 2 END, seq"),
+    "eventtimesort": (lambda: [F.col("t") + (F.col("seq") * 7919 % 97) * 60, "seq"], None, "t + (seq * 7919 % 97) * 60, seq"),
+    "fisheryates": (lambda: [stable_bucket(F.col("seq"), 1 << 32), "seq"], None, "CAST(CAST(concat('0x', substr(sha256(CAST(seq AS VARCHAR)), 1, 8)) AS UBIGINT) AS BIGINT), seq"),
+    "kwaymerge": (lambda: ["t", "seq"], "kind IN ('click', 'view')", "t, seq"),
 }
 
 
 def _ordered(order, keep):
     def query(spark, sf_dir):
         ev = frame(spark, sf_dir, "ev")
-        return number_rows(ev.filter(keep) if keep else ev, order).select("seq", "place")
+        return number_rows(ev.filter(keep) if keep else ev, order()).select("seq", "place")
 
     return query
 
