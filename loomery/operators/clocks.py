@@ -110,7 +110,7 @@ COORDINATION = {
     "quorumwrite": Op("SELECT k, max(CASE WHEN r = {w} THEN v END) AS latency, {r} + {w} > {n} AS overlaps FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS r FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) a WHERE i <= {n}) b GROUP BY k", {"n": 5, "w": 3, "r": 3}),
     "raftcommit": Op("SELECT max(pos) AS commit_index FROM (SELECT a.pos AS pos FROM (SELECT kind, max(seq) AS pos FROM {ev} GROUP BY kind) a JOIN (SELECT kind, max(seq) AS pos FROM {ev} GROUP BY kind) b ON b.pos >= a.pos GROUP BY a.pos HAVING count(*) * 2 > 5) x"),
     "replicaselect": Op("SELECT kind, round(e, 5) AS estimate, e = min(e) OVER () AS picked FROM (SELECT x.kind AS kind, sum({a} * v * power(1 - {a}, n - i)) / (1 - power(1 - {a}, max(n))) AS e FROM (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY seq) AS i FROM {ev}) x JOIN (SELECT kind, count(*) AS n FROM {ev} GROUP BY kind) c ON x.kind = c.kind GROUP BY x.kind) y", {"a": "2e-1"}),
-    "saga": Op("SELECT k, coalesce(min(CASE WHEN NOT ok THEN i END), 0) AS failed_at, CASE WHEN min(CASE WHEN NOT ok THEN i END) IS NULL THEN 0 ELSE min(CASE WHEN NOT ok THEN i END) - 1 END AS compensated FROM (SELECT k, ok, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k"),
+    "saga": Op("SELECT k, CAST(coalesce(min(CASE WHEN NOT ok THEN i END), 0) AS BIGINT) AS failed_at, CAST(coalesce(min(CASE WHEN NOT ok THEN i END) - 1, 0) AS BIGINT) AS compensated FROM (SELECT k, ok, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k"),
     "sessionguarantees": Op("SELECT k, TOTAL(CASE WHEN v < top THEN 1 ELSE 0 END) AS refused FROM (SELECT k, v, max(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {ev}) x GROUP BY k"),
     "swim": Op("SELECT k, CASE WHEN max_by(ok, seq) THEN 'alive' WHEN max(CASE WHEN v > 80 THEN 1 ELSE 0 END) = 1 THEN 'alive by others' ELSE 'suspect' END AS verdict FROM {ev} GROUP BY k"),
     "twophase": Op("SELECT day, count(*) AS voters, min(CASE WHEN ok THEN 1 ELSE 0 END) = 1 AS commits FROM (SELECT INT(t / 86400e0) AS day, k, max_by(ok, seq) AS ok FROM {ev} GROUP BY 1, 2) x GROUP BY day"),

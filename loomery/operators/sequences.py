@@ -44,7 +44,7 @@ FRAMES = {
     "emitpolicy": Op("SELECT k, TOTAL(CASE WHEN p IS NULL OR v <> p THEN 1 ELSE 0 END) AS on_change, TOTAL(CASE WHEN (p < 50 AND v >= 50) OR (p >= 50 AND v < 50) THEN 1 ELSE 0 END) AS on_crossing FROM (SELECT k, v, lag(v) OVER (PARTITION BY k ORDER BY seq) AS p FROM {ev}) x GROUP BY k"),
     "ewma": Op("SELECT x.k AS k, round(sum({a} * v * power(1 - {a}, n - i)), 5) AS raw, round(sum({a} * v * power(1 - {a}, n - i)) / (1 - power(1 - {a}, max(n))), 5) AS corrected FROM " + _RANKED + " x JOIN (SELECT k, count(*) AS n FROM {ev} GROUP BY k) c ON x.k = c.k GROUP BY x.k", {"a": "3e-1"}),
     "kadane": Op("SELECT k, max(p - least(0, before)) AS best FROM (SELECT k, p, coalesce(min(p) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM " + _PREFIX + " a) b GROUP BY k"),
-    "longestunique": Op("SELECT k, max(i - edge) AS longest FROM (SELECT k, i, max(p) OVER (PARTITION BY k ORDER BY i) AS edge FROM (SELECT k, i, coalesce(lag(i) OVER (PARTITION BY k, v ORDER BY i), 0) AS p FROM " + _RANKED + " a) b) c GROUP BY k"),
+    "longestunique": Op("SELECT k, CAST(max(i - edge) AS BIGINT) AS longest FROM (SELECT k, i, max(p) OVER (PARTITION BY k ORDER BY i) AS edge FROM (SELECT k, i, coalesce(lag(i) OVER (PARTITION BY k, v ORDER BY i), 0) AS p FROM " + _RANKED + " a) b) c GROUP BY k"),
     "maxrectangle": Op(
         """SELECT k, max(v * (hi - lo - 1)) AS area FROM (SELECT a.k AS k, a.i AS i, min(a.v) AS v, coalesce(max(CASE WHEN b.i < a.i AND b.v < a.v THEN b.i END), 0) AS lo, coalesce(min(CASE WHEN b.i > a.i AND b.v < a.v THEN b.i END), max(n) + 1) AS hi
            FROM """ + _RANKED + " a JOIN " + _RANKED + """ b ON a.k = b.k JOIN (SELECT k, count(*) AS n FROM {ev} GROUP BY k) c ON a.k = c.k GROUP BY a.k, a.i) x GROUP BY k"""
@@ -59,10 +59,10 @@ FRAMES = {
 }
 
 ORDERING = {
-    "coordcompress": Op("SELECT k, seq, dense_rank() OVER (PARTITION BY k ORDER BY v) - 1 AS rank FROM {ev}"),
+    "coordcompress": Op("SELECT k, seq, CAST(dense_rank() OVER (PARTITION BY k ORDER BY v) - 1 AS BIGINT) AS rank FROM {ev}"),
     "coordinatedomission": Op("SELECT kind, count(*) AS samples, TOTAL(v2) AS total FROM (SELECT kind, v - {every} * i AS v2 FROM (SELECT kind, v, SERIES(CAST(0 AS BIGINT), greatest(CAST(0 AS BIGINT), INT((v - 1) / {every}e0))) AS i FROM {ev}) y) x WHERE v2 > 0 OR v2 IS NULL GROUP BY kind", {"every": 25}),
     "countingsort": Op("SELECT v, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY v) AS BIGINT) AS ends FROM {ev} GROUP BY v"),
-    "heapsort": Op("SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS place FROM {ev}"),
+    "heapsort": Op("SELECT k, seq, CAST(row_number() OVER (PARTITION BY k ORDER BY v, seq) AS BIGINT) AS place FROM {ev}"),
     "ordering": Op("SELECT k, TOTAL(CASE WHEN s <= top THEN 1 ELSE 0 END) AS violations FROM (SELECT k, s, max(s) OVER (PARTITION BY k ORDER BY a, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT k, seq, seq AS s, t + (seq * 7919 % 97) * 3600 AS a FROM {ev}) x) y GROUP BY k"),
     "orderstat": Op("SELECT k, TOTAL(CASE WHEN v <= {value} THEN 1 ELSE 0 END) AS rank, max(CASE WHEN r = {nth} THEN v END) AS selected FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS r FROM {ev}) x GROUP BY k", {"value": 40, "nth": 7}),
     "quickselect": Op("SELECT kind, v FROM (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY v, seq) AS r FROM {ev}) x WHERE r = {nth} + 1", {"nth": 12}),

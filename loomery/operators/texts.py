@@ -28,9 +28,9 @@ STRINGS = {
         """SELECT item_id, CAST(max(coalesce(list_max(list_filter(generate_series(1, least(length(suffix), length(before))), lambda n: suffix[1:n] = before[1:n])), 0)) AS INTEGER) AS longest_repeat FROM
            (SELECT item_id, suffix, lag(suffix) OVER (PARTITION BY item_id ORDER BY suffix) AS before FROM (SELECT item_id, s[i:] AS suffix FROM """ + _AT + """ a) b) c WHERE before IS NOT NULL GROUP BY item_id""",
     ),
-    "suffixarray": Op("SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS place FROM (SELECT item_id, i, substring(s, CAST(i AS INT), 10000) AS suffix FROM " + _AT + " a) b"),
+    "suffixarray": Op("SELECT item_id, i, CAST(row_number() OVER (PARTITION BY item_id ORDER BY suffix) AS BIGINT) AS place FROM (SELECT item_id, i, substring(s, CAST(i AS INT), 10000) AS suffix FROM " + _AT + " a) b"),
     "luhn": Op("SELECT c_custkey, luhn_check(lpad(CAST(c_custkey * 7919 AS STRING), 12, '0')) AS valid FROM {customer}", {}, "SELECT c_custkey, list_sum(list_transform(generate_series(1, 12), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(d[i] AS INT) * 2 > 9 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END ELSE CAST(d[i] AS INT) END)) % 10 = 0 AS valid FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 12, '0') AS d FROM {customer}) x"),
-    "manacher": Op("SELECT s, max(length(p)) AS longest FROM (SELECT s, substring(s, CAST(i AS INT), CAST(n AS INT)) AS p FROM (SELECT s, i, SERIES(CAST(1 AS BIGINT), length(s) - i + 1) AS n FROM (SELECT s, SERIES(CAST(1 AS BIGINT), CAST(length(s) AS BIGINT)) AS i FROM " + _WORDS + " w) x) y) z WHERE p = reverse(p) GROUP BY s"),
+    "manacher": Op("SELECT s, CAST(max(length(p)) AS BIGINT) AS longest FROM (SELECT s, substring(s, CAST(i AS INT), CAST(n AS INT)) AS p FROM (SELECT s, i, SERIES(CAST(1 AS BIGINT), length(s) - i + 1) AS n FROM (SELECT s, SERIES(CAST(1 AS BIGINT), CAST(length(s) AS BIGINT)) AS i FROM " + _WORDS + " w) x) y) z WHERE p = reverse(p) GROUP BY s"),
     "rle": Op("SELECT k, kind, count(*) AS run_length, min(seq) AS starts FROM (SELECT k, kind, seq, row_number() OVER (PARTITION BY k ORDER BY seq) - row_number() OVER (PARTITION BY k, kind ORDER BY seq) AS g FROM {ev}) x GROUP BY k, kind, g"),
     "snowflake": Op("SELECT seq, ((t - 1704067200) * 1000 * 4194304) + (k % 1024) * 4096 + row_number() OVER (PARTITION BY k % 1024, t ORDER BY seq) - 1 AS id FROM {ev}"),
     "trie": Op("SELECT prefix, count(*) AS words, min(s) AS first_word FROM (SELECT DISTINCT substring(p_name, 1, 6) AS prefix, p_name AS s FROM {part}) x GROUP BY prefix"),
@@ -79,11 +79,11 @@ INDEXES = {
     "fenwickrange": Op("SELECT k, TOTAL(v * greatest(CAST(0 AS BIGINT), least(i + 5, {hi}) - greatest(i, {lo}) + 1)) AS range_sum FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k", {"lo": 4, "hi": 20}),
     "lazysegtree": Op("SELECT k, TOTAL(v * greatest(CAST(0 AS BIGINT), least(i + 2, {hi}) - greatest(i, {lo}) + 1)) AS range_sum, count(*) AS updates FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k", {"lo": 2, "hi": 12}),
     "minqueue": Op("SELECT k, seq, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS minimum FROM {ev}"),
-    "mos": Op("SELECT k, i AS query, CAST(size(items) AS BIGINT) AS distinct_values FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i, collect_set(v % 12) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS items FROM {ev}) x WHERE i % 5 = 0", {}, "SELECT q.k AS k, q.i AS query, count(DISTINCT e.v % 12) AS distinct_values FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) q JOIN (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) e ON q.k = e.k AND e.i BETWEEN q.i AND q.i + 7 WHERE q.i % 5 = 0 GROUP BY q.k, q.i"),
-    "segmenttree": Op("SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS query, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS least FROM {ev}", {}, "SELECT q.k AS k, q.i AS query, min(e.v) AS least FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) q JOIN (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) e ON q.k = e.k AND e.i >= q.i AND e.i < q.i + 6 GROUP BY q.k, q.i"),
+    "mos": Op("SELECT k, CAST(i AS BIGINT) AS query, CAST(size(items) AS BIGINT) AS distinct_values FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i, collect_set(v % 12) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS items FROM {ev}) x WHERE i % 5 = 0", {}, "SELECT q.k AS k, q.i AS query, count(DISTINCT e.v % 12) AS distinct_values FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) q JOIN (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) e ON q.k = e.k AND e.i BETWEEN q.i AND q.i + 7 WHERE q.i % 5 = 0 GROUP BY q.k, q.i"),
+    "segmenttree": Op("SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS query, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS least FROM {ev}", {}, "SELECT q.k AS k, q.i AS query, min(e.v) AS least FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) q JOIN (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) e ON q.k = e.k AND e.i >= q.i AND e.i < q.i + 6 GROUP BY q.k, q.i"),
     "sparsetable": Op("SELECT k, seq, least(min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)) AS least FROM {ev}", {}, "SELECT k, seq, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS least FROM {ev}"),
     "sqrtdecomp": Op("SELECT k, TOTAL(CASE WHEN b BETWEEN {lo} AND {hi} THEN s ELSE 0 END) AS block_sum, count(*) AS blocks FROM (SELECT k, INT((i - 1) / 8e0) AS b, TOTAL(v) AS s FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY 1, 2) y GROUP BY k", {"lo": 1, "hi": 3}),
-    "skiplist": Op("SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS place FROM (SELECT DISTINCT k, v FROM {ev}) x"),
+    "skiplist": Op("SELECT k, v, CAST(row_number() OVER (PARTITION BY k ORDER BY v) AS BIGINT) AS place FROM (SELECT DISTINCT k, v FROM {ev}) x"),
     "treap": Op("SELECT k, count(*) AS nodes, min(v) AS least, max(v) AS most, min_by(v, BUCKET(v, 1000003)) AS root FROM (SELECT DISTINCT k, v FROM {ev}) x GROUP BY k"),
     "twostackqueue": Op("SELECT e.k AS k, e.v AS dequeued, d.seq AS taken_at FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev} WHERE kind <> 'purchase') e JOIN (SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev} WHERE kind = 'purchase') d ON e.k = d.k AND e.r = d.r"),
     "xortrie": Op("SELECT a.k AS k, max(XOR(a.v, b.v)) AS best FROM {ev} a JOIN (SELECT DISTINCT k, v FROM {ev}) b ON a.k = b.k GROUP BY a.k"),
