@@ -11,18 +11,15 @@ from loomery.operators.skew import join_ids
 from loomery.shipping import shipped
 from loomery.sources.staging import staged
 
-#: A document is rejected when no language holds this share of the evidence.
-MIN_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language; null texts, texts without letters and unclear ones go.
+    """Keep documents with a recognised language, on however little evidence; null texts and texts without letters go.
 
     A document without an id cannot be named by the operator: it stays if its text has a letter.
     """
     model = language_id.train(docs)
     named = language_id.identify(docs, model)
-    rejected = named.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_SCORE)).select("doc_id")
+    rejected = named.filter(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id")
     rejected = staged(rejected.distinct(), "pipeline-rejected")
     readable = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return join_ids(docs.filter(readable), rejected, "doc_id", "left_anti").select(docs.columns)

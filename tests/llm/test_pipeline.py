@@ -67,3 +67,11 @@ def test_pipeline_of_an_empty_table_and_stage_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_language_stage_keeps_texts_of_little_evidence(spark):
+    rows, _ = planted()
+    texts = [*[(d, t, g) for d, t, g in rows if t and len(t) > 60], (900, "A.", "aa"), (901, "Re.", "bb"), (902, "In. The.", "aa"), (903, "xyzzy qwfpg", "bb"), (904, "12 34", "aa"), (905, None, "bb"), (906, "", "aa")]
+    docs = spark.createDataFrame([(d, t, g, "s", len(t or "")) for d, t, g in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {d for d, _, _ in texts} - {904, 905, 906}
