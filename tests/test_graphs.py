@@ -127,6 +127,12 @@ def test_components_of_chains_stars_and_noise(spark):
     assert out == {x: find(x) for x in list(parent)}
 
 
+def test_components_of_a_chain_whose_ids_rise_and_fall(spark):
+    ids = [*range(0, 500, 2), *range(499, 0, -2)]
+    out = connected_components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")).collect()
+    assert {(r["node"], r["component"]) for r in out} == {(k, 0) for k in range(500)} and len(out) == 500
+
+
 def test_hull_and_alias_table():
     rng = random.Random(9)
     for _ in range(200):
