@@ -2,10 +2,12 @@
 
 Natural language and identifiers cost few tokens for their length under a BPE
 vocabulary; keys and passwords do not.  Runs of 20 or more credential
-characters with at least one digit and one letter are measured in characters per token; below
+characters with at least one letter are measured in characters per token; below
 ``MAX_RATIO`` a run is reported, unless it is a known digest (hex of a usual
-digest's length), a UUID, an identifier of plain words, in the caller's list
-of known strings, or already inside a pattern's span.
+digest's length), a UUID, an identifier of words, in the caller's list
+of known strings, or already inside a pattern's span.  What looks like an
+identifier is one only if each of its letter groups has ``MAX_RATIO``
+characters per token or more on its own.
 
 Defined results: a null text counts as empty; spans are in code points, end
 exclusive; a null doc_id is passed through; repeated rows are reported once
@@ -35,6 +37,7 @@ _ALL_HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 # Words of two letters or more and short numbers; possessive, so it never backtracks.
 _IDENTIFIER = re.compile(r"(?:[-_/=+]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+))++\Z")
+_LETTERS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")  # its letter groups
 _HEX_CLASS = bytes(104 if chr(b) in "0123456789abcdef" else 46 for b in range(256))
 
 
@@ -52,8 +55,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def looks_named(run: str, known: frozenset[str] = frozenset()) -> bool:
-    """Whether a run is a digest, a UUID, an identifier of words, or listed."""
-    if run in known or _UUID.match(run) or _IDENTIFIER.match(run):
+    """Whether a run is a digest, a UUID, or listed."""
+    if run in known or _UUID.match(run):
         return True
     return len(run) in _DIGEST_LENGTHS and bool(_ALL_HEX.match(run))
 
@@ -71,15 +74,17 @@ class TokenEfficiency:
     def ratio(self, run: str) -> float:
         return len(run) / max(len(self.plain.encode_ordinary(run)), 1)
 
+    def of_words(self, run: str) -> bool:
+        """Whether a run is an identifier whose letter groups are all efficient themselves."""
+        return bool(_IDENTIFIER.match(run)) and all(self.ratio(group) >= MAX_RATIO for group in _LETTERS.findall(run))
+
     def spans(self, text: str, base: list[tuple[int, int, int]], max_ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
         out = []
         for m in _RUN.finditer(text):
             run = m[0]
-            if not any(c in "0123456789" for c in run) or run.isdigit() or looks_named(run, known):
-                continue
-            if not any(c.isalpha() for c in run) or any(s < m.end() and m.start() < e for s, _, e in base):
+            if not any(c.isalpha() for c in run) or looks_named(run, known) or any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
-            if self.ratio(run) < max_ratio:
+            if self.ratio(run) < max_ratio and not self.of_words(run):
                 out.append((m.start(), 3, m.end()))
         return out
 

@@ -395,6 +395,17 @@ def test_random_strings_by_token_efficiency(spark):
     assert none == []
 
 
+def test_random_strings_of_one_case_or_letters_only_are_no_identifiers():
+    test, rng = secrets.TokenEfficiency(RANKS, PATTERN), random.Random(12)
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        low = [key for _ in range(300) if test.ratio(key := "".join(rng.choices(letters, k=32))) < secrets.MAX_RATIO]
+        assert len(low) > 270
+        assert sum(test.spans(key, [], secrets.MAX_RATIO, frozenset()) == [(0, 3, 32)] for key in low) >= 0.99 * len(low)
+    assert test.spans("JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP", [], secrets.MAX_RATIO, frozenset())
+    for name in ("node-12-of-34-in-rack-56", "the_quick_brown_fox_version_2", "internationalization", "2024-01-15/2024-02-01/2024"):
+        assert not test.spans(name, [], secrets.MAX_RATIO, frozenset())
+
+
 # ---- n-gram join
 
 
