@@ -6,14 +6,16 @@ of one window length are matched with the items' through a multi-index:
 ``RADIUS + 1`` blocks of bits, of which two fingerprints within the radius must
 agree in one (pigeonhole), so all within it are found.  Candidates are verified
 by the weighted Jaccard similarity of the shingles, weights being multiplicities.
+A document shorter than an item is one window as a whole, of its own length.
 
 Not every window is fingerprinted.  A window of an item's length can reach the
 similarity only if at least ``least_shared`` of its positions hold a shingle of
-some item of that length; a bit table of the benchmark's shingles finds
+some item of that length, and a shorter document only if as many of its positions do as
+the similarity asks of both lengths; a bit table of the benchmark's shingles finds
 documents that can have such windows in the scan itself, and only these go on.
 This bound loses nothing.  At a similarity of exactly 0.8 a fingerprint differs in about
 9.7 bits with a deviation of 2.9, so a radius of 19 holds all but about 1 in 2,000 such
-windows, and a leak has several.
+windows, and a leak has several; a document shorter than the item has only one.
 
 The bit table grows with the benchmark and is sent with the plan, so it is used
 up to ``MAX_TABLE_SHINGLES`` shingles; beyond, shingles are joined by shuffling.
@@ -59,6 +61,11 @@ def least_shared(n: Column, percent: int = PERCENT) -> Column:
     return F.ceil(n * F.lit(2 * percent) / F.lit(100 + percent)).cast("int")
 
 
+def _can_reach(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m that share so many can reach the similarity."""
+    return shared * (100 + percent) >= (n + m) * percent
+
+
 def simhash(shingles: Column) -> Column:
     """Bit b is set when it is set in more than half of the hashes."""
 
@@ -103,17 +110,19 @@ def _bit_table(gate: DataFrame, count: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), bits
 
 
-def _candidates(docs: DataFrame, gate: DataFrame, width: int, shortest: int, longest: int) -> DataFrame:
-    """Documents in which ``shortest`` gate positions lie within ``longest`` words:
+def _candidates(docs: DataFrame, gate: DataFrame, width: int, shortest: int, longest: int, percent: int) -> DataFrame:
+    """Documents in which ``shortest`` gate positions lie within ``longest`` words, and
+    those shorter than ``longest`` with enough of them for an item of one word more:
     ``(key, doc_id, shingles, hits)``."""
     hashed = F.transform(F.transform(F.array(words(F.col("text"))), _trimmed), lambda w: _shingles(w, width))
     gate = gate.filter(F.col("width") == width).select("h").distinct()
     count = gate.count()
 
-    def close(hits: Column) -> Column:
+    def close(hits: Column, n: Column) -> Column:
         ends = F.sequence(F.lit(0), F.size(hits) - shortest)
         near = F.exists(ends, lambda k: F.get(hits, k + (shortest - 1)) - F.get(hits, k) <= longest - width)
-        return F.when(F.size(hits) >= shortest, near).otherwise(F.lit(False))
+        part = (n <= longest - width) & _can_reach(F.size(hits), n, n + 1, percent)
+        return F.when(F.size(hits) >= shortest, near).otherwise(F.lit(False)) | part
 
     if count <= MAX_TABLE_SHINGLES:
         table, bits = _bit_table(gate, count)
@@ -128,21 +137,24 @@ def _candidates(docs: DataFrame, gate: DataFrame, width: int, shortest: int, lon
 
         # One generator over nested lambdas: every step is evaluated once a row, and no
         # filter on a derived array can be pushed down and repeat it.
-        kept = F.filter(F.transform(hashed, places), lambda x: close(x["hits"]))
+        kept = F.filter(F.transform(hashed, places), lambda x: close(x["hits"], F.size(x["shingles"])))
         found = docs.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.shingles", "x.hits")
         return found.withColumn("key", F.monotonically_increasing_id())
     keyed = staged(docs.select("doc_id", F.explode(hashed).alias("shingles")).withColumn("key", F.monotonically_increasing_id()), "decon-hashed")
-    places = keyed.select("key", F.posexplode("shingles").alias("at", "h")).join(gate, "h", "left_semi")
-    listed = staged(places.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("hits")), "decon-hits")
-    return keyed.join(listed.filter(close(F.col("hits"))), "key")
+    places = keyed.select("key", F.size("shingles").alias("n"), F.posexplode("shingles").alias("at", "h")).join(gate, "h", "left_semi")
+    listed = staged(places.groupBy("key", "n").agg(F.sort_array(F.collect_list("at")).alias("hits")), "decon-hits")
+    return keyed.join(listed.filter(close(F.col("hits"), F.col("n"))).drop("n"), "key")
+
 
+def _windows(found: DataFrame, gate: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(key, doc_id, length, start, shingles)`` of all windows that can reach the similarity.
 
-def _windows(found: DataFrame, gate: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """``(key, doc_id, length, start, shingles)`` of all windows that can reach the similarity."""
+    ``length`` is the item's; a document shorter than that is one window from 0.
+    """
     marks = F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("shingles", i).alias("h")))
-    places = found.select("key", F.explode(marks).alias("m")).select("key", "m.at", "m.h")
+    places = found.select("key", F.size("shingles").alias("n"), F.explode(marks).alias("m")).select("key", "n", "m.at", "m.h")
     exact = places.join(gate.filter(F.col("width") == width).select("h", "length"), "h")
-    runs = exact.groupBy("key", "length").agg(F.sort_array(F.collect_set("at")).alias("at")).join(sizes, "length")
+    runs = exact.groupBy("key", "length", "n").agg(F.sort_array(F.collect_set("at")).alias("at")).join(sizes, "length")
     span = F.col("length") - width  # the last shingle starts this far into the window
     enough = runs.filter(F.size("at") >= F.col("least"))
 
@@ -152,8 +164,10 @@ def _windows(found: DataFrame, gate: DataFrame, sizes: DataFrame, width: int) ->
         return F.when(low <= first, F.sequence(low, F.greatest(first, low))).otherwise(F.array().cast("array<int>"))
 
     every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), starts)))
-    placed = enough.select("key", "length", F.explode(every).alias("start"))
-    whole = placed.join(found.select("key", "doc_id", "shingles"), "key").filter(F.col("start") + F.col("length") - width < F.size("shingles"))
+    placed = enough.select("key", "length", "n", F.explode(every).alias("start")).filter(F.col("start") + span < F.col("n")).drop("n")
+    part = runs.filter((F.col("n") <= span) & _can_reach(F.size("at"), F.col("n"), span + 1, percent))
+    placed = placed.unionByName(part.select("key", "length", F.lit(0).alias("start")))
+    whole = placed.join(found.select("key", "doc_id", "shingles"), "key")
     return whole.select("key", "doc_id", "length", "start", F.slice("shingles", F.col("start") + 1, F.col("length") - (width - 1)).alias("shingles"))
 
 
@@ -172,8 +186,8 @@ def contaminated(
     indexed = items.select("item_id", "length", F.size("shingles").alias("n_item"), F.col("fingerprint").alias("item_print"), F.col("counted").alias("item_counted"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
     for bound in bounds:
         width = bound["width"]
-        found = staged(_candidates(docs, gate, width, bound["least"], bound["longest"]), "decon-found")
-        windows = _windows(found, gate, sizes.filter(F.col("width") == width).select("length", "least"), width)
+        found = staged(_candidates(docs, gate, width, bound["least"], bound["longest"], percent), "decon-found")
+        windows = _windows(found, gate, sizes.filter(F.col("width") == width).select("length", "least"), width, percent)
         printed = staged(windows.withColumn("fingerprint", simhash(F.col("shingles"))), "decon-windows")
         probes = printed.select("key", "doc_id", "length", "start", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
         near = probes.join(indexed, ["length", "b"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)

@@ -301,6 +301,19 @@ def test_decontamination_finds_all_similar_windows(spark, monkeypatch, table_lim
     assert all(out[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("table_limit", [1 << 19, 0])
+def test_decontamination_finds_truncated_items_as_whole_documents(spark, monkeypatch, table_limit):
+    monkeypatch.setattr(decontaminate, "MAX_TABLE_SHINGLES", table_limit)
+    rng = random.Random(9)
+    item, other = (rng.choices([f"w{k}" for k in range(200)], k=40) for _ in range(2))
+    texts = {1: item[:39], 2: item[3:], 3: item[:33], 4: item[:32], 5: item[:20], 6: item[:4], 7: item[1:39] + ["end"], 8: item}
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "x y z")], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, [(d, " ".join(w)) for d, w in texts.items()]), bench).collect()
+    out = {r["doc_id"]: (r["item_id"], r["similarity"], r["window_start"]) for r in found}
+    assert len(out) == len(found)
+    assert out == {d: (1, pytest.approx(n / whole), 0) for d, n, whole in ((1, 35, 36), (2, 33, 36), (3, 29, 36), (7, 34, 36 + 1), (8, 36, 36))}
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, [(1, "a b c d e f")]), bench).collect() == []
