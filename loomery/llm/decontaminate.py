@@ -23,7 +23,8 @@ up to ``MAX_TABLE_SHINGLES`` shingles; beyond, shingles are joined by shuffling.
 Words are lower-cased runs of letters and digits.  Defined results: null texts
 and items without words match nothing; items of fewer than five words have
 their whole sequence as one shingle; repeated rows give repeated-row matches
-under one (doc_id, item_id); an empty table on either side gives no rows;
+under one (doc_id, item_id), and so do benchmark rows of one id, each tested by
+itself; an empty table on either side gives no rows;
 further columns are ignored.
 """
 
@@ -96,7 +97,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = benchmark.select(F.col(id_col).cast("long").alias("item_id"), _trimmed(words(F.col(text_col))).alias("w")).filter(F.size("w") > 0)
     shingles = F.when(F.size("w") >= WIDTH, _shingles(F.col("w"), WIDTH)).otherwise(F.array(F.xxhash64("w")))
     rows = split.select("item_id", F.size("w").alias("length"), F.least(F.size("w"), F.lit(WIDTH)).alias("width"), shingles.alias("shingles"))
-    return rows.withColumn("fingerprint", simhash(F.col("shingles"))).withColumn("counted", _counted(F.col("shingles")))
+    return rows.withColumn("item", F.monotonically_increasing_id()).withColumn("fingerprint", simhash(F.col("shingles"))).withColumn("counted", _counted(F.col("shingles")))
 
 
 def _bit_table(gate: DataFrame, count: int) -> tuple[Column, int]:
@@ -183,7 +184,7 @@ def contaminated(
     sizes = items.select("width", "length", least_shared(F.size("shingles"), percent).alias("least")).distinct()
     out = None
     bounds = sizes.groupBy("width").agg(F.min("least").alias("least"), F.max("length").alias("longest")).collect()  # at most five rows
-    indexed = items.select("item_id", "length", F.size("shingles").alias("n_item"), F.col("fingerprint").alias("item_print"), F.col("counted").alias("item_counted"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
+    indexed = items.select("item", "item_id", "length", F.size("shingles").alias("n_item"), F.col("fingerprint").alias("item_print"), F.col("counted").alias("item_counted"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
     for bound in bounds:
         width = bound["width"]
         found = staged(_candidates(docs, gate, width, bound["least"], bound["longest"], percent), "decon-found")
@@ -191,7 +192,7 @@ def contaminated(
         printed = staged(windows.withColumn("fingerprint", simhash(F.col("shingles"))), "decon-windows")
         probes = printed.select("key", "doc_id", "length", "start", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
         near = probes.join(indexed, ["length", "b"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)
-        pairs = near.select("key", "length", "start", "item_id", "n_item", "hamming", "item_counted").dropDuplicates(["key", "length", "start", "item_id"])
+        pairs = near.select("key", "length", "start", "item", "item_id", "n_item", "hamming", "item_counted").dropDuplicates(["key", "length", "start", "item"])
         tested = pairs.join(printed.select("key", "doc_id", "length", "start", "shingles"), ["key", "length", "start"])
         shared = F.size(F.array_intersect(_counted(F.col("shingles")), F.col("item_counted")))
         scored = tested.select("doc_id", "item_id", "start", "hamming", shared.alias("shared"), (F.size("shingles") + F.col("n_item") - shared).alias("whole"))

@@ -314,6 +314,15 @@ def test_decontamination_finds_truncated_items_as_whole_documents(spark, monkeyp
     assert out == {d: (1, pytest.approx(n / whole), 0) for d, n, whole in ((1, 35, 36), (2, 33, 36), (3, 29, 36), (7, 34, 36 + 1), (8, 36, 36))}
 
 
+def test_decontamination_tests_each_row_of_a_repeated_item_id(spark):
+    rng = random.Random(11)
+    base = rng.choices([f"w{k}" for k in range(200)], k=40)
+    texts = [" ".join(base[:at] + ["edit"] + base[at + 1 :]) for at in range(0, 40, 2)]
+    bench = spark.createDataFrame([(i, t) for i in (None, 5) for t in texts], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, list(enumerate(texts))), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == {(d, i): 1.0 for d in range(len(texts)) for i in (None, 5)}
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, [(1, "a b c d e f")]), bench).collect() == []
