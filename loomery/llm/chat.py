@@ -28,6 +28,7 @@ OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
 OTHER_OPEN, OTHER_CLOSE, SEPARATOR = "[ROLE ", "[/ROLE]", "[SEP]"
 _OPENED = r"^(<<SYS>>|\[INST\]|<s>|\[ROLE [^\]]*\])"
+_CHUNK = 128
 _CLOSED = r"<</SYS>>|\[/INST\]|</s>|\[/ROLE\]"
 
 
@@ -56,38 +57,87 @@ def _mark(role: Column, table: dict[str, str], other: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(turns: Column) -> Column:
+    """Sorted turns with neighbours of one role merged: ``array<struct<role, texts>>``.
+
+    A run begins where the role changes; each run's texts are aggregated from
+    its slice of the turns, so the work is linear in the turns.
+    """
+    places = F.transform(turns, lambda t, i: F.struct(i.alias("at"), ((i == 0) | (F.get(turns, i - 1)["role"] != t["role"])).alias("first")))
+    starts = F.transform(F.filter(places, lambda p: p["first"]), lambda p: p["at"])
+    return _let(starts, lambda s: F.transform(s, lambda at, k: _run(turns, at, F.coalesce(F.get(s, k + 1), F.size(turns)))))
+
+
+def _run(turns: Column, start: Column, end: Column) -> Column:
+    texts = F.transform(F.slice(turns, start + 1, end - start), lambda t: escape(t["text"]))
+    return F.struct(F.get(turns, start)["role"].alias("role"), texts.alias("texts"))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """``(conv_id, formatted, loss_spans)`` from rows ``(conv_id, turn, role, text)``.
 
-    ``loss_spans`` are ``struct<start,length>`` in code points from 0.
+    ``loss_spans`` are ``struct<start,length>`` in code points from 0, one for each assistant text.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     turn = F.struct(F.col("turn"), role.alias("role"), text.alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    def marked(t: Column, i: Column) -> Column:
-        """What comes before a turn's text, the text, and what closes the block."""
-        role = t["role"]
-        other = F.concat(F.lit(OTHER_OPEN), _escape_role(role), F.lit("]"))
-        joins = (i > 0) & (F.get(F.col("turns"), i - 1)["role"] == role)
-        ends = (i == F.size("turns") - 1) | (F.get(F.col("turns"), i + 1)["role"] != role)
-        before = F.when(joins, F.lit(SEPARATOR)).otherwise(_mark(role, OPEN, other))
-        after = F.when(ends, _mark(role, CLOSE, F.lit(OTHER_CLOSE))).otherwise(F.lit(""))
-        return F.struct(role.alias("role"), before.alias("before"), escape(t["text"]).alias("body"), after.alias("after"))
-
-    parts = chats.select("conv_id", F.transform("turns", marked).alias("parts"))
-
-    def span(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["before"])
-        width = F.length(p["body"])
-        one = F.array(F.struct(start.alias("start"), width.alias("length")))
-        spans = F.when(p["role"] == "assistant", F.concat(state["spans"], one)).otherwise(state["spans"])
-        return F.struct((start + width + F.length(p["after"])).alias("at"), spans.alias("spans"))
-
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    spans = F.aggregate("parts", F.struct(F.lit(0).alias("at"), none.alias("spans")), span, lambda s: s["spans"])
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["before"], p["body"], p["after"])), "")
-    return parts.select("conv_id", whole.alias("formatted"), spans.alias("loss_spans"))
+    def marked(b: Column) -> Column:
+        """A merged block and the marks of its role."""
+        other = F.concat(F.lit(OTHER_OPEN), _escape_role(b["role"]), F.lit("]"))
+        return F.struct(b["role"].alias("role"), _mark(b["role"], OPEN, other).alias("opened"), b["texts"].alias("texts"), _mark(b["role"], CLOSE, F.lit(OTHER_CLOSE)).alias("closed"))
+
+    parts = chats.select("conv_id", F.transform(_blocks(F.col("turns")), marked).alias("parts"))
+
+    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["opened"], F.array_join(p["texts"], SEPARATOR), p["closed"])), "")
+    return parts.select("conv_id", whole.alias("formatted"), _loss_spans(F.col("parts")).alias("loss_spans"))
+
+
+def _loss_spans(parts: Column) -> Column:
+    """Where the texts of assistants are in the output.
+
+    Appending to an array copies it, so places are summed up in chunks: the
+    chunks' widths first, then the places within each chunk.
+    """
+
+    def measured(p: Column) -> Column:
+        def one(t: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.length(p["opened"])).otherwise(len(SEPARATOR))
+            after = F.when(k == F.size(p["texts"]) - 1, F.length(p["closed"])).otherwise(0)
+            return F.struct(before.alias("before"), F.length(t).alias("n"), after.alias("after"), (p["role"] == "assistant").alias("loss"))
+
+        return F.transform(p["texts"], one)
+
+    def chunked(pieces: Column) -> Column:
+        count = F.ceil(F.size(pieces) / F.lit(float(_CHUNK))).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(pieces, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def past(at: Column, x: Column) -> Column:
+        return at + x["before"] + x["n"] + x["after"]
+
+    def starts(chunks: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            return F.struct((s["at"] + F.aggregate(c, F.lit(0), past)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda s: s["all"])
+
+    def within(start: Column, c: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            one = F.array(F.struct((s["at"] + x["before"]).alias("start"), x["n"].alias("length")))
+            return F.struct(past(s["at"], x).alias("at"), F.when(x["loss"], F.concat(s["spans"], one)).otherwise(s["spans"]).alias("spans"))
+
+        none = F.array().cast("array<struct<start:int,length:int>>")
+        return F.aggregate(c, F.struct(start.alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+
+    def placed(chunks: Column) -> Column:
+        return _let(starts(chunks), lambda at: F.flatten(F.transform(chunks, lambda c, i: within(F.get(at, i), c))))
+
+    return _let(F.flatten(F.transform(parts, measured)), lambda pieces: _let(chunked(pieces), placed))
 
 
 def parse_chats(formatted: DataFrame, *carried: str) -> DataFrame:
