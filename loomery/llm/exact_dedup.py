@@ -33,7 +33,6 @@ from loomery.operators.skew import HOT_SHARE, join_ids
 from loomery.sources.staging import staged
 
 BUCKET_ENTRIES = 32768
-_NULL_ID = -(1 << 63)
 _INDEX = "bucket long, n long, sizes binary, bits binary, digests binary, `values` binary"
 
 
@@ -78,8 +77,7 @@ def build_index(groups: DataFrame, distinct: int) -> DataFrame:
 
         def shard() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            ids = table["winner"].fill_null(_NULL_ID).to_numpy()
-            made = Shard(as_words(table["digest"].to_pylist()), [ids, table["winner_row"].to_numpy(), table["size"].to_numpy()])
+            made = Shard(as_words(table["digest"].to_pylist()), _slots(table["winner"].to_pylist(), table["winner_row"].to_numpy(), table["size"].to_numpy()))
             row = {"bucket": table["bucket"][0].as_py(), "n": table.num_rows, **made.dump()}
             kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
@@ -99,12 +97,18 @@ def build_index(groups: DataFrame, distinct: int) -> DataFrame:
     return spread.mapInArrow(build, _INDEX)
 
 
+def _slots(winners: list[int | None], rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Columns of the slots; a winner without an id has its size negated."""
+    ids = np.array([w or 0 for w in winners], np.int64)
+    return [ids, rows, np.where([w is None for w in winners], -sizes, sizes)]
+
+
 def _answer(ids: pa.Array, rows: pa.Array, digests: pa.Array, member: np.ndarray, slot: np.ndarray, shard: Shard | None) -> pa.RecordBatch:
     at = np.where(member, slot, 0)
     columns = [np.where(member, c[at], 0) if shard is not None and len(shard.words) else np.zeros(len(at), np.int64) for c in (shard.columns if shard is not None and len(shard.words) else [None] * 3)]
-    winner = pa.array(columns[0], pa.int64(), mask=~member | (columns[0] == _NULL_ID))
+    winner = pa.array(columns[0], pa.int64(), mask=~member | (columns[2] < 0))
     return pa.RecordBatch.from_arrays(
-        [ids, rows, digests, pa.array(member), winner, pa.array(columns[1], pa.int64(), mask=~member), pa.array(columns[2], pa.int64(), mask=~member)],
+        [ids, rows, digests, pa.array(member), winner, pa.array(columns[1], pa.int64(), mask=~member), pa.array(np.abs(columns[2]), pa.int64(), mask=~member)],
         names=["doc_id", "row", "digest", "member", "winner", "winner_row", "size"],
     )
 
@@ -119,8 +123,7 @@ def look_up(rows: DataFrame, groups: DataFrame, index: DataFrame, distinct: int,
     limit = max(total // HOT_SHARE, 1000)
     hot = groups.filter(F.col("size") > limit).collect()  # at most HOT_SHARE rows
     hot_words = as_words([bytes(r["digest"]) for r in hot]) if hot else np.zeros((0, 4), np.uint64)
-    ids = np.array([_NULL_ID if r["winner"] is None else r["winner"] for r in hot], np.int64)
-    few = spark.sparkContext.broadcast((hot_words, ids, np.array([r["winner_row"] for r in hot], np.int64), np.array([r["size"] for r in hot], np.int64)))
+    few = spark.sparkContext.broadcast((hot_words, *_slots([r["winner"] for r in hot], *(np.array([r[c] for r in hot], np.int64) for c in ("winner_row", "size")))))
 
     def find_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, *columns = few.value

@@ -2,8 +2,8 @@
 
 One file per range of documents, in ascending order of their ids.  Each
 document's ids (little-endian unsigned 32-bit) are one zstandard frame with its own content
-checksum.  Two skippable frames end the file: the doc_ids of the frames, and
-the seek table of the public zstd seekable format (compressed size,
+checksum.  Two skippable frames end the file: the number of frames without an id
+(they come first) and the doc_ids of the frames, and the seek table of the public zstd seekable format (compressed size,
 decompressed size and the low 32 bits of XXH64 of the content for each frame,
 then the frame count, a descriptor byte and the magic number).  A reader fetches
 the tail, then only the frames it was asked for; a whole file is also a valid
@@ -16,6 +16,7 @@ an empty table gives no files and no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -33,7 +34,15 @@ from pyspark.sql import functions as F
 # Magic numbers of the zstd seekable format.
 _SKIPPABLE, _IDS_FRAME, _SEEKABLE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 _CHECKSUMS = 0x80
-_NULL_ID = -(1 << 63)
+# The normaliser and the splitting of lower-casing vocabularies with word ends.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _MEMO_WORDS, _MEMO_LONGEST = 1_200_000, 120
 _TEXTS = 64
 
@@ -42,17 +51,19 @@ class FrameWriter:
     """Writes documents to an open binary stream."""
 
     def __init__(self, stream, level: int = 1):
-        self.stream, self.ids, self.entries = stream, [], []
+        self.stream, self.ids, self.entries, self.nulls = stream, [], [], 0
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
-    def add(self, doc_id: int, payload: bytes) -> None:
+    def add(self, doc_id: int | None, payload: bytes) -> None:
+        """Append a document; those without an id come first."""
         frame = self.pack.compress(payload)
         self.stream.write(frame)
-        self.ids.append(doc_id)
+        self.ids.append(doc_id or 0)
+        self.nulls += doc_id is None
         self.entries.append((len(frame), len(payload), xxhash.xxh64_intdigest(payload) & 0xFFFFFFFF))
 
     def close(self) -> None:
-        ids = np.array(self.ids, "<i8").tobytes()
+        ids = np.array([self.nulls, *self.ids], "<i8").tobytes()
         self.stream.write(struct.pack("<II", _IDS_FRAME, len(ids)) + ids)
         table = np.array(self.entries, "<u4").tobytes() + struct.pack("<IBI", len(self.entries), _CHECKSUMS, _SEEKABLE)
         self.stream.write(struct.pack("<II", _SKIPPABLE, len(table)) + table)
@@ -68,10 +79,11 @@ class FrameReader:
         if magic != _SEEKABLE:
             raise ValueError("no seek table")
         tail = 8 + 12 * count + 9
-        source.seek(size - tail - 8 * count - 8)
-        raw = source.read(8 * count + 8 + tail)
-        self.ids = np.frombuffer(raw, "<i8", count, 8)
-        self.entries = np.frombuffer(raw, "<u4", 3 * count, 16 + 8 * count).reshape(count, 3)
+        source.seek(size - tail - 8 * count - 16)
+        raw = source.read(8 * count + 16 + tail)
+        self.nulls = int(np.frombuffer(raw, "<i8", 1, 8)[0])
+        self.ids = np.frombuffer(raw, "<i8", count, 16)
+        self.entries = np.frombuffer(raw, "<u4", 3 * count, 24 + 8 * count).reshape(count, 3)
         self.offsets = np.concatenate(([0], np.cumsum(self.entries[:, 0], dtype=np.int64)))
 
     def frame(self, k: int) -> np.ndarray:
@@ -84,7 +96,8 @@ class FrameReader:
 
     def find(self, doc_id: int) -> list[int]:
         """The frames of a document: none, one, or one for each repeated row."""
-        return list(range(int(np.searchsorted(self.ids, doc_id, "left")), int(np.searchsorted(self.ids, doc_id, "right"))))
+        low, high = (self.nulls + int(np.searchsorted(self.ids[self.nulls :], doc_id, side)) for side in ("left", "right"))
+        return list(range(low, high))
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -92,6 +105,13 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
 
 
+def _splits_at_spaces(tokenizer) -> bool:
+    """Whether the file states the normaliser and the splitting that :class:`WordMemo` relies on."""
+    stated = json.loads(tokenizer.to_str())
+    plain = all(t["special"] for t in stated["added_tokens"]) and not stated["truncation"] and not stated["padding"]
+    return plain and stated["normalizer"] == _NORMALIZER and stated["pre_tokenizer"] == _SPLITTER and not stated["model"].get("dropout")
+
+
 class WordMemo:
     """Encodes texts word by word through the tokenizers library.
 
@@ -102,6 +122,9 @@ class WordMemo:
     of Latin letters and closing punctuation are split there, as the
     vocabulary splits them, and their lower-cased letters are encoded many at
     a time: a letter run is one word, and its last id alone is a word end.
+
+    All this holds for the normaliser and the splitting of one family of
+    vocabularies; a file that states any other has its texts encoded whole.
     """
 
     def __init__(self, path: str):
@@ -109,6 +132,7 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.by_word = _splits_at_spaces(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -147,6 +171,8 @@ class WordMemo:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit."""
+        if not self.by_word:
+            return self._many(texts)
         if len(self.known) > _MEMO_WORDS:
             self.known = {"": b""}
         known = self.known
@@ -199,7 +225,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 writer = FrameWriter(stream)
             for k in range(0, len(batch), _TEXTS):
                 some = batch.slice(k, _TEXTS)
-                for doc_id, ids in zip(some.column(0).fill_null(_NULL_ID).to_pylist(), memo.encode(some.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), memo.encode(some.column(1).to_pylist()), strict=True):
                     payload = ids + end
                     tokens += len(payload) // 4
                     writer.add(doc_id, payload)
@@ -243,7 +269,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                     frames = range(len(reader.ids)) if wanted is None else [k for d in wanted for k in reader.find(d)]
                     for some in (frames[i : i + 512] for i in range(0, len(frames), 512)):
                         ids = [reader.frame(k).tobytes() for k in some]
-                        doc = [None if reader.ids[k] == _NULL_ID else int(reader.ids[k]) for k in some]
+                        doc = [None if k < reader.nulls else int(reader.ids[k]) for k in some]
                         columns = [[part] * len(ids), [int(before[k]) for k in some], doc, [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]]
                         arrays = [pa.array(c, pa.int64()) for c in columns] + ([pa.array(ids, pa.binary())] if with_ids else [])
                         yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -29,7 +29,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.errors import Stopped
 from loomery.llm.frames import file_system
 from loomery.llm.shingles import buffers
 from loomery.operators.skew import join_back
@@ -224,30 +223,30 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return listed.mapInArrow(read, RECORD_SCHEMA)
 
 
-def assemble(records: DataFrame, max_hops: int = 8) -> DataFrame:
+def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: ``(capture_id, response struct, requests array, metadata array)``.
 
     Links are followed in both directions, hop by hop from the responses, until
-    every linked record has one; a record that reaches several belongs to the
-    one with the least id.
+    a hop reaches no new record; a record that reaches several responses belongs to the
+    nearest, and of those to the one with the least id.  Each hop joins the
+    records first reached in the hop before, so the work is that of the links; a
+    chain of n records takes n hops.
     """
     anchor = F.col("record_type").isin(*ANCHORS)
     others = records.filter(~anchor)
     links = records.select("record_id", F.explode("concurrent_to").alias("to"))
     edges = staged(links.select(F.col("record_id").alias("a"), F.col("to").alias("b")).unionByName(links.select(F.col("to").alias("a"), F.col("record_id").alias("b"))), "warc-links")
     heads = records.filter(anchor).select("record_id")
-    reached = heads.select("record_id", F.col("record_id").alias("capture_id"))
-    wave, owned = reached, None
-    for hop in range(max_hops + 1):
+    wave, owned = heads.select("record_id", F.col("record_id").alias("capture_id")), None
+    while True:
         step = edges.join(wave.withColumnRenamed("record_id", "a"), "a").groupBy(F.col("b").alias("record_id")).agg(F.min("capture_id").alias("capture_id"))
         step = step.join(heads, "record_id", "left_anti")
         wave = staged(step if owned is None else step.join(owned, "record_id", "left_anti"), "warc-wave")
         if not wave.limit(1).collect():
             break
-        if hop == max_hops:
-            raise Stopped(f"links longer than {max_hops} hops")
-        owned = wave if owned is None else owned.unionByName(wave)
-        if not others.join(owned, "record_id", "left_anti").filter(F.size("concurrent_to") > 0).limit(1).collect():
+        owned = wave if owned is None else staged(owned.unionByName(wave), "warc-owned")
+        # Only records that links name can be reached; none left, and the next hop is empty.
+        if not others.join(owned, "record_id", "left_anti").join(edges.select(F.col("b").alias("record_id")), "record_id", "left_semi").limit(1).collect():
             break
     body = F.struct("record_id", "record_type", "target_uri", "warc_date", "payload_bytes", "block")
     placed = others.join(owned, "record_id", "left") if owned is not None else others.withColumn("capture_id", F.lit(None).cast("string"))
