@@ -13,7 +13,14 @@ similarity only if at least ``least_shared`` of its positions hold a shingle of
 some item of that length, and a shorter document only if as many of its positions do as
 the similarity asks of both lengths; a bit table of the benchmark's shingles finds
 documents that can have such windows in the scan itself, and only these go on.
-This bound loses nothing.  At a similarity of exactly 0.8 a fingerprint differs in about
+
+Blocks of three or four bits select little by themselves, so the index is keyed by a
+block and an *anchor*.  Shingles are ordered by the number of items of one length that
+hold them, rare first, then by value; two multisets that share at least o of their n
+shingles share one of the first n - o + 1 of both.  These are the anchors, and a
+window meets only items with an equal anchor and an equal block.
+
+Both bounds lose nothing.  At a similarity of exactly 0.8 a fingerprint differs in about
 9.7 bits with a deviation of 2.9, so a radius of 19 holds all but about 1 in 2,000 such
 windows, and a leak has several; a document shorter than the item has only one.
 
@@ -154,8 +161,9 @@ def _windows(found: DataFrame, gate: DataFrame, sizes: DataFrame, width: int, pe
     """
     marks = F.transform("hits", lambda i: F.struct(i.alias("at"), F.get("shingles", i).alias("h")))
     places = found.select("key", F.size("shingles").alias("n"), F.explode(marks).alias("m")).select("key", "n", "m.at", "m.h")
-    exact = places.join(gate.filter(F.col("width") == width).select("h", "length"), "h")
-    runs = exact.groupBy("key", "length", "n").agg(F.sort_array(F.collect_set("at")).alias("at")).join(sizes, "length")
+    exact = places.join(gate.filter(F.col("width") == width).select("h", "length", "held"), "h")
+    marked = F.sort_array(F.collect_set(F.struct("at", "held", "h"))).alias("marks")
+    runs = exact.groupBy("key", "length", "n").agg(marked).withColumn("at", F.col("marks.at")).join(sizes, "length")
     span = F.col("length") - width  # the last shingle starts this far into the window
     enough = runs.filter(F.size("at") >= F.col("least"))
 
@@ -165,11 +173,43 @@ def _windows(found: DataFrame, gate: DataFrame, sizes: DataFrame, width: int, pe
         return F.when(low <= first, F.sequence(low, F.greatest(first, low))).otherwise(F.array().cast("array<int>"))
 
     every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), starts)))
-    placed = enough.select("key", "length", "n", F.explode(every).alias("start")).filter(F.col("start") + span < F.col("n")).drop("n")
+    placed = enough.select("key", "length", "n", "marks", F.explode(every).alias("start")).filter(F.col("start") + span < F.col("n"))
     part = runs.filter((F.col("n") <= span) & _can_reach(F.size("at"), F.col("n"), span + 1, percent))
-    placed = placed.unionByName(part.select("key", "length", F.lit(0).alias("start")))
+    placed = placed.unionByName(part.select("key", "length", "n", "marks", F.lit(0).alias("start")))
+    size = F.least(F.col("n"), span + 1)
+    inside = F.filter("marks", lambda m: (m["at"] >= F.col("start")) & (m["at"] <= F.col("start") + span))
+    rare = F.sort_array(F.transform(inside, lambda m: F.struct(m["held"].alias("held"), m["h"].alias("h"))))
+    # Shingles no item holds come first in the order and leave the fewer places to the others.
+    open_ = size - _overlap(size, span + 1, percent) + 1 - (size - F.size(inside))
+    anchors = F.array_distinct(F.slice(rare, 1, F.greatest(open_, F.lit(0)))["h"])
+    placed = placed.select("key", "length", "start", anchors.alias("anchors")).filter(F.size("anchors") > 0)
     whole = placed.join(found.select("key", "doc_id", "shingles"), "key")
-    return whole.select("key", "doc_id", "length", "start", F.slice("shingles", F.col("start") + 1, F.col("length") - (width - 1)).alias("shingles"))
+    return whole.select("key", "doc_id", "length", "start", "anchors", F.slice("shingles", F.col("start") + 1, F.col("length") - (width - 1)).alias("shingles"))
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that multisets of n and m must share to reach the similarity."""
+    return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent)).cast("int")
+
+
+def _index(items: DataFrame, gate: DataFrame, percent: int, radius: int) -> DataFrame:
+    """One row for each item, anchor and block: ``(length, a, b, item, item_id, n_item, item_print, item_counted)``."""
+    n = F.size("shingles")
+    listed = items.select("item", "length", "width", n.alias("n"), F.explode("shingles").alias("h")).join(gate, ["width", "length", "h"])
+    rare = F.sort_array(F.collect_list(F.struct("held", "h")))
+    # The least two sets can share is what the larger asks of one that it holds.
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).cast("int") + 1
+    anchors = listed.groupBy("item", "n").agg(rare.alias("rare")).select("item", F.explode(F.array_distinct(F.slice("rare", 1, first)["h"])).alias("a"))
+    kept = items.select("item", "item_id", "length", n.alias("n_item"), F.col("fingerprint").alias("item_print"), F.col("counted").alias("item_counted"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
+    return kept.join(anchors, "item")
+
+
+def near_items(printed: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """Windows and items with an anchor and a block in common and fingerprints within the radius."""
+    cells = F.flatten(F.transform("anchors", lambda a: F.transform(blocks(F.col("fingerprint"), radius), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    probes = printed.select("key", "doc_id", "length", "start", "fingerprint", F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+    near = probes.join(index, ["length", "a", "b"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)
+    return near.select("key", "length", "start", "item", "item_id", "n_item", "hamming", "item_counted").dropDuplicates(["key", "length", "start", "item"])
 
 
 def contaminated(
@@ -180,19 +220,17 @@ def contaminated(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = staged(_items(benchmark, item_col, item_text), "decon-items")
-    gate = items.select("width", "length", F.explode("shingles").alias("h")).distinct()
+    gate = staged(items.select("item", "width", "length", F.explode(F.array_distinct("shingles")).alias("h")).groupBy("width", "length", "h").agg(F.count("*").alias("held")), "decon-gate")
     sizes = items.select("width", "length", least_shared(F.size("shingles"), percent).alias("least")).distinct()
     out = None
     bounds = sizes.groupBy("width").agg(F.min("least").alias("least"), F.max("length").alias("longest")).collect()  # at most five rows
-    indexed = items.select("item", "item_id", "length", F.size("shingles").alias("n_item"), F.col("fingerprint").alias("item_print"), F.col("counted").alias("item_counted"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
+    index = staged(_index(items, gate, percent, radius), "decon-index")
     for bound in bounds:
         width = bound["width"]
         found = staged(_candidates(docs, gate, width, bound["least"], bound["longest"], percent), "decon-found")
         windows = _windows(found, gate, sizes.filter(F.col("width") == width).select("length", "least"), width, percent)
         printed = staged(windows.withColumn("fingerprint", simhash(F.col("shingles"))), "decon-windows")
-        probes = printed.select("key", "doc_id", "length", "start", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
-        near = probes.join(indexed, ["length", "b"]).withColumn("hamming", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)
-        pairs = near.select("key", "length", "start", "item", "item_id", "n_item", "hamming", "item_counted").dropDuplicates(["key", "length", "start", "item"])
+        pairs = near_items(printed, index, radius)
         tested = pairs.join(printed.select("key", "doc_id", "length", "start", "shingles"), ["key", "length", "start"])
         shared = F.size(F.array_intersect(_counted(F.col("shingles")), F.col("item_counted")))
         scored = tested.select("doc_id", "item_id", "start", "hamming", shared.alias("shared"), (F.size("shingles") + F.col("n_item") - shared).alias("whole"))
