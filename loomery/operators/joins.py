@@ -11,18 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.errors import BadRequest
+from loomery.sources.staging import staged
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, lower: int, upper: int, how: str = "inner") -> DataFrame:
     """Pairs of one key with ``left + lower <= right <= left + upper``.
 
     Columns of the two sides must not clash, but for ``key``.  ``how`` may be
-    ``inner``, ``left`` (unmatched left rows stay) or ``full``.
+    ``inner``, ``left`` (unmatched left rows stay) or ``full``.  A row whose key or
+    time is null matches nothing; repeated rows match, or stay, each by itself.
     """
     if lower > upper:
         raise BadRequest("the lower bound is above the upper")
     if how not in ("inner", "left", "full"):
         raise BadRequest(f"{how} is not inner, left or full")
+    if how != "inner":  # rows are told apart by numbers, as columns may be null and rows repeated
+        left = staged(left.withColumn("_left", F.monotonically_increasing_id()), "interval-left")
+    if how == "full":
+        right = staged(right.withColumn("_right", F.monotonically_increasing_id()), "interval-right")
     width = max(upper - lower, 1)
     first, last = (F.floor((F.col(left_time) + x) / width).cast("bigint") for x in (lower, upper))
     near = left.withColumn("_bucket", F.explode(F.sequence(first, last)))
@@ -31,13 +37,11 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     pairs = near.join(far, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_at")) & inside).drop("_key", "_bucket", "_at")
     if how == "inner":
         return pairs
-    lone = left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti")
-    out = pairs.unionByName(lone, allowMissingColumns=True)
-    if how == "left":
-        return out
-    there = [c for c in right.columns if c != key]
-    only = right.join(pairs.select(key, *there).distinct(), [key, *there], "left_anti")
-    return out.unionByName(only, allowMissingColumns=True)
+    pairs = staged(pairs, "interval-pairs")
+    out = pairs.unionByName(left.join(pairs.select("_left").distinct(), "_left", "left_anti"), allowMissingColumns=True)
+    if how == "full":
+        out = out.unionByName(right.join(pairs.select("_right").distinct(), "_right", "left_anti"), allowMissingColumns=True)
+    return out.drop("_left", "_right")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:

@@ -30,8 +30,8 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, total: in
     return warm.unionByName(rest)
 
 
-#: Ids are sent to the rows up to this many (16 MB of longs); beyond, both sides are shuffled.
-BROADCAST_IDS = 1 << 21
+#: Ids are sent to the rows up to this many (some 80 MB as a hashed relation); beyond, both sides are shuffled.
+BROADCAST_IDS = 1 << 20
 
 
 def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:

@@ -7,14 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomery.errors import BadRequest
+
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset a session in one process (a test) gets a temporary one;
+    on a cluster, whose machines share no such folder, that is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise BadRequest("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomery-")
