@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.perfect_hash import Shard, as_words
 from loomery.llm.shingles import buffers, trim
+from loomery.operators.row_keys import free_name, keyed
 from loomery.operators.skew import HOT_SHARE, join_ids
 from loomery.sources.staging import staged
 
@@ -195,19 +196,11 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeats: the kept row of each group, all columns as they were.
 
-    Where ids are unique (the usual case) the repeats go by an anti join on the
-    id.  Rows whose id is null or repeated are told apart by their digest too,
-    and of rows that agree in both one stays.
+    Rows go by a key of their own, which is the id where ids are present and
+    distinct; a null id counts as least, and of rows that tie one stays.
     """
-    out = staged(exact_dedup(docs, None, id_col, text_col), "dedup-out")
-    unclear = out.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
-    dropped = out.filter("not kept").select(F.col("doc_id").alias("_id"))
-    same_id = F.col(id_col).eqNullSafe(F.col("_id"))
-    if not unclear.limit(1).collect():
-        return join_ids(docs, dropped.withColumnRenamed("_id", id_col), id_col, "left_anti").select(docs.columns)
-    clear = docs.join(unclear, same_id, "left_anti").join(dropped, F.col(id_col) == F.col("_id"), "left_anti")
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    kept = out.filter("kept").select(F.col("doc_id").alias("_id"), F.lower(F.hex("digest")).alias("_kept"))
-    rest = docs.join(unclear, same_id, "left_semi").withColumn("_digest", F.sha2(F.encode(lower, "UTF-8"), 256))
-    rest = rest.join(kept, same_id & (F.col("_digest") == F.col("_kept")), "left_semi").dropDuplicates([id_col, "_digest"])
-    return clear.unionByName(rest.drop("_digest"))
+    key = free_name(docs)
+    rows = keyed(docs, id_col, key, nulls_first=True)
+    out = exact_dedup(rows, None, key, text_col)
+    dropped = staged(out.filter("not kept").select(F.col("doc_id").alias(key)), "dedup-dropped")
+    return join_ids(rows, dropped, key, "left_anti").select(docs.columns)
