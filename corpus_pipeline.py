@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from loomery.operators.row_keys import free_name, keyed
 from loomery.operators.skew import join_ids
 from loomery.shipping import shipped
 from loomery.sources.staging import staged
@@ -15,33 +16,35 @@ from loomery.sources.staging import staged
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language, on however little evidence; null texts and texts without letters go.
 
-    A document without an id cannot be named by the operator: it stays if its text has a letter.
+    Each row is judged by its own text: null and repeated ids make no difference.
     """
-    model = language_id.train(docs)
-    named = language_id.identify(docs, model)
-    rejected = named.filter(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id")
-    rejected = staged(rejected.distinct(), "pipeline-rejected")
-    readable = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return join_ids(docs.filter(readable), rejected, "doc_id", "left_anti").select(docs.columns)
+    return language_id.recognised(docs, language_id.train(docs))
 
 
 def drop_exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Keep one row of each group of equal texts: that with the largest id (null is least; of ties, one)."""
     return exact_dedup.drop_repeats(docs)
 
 
 def drop_near_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each component of near copies."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
-    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each component of near copies: that with the least id (null is largest; of ties, one).
+
+    Rows are linked one by one, also where they share an id or have none.
+    """
+    key = free_name(docs)
+    rows = keyed(docs, "doc_id", key)
+    found = jaccard_join.jaccard_components(rows, id_col=key)
+    gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)), "pipeline-near")
+    return join_ids(rows, gone, key, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = staged(leaks.select("doc_id").distinct(), "pipeline-leaks")
-    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """Drop rows that hold an item of the benchmark; a clean row that shares its id with one stays."""
+    key = free_name(docs)
+    rows = keyed(docs, "doc_id", key)
+    leaks = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    gone = staged(leaks.select(F.col("doc_id").alias(key)).distinct(), "pipeline-leaks")
+    return join_ids(rows, gone, key, "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
