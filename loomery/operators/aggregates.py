@@ -69,10 +69,6 @@ SKETCHES = {
            JOIN cells c ON q.row_no = c.row_no AND q.cell = c.cell GROUP BY q.k""",
         {"width": 64},
     ),
-    # 64 registers by hash, rank = position of the lowest set bit of the next 24 bits.
-    "hyperloglog": Op(
-        """SELECT kind, count(*) AS registers, round(0.7e0 * 64 * 64 / (sum(power(2e0, -r)) + 64 - count(*)), 4) AS raw FROM (SELECT kind, h % 64 AS reg, max(CASE WHEN INT(h / 64e0) = 0 THEN 26 ELSE 1 + INT(log2(INT(h / 64e0) - INT(h / 128e0) * 2 + 5e-1)) + 1 END) AS r FROM (SELECT kind, HASH(k) AS h FROM {ev}) a GROUP BY 1, 2) x GROUP BY kind"""
-    ),
     "latencyhistogram": Op("SELECT kind, bucket, count(*) AS n FROM (SELECT kind, CASE WHEN v <= 1 THEN 1 WHEN v <= 10 THEN 10 WHEN v <= 100 THEN 100 WHEN v <= 1000 THEN 1000 ELSE 100000 END AS bucket FROM {ev}) x GROUP BY kind, bucket"),
     "metricstream": Op("SELECT k, max(CASE WHEN r = greatest(1, CAST(ceil(n * 0.9e0) AS BIGINT)) THEN v END) AS p90, max(v) AS worst FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS back FROM {ev}) a WHERE back <= {last}) b GROUP BY k", {"last": 20}),
     "minhash": Op(
@@ -83,14 +79,7 @@ SKETCHES = {
     "simhash": Op(
         """SELECT kind, TOTAL(CASE WHEN votes > 0 THEN CAST(power(2, bit) AS BIGINT) ELSE 0 END) AS fingerprint FROM (SELECT kind, bit, sum(CASE WHEN INT(h / power(2e0, bit)) % 2 = 1 THEN w ELSE -w END) AS votes FROM (SELECT kind, HASH(k) AS h, count(*) AS w FROM {ev} GROUP BY 1, 2) f CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(31 AS BIGINT)) AS bit) b GROUP BY 1, 2) x GROUP BY kind"""
     ),
-    "misragries": Op("SELECT kind, k, n FROM (SELECT kind, k, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY kind) AS BIGINT) AS total FROM {ev} GROUP BY kind, k) x WHERE n * {k_of} > total", {"k_of": 60}),
-    "topk": Op("SELECT kind, k, n FROM (SELECT kind, k, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, k) AS r FROM (SELECT kind, k, count(*) AS n FROM {ev} GROUP BY kind, k) a) b WHERE r <= {top}", {"top": 5}),
-    "topn": Op("SELECT k, n FROM (SELECT k, count(*) AS n FROM {ev} GROUP BY k) x ORDER BY n DESC, k LIMIT {top}", {"top": 10}),
-    "quantile": Op("SELECT kind, max(CASE WHEN c >= total * 0.25e0 AND c - 1 < total * 0.25e0 THEN v END) AS q25, max(CASE WHEN c >= total * 0.75e0 AND c - 1 < total * 0.75e0 THEN v END) AS q75 FROM (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY v, seq) AS c, count(*) OVER (PARTITION BY kind) AS total FROM {ev}) x GROUP BY kind"),
     "reservoir": Op("SELECT kind, seq FROM (SELECT kind, seq, row_number() OVER (PARTITION BY kind ORDER BY HASH(seq), seq) AS r FROM {ev}) x WHERE r <= {size}", {"size": 20}),
     "weightedreservoir": Op("SELECT kind, seq FROM (SELECT kind, seq, row_number() OVER (PARTITION BY kind ORDER BY round(ln((HASH(seq) + 1) / 4294967297e0) / (v + 1), 12) DESC, seq) AS r FROM {ev}) x WHERE r <= {size}", {"size": 20}),
-    "aliasmethod": Op("SELECT kind, p, round(CAST(sum(p) OVER (ORDER BY kind) AS DOUBLE) / 1000000, 6) AS upper_bound FROM (SELECT kind, INT(1000000e0 * count(*) / (SELECT count(*) FROM {ev})) AS p FROM {ev} GROUP BY kind) x"),
-    "dgim": Op("SELECT k, seq, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN {before} PRECEDING AND CURRENT ROW) AS BIGINT) AS ones FROM {ev}", {"before": 15}),
-    "cuckoofilter": Op("SELECT BUCKET(k, 64) AS bucket, count(DISTINCT k) AS entries, count(DISTINCT 1 + BUCKET(concat('f', TEXT(k)), 255)) AS fingerprints FROM {ev} GROUP BY 1"),
 }
 OPERATORS = AGGREGATES | SKETCHES

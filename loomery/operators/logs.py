@@ -48,31 +48,17 @@ OPERATORS = {
         """SELECT k, kind, count(*) AS attempts, count(*) > {retries} AS dead_letter, min(seq) AS first_seq FROM {ev} WHERE NOT ok OR v < 20 GROUP BY k, kind""",
         {"retries": 2},
     ),
-    # One commit per epoch: the first staging of an epoch counts, a replay does not.
-    "epochs": Op(
-        """SELECT epoch, count(*) AS committed_rows, TOTAL(v) AS total FROM (SELECT DISTINCT seq - seq % {size} AS epoch, seq, v FROM (SELECT seq, v FROM {ev} UNION ALL SELECT seq, v FROM {ev} WHERE seq % 3 = 0) r) d GROUP BY epoch""",
-        {"size": 100},
-        "SELECT (seq // {size}) * {size} AS epoch, count(*) AS committed_rows, TOTAL(v) AS total FROM {ev} GROUP BY 1",
-    ),
     # Disorder: adjacent descents of event time in arrival order; skew: the longest delay.
     "events": Op(
         """SELECT k, TOTAL(CASE WHEN e < p THEN 1 ELSE 0 END) AS disorder, max(a - e) AS max_skew, count(*) AS n
            FROM (SELECT k, e, a, lag(e) OVER (PARTITION BY k ORDER BY a, seq) AS p FROM (SELECT k, seq, t AS e, t + (seq * 7919 % 97) * {unit} AS a FROM {ev}) x) y GROUP BY k""",
         {"unit": 3600},
     ),
-    "exactlyoncefile": Op(
-        """SELECT file, count(*) AS n FROM (SELECT k % 8 AS file, seq, kind FROM {ev}) x GROUP BY file HAVING max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) = 1"""
-    ),
     "heartbeat": Op(
         """SELECT k, CASE WHEN pulse IS NULL THEN 'never heard' WHEN now - pulse > 2 * {every} THEN 'dead' WHEN coalesce(event, 0) < pulse THEN 'quiet' ELSE 'live' END AS reading
            FROM (SELECT k, max(CASE WHEN kind = 'view' THEN t END) AS pulse, max(CASE WHEN kind <> 'view' THEN t END) AS event FROM {ev} GROUP BY k) x CROSS JOIN (SELECT max(t) AS now FROM {ev}) n""",
         {"every": 86400},
     ),
-    # A crash at a row: commit-first loses it, process-first repeats it, with dedupe neither.
-    "offsets": Op(
-        """SELECT k, count(*) AS tape, count(*) - TOTAL(CASE WHEN seq % {crash} = 0 THEN 1 ELSE 0 END) AS commit_first, count(*) + TOTAL(CASE WHEN seq % {crash} = 0 THEN 1 ELSE 0 END) AS process_first, count(DISTINCT seq) AS deduplicated FROM {ev} GROUP BY k""",
-        {"crash": 11},
-    ),
     "outbox": Op(
         """SELECT o.k, count(*) AS orders, TOTAL(CASE WHEN b.seq IS NULL THEN 1 ELSE 0 END) AS unpublished FROM (SELECT k, seq FROM {ev} WHERE kind = 'purchase') o
            LEFT JOIN (SELECT k, seq FROM {ev} WHERE kind = 'purchase' AND v % 4 <> 0) b ON o.k = b.k AND o.seq = b.seq GROUP BY o.k""",
@@ -99,14 +85,6 @@ OPERATORS = {
            CROSS JOIN (SELECT least(max(seq) - {age}, min(p)) AS b FROM (SELECT k, max(seq) AS p, max(seq) AS seq FROM {ev} GROUP BY k) x) y GROUP BY k""",
         {"age": 300},
     ),
-    "transactions": Op(
-        """SELECT k, epoch, count(*) AS staged, max(seq) AS commit_offset FROM (SELECT k, seq, CAST(sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS epoch FROM {ev}) x
-           WHERE epoch IS NOT NULL GROUP BY k, epoch""",
-        {},
-        """SELECT k, epoch, count(*) AS staged, max(seq) AS commit_offset FROM (SELECT k, seq, CAST(sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS epoch FROM {ev}) x
-           WHERE epoch IS NOT NULL GROUP BY k, epoch""",
-    ),
-    "writecache": Op("SELECT k, TOTAL(writes) AS write_through, count(*) AS write_back FROM (SELECT k, INT(seq / {flush}e0) AS epoch, v % {ids} AS item, count(*) AS writes FROM {ev} GROUP BY 1, 2, 3) x GROUP BY k", {"flush": 200, "ids": 6}),
     # ---- filters, routing, sampling
     "adaptivesample": Op("SELECT kind, n, least(1e0, {target} / CAST(n AS DOUBLE)) AS p, least(1e0, {target} / CAST(n AS DOUBLE)) * n AS expected FROM (SELECT kind, count(*) AS n FROM {ev} GROUP BY kind) x", {"target": 100}),
     "branch": Op("SELECT branch, count(*) AS n, TOTAL(CASE WHEN overlap > 1 THEN 1 ELSE 0 END) AS overlapping FROM (SELECT CASE WHEN v >= 80 THEN 'large' WHEN kind = 'purchase' THEN 'paid' ELSE 'default' END AS branch, CAST(v >= 80 AS INT) + CAST(kind = 'purchase' AS INT) AS overlap FROM {ev}) x GROUP BY branch"),

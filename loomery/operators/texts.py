@@ -75,18 +75,8 @@ NUMBERS = {
 
 INDEXES = {
     "bitmapindex": Op("SELECT kind, count(*) AS equals, TOTAL(CASE WHEN v % 2 = 0 THEN 1 ELSE 0 END) AS both, (SELECT count(*) FROM {ev}) - count(*) AS complement FROM {ev} GROUP BY kind"),
-    "fenwick": Op("SELECT k, TOTAL(CASE WHEN i BETWEEN {lo} AND {hi} THEN v ELSE 0 END) AS range_sum, TOTAL(CASE WHEN i <= {hi} THEN v ELSE 0 END) AS prefix FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k", {"lo": 3, "hi": 9}),
-    "fenwickrange": Op("SELECT k, TOTAL(v * greatest(CAST(0 AS BIGINT), least(i + 5, {hi}) - greatest(i, {lo}) + 1)) AS range_sum FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k", {"lo": 4, "hi": 20}),
-    "lazysegtree": Op("SELECT k, TOTAL(v * greatest(CAST(0 AS BIGINT), least(i + 2, {hi}) - greatest(i, {lo}) + 1)) AS range_sum, count(*) AS updates FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k", {"lo": 2, "hi": 12}),
     "minqueue": Op("SELECT k, seq, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS minimum FROM {ev}"),
-    "mos": Op("SELECT k, CAST(i AS BIGINT) AS query, CAST(size(items) AS BIGINT) AS distinct_values FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i, collect_set(v % 12) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS items FROM {ev}) x WHERE i % 5 = 0", {}, "SELECT q.k AS k, q.i AS query, count(DISTINCT e.v % 12) AS distinct_values FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) q JOIN (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) e ON q.k = e.k AND e.i BETWEEN q.i AND q.i + 7 WHERE q.i % 5 = 0 GROUP BY q.k, q.i"),
-    "segmenttree": Op("SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS query, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS least FROM {ev}", {}, "SELECT q.k AS k, q.i AS query, min(e.v) AS least FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) q JOIN (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) e ON q.k = e.k AND e.i >= q.i AND e.i < q.i + 6 GROUP BY q.k, q.i"),
-    "sparsetable": Op("SELECT k, seq, least(min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN 2 FOLLOWING AND 5 FOLLOWING)) AS least FROM {ev}", {}, "SELECT k, seq, min(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS least FROM {ev}"),
-    "sqrtdecomp": Op("SELECT k, TOTAL(CASE WHEN b BETWEEN {lo} AND {hi} THEN s ELSE 0 END) AS block_sum, count(*) AS blocks FROM (SELECT k, INT((i - 1) / 8e0) AS b, TOTAL(v) AS s FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY 1, 2) y GROUP BY k", {"lo": 1, "hi": 3}),
-    "skiplist": Op("SELECT k, v, CAST(row_number() OVER (PARTITION BY k ORDER BY v) AS BIGINT) AS place FROM (SELECT DISTINCT k, v FROM {ev}) x"),
-    "treap": Op("SELECT k, count(*) AS nodes, min(v) AS least, max(v) AS most, min_by(v, BUCKET(v, 1000003)) AS root FROM (SELECT DISTINCT k, v FROM {ev}) x GROUP BY k"),
     "twostackqueue": Op("SELECT e.k AS k, e.v AS dequeued, d.seq AS taken_at FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev} WHERE kind <> 'purchase') e JOIN (SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev} WHERE kind = 'purchase') d ON e.k = d.k AND e.r = d.r"),
-    "xortrie": Op("SELECT a.k AS k, max(XOR(a.v, b.v)) AS best FROM {ev} a JOIN (SELECT DISTINCT k, v FROM {ev}) b ON a.k = b.k GROUP BY a.k"),
 }
 
 _DP = "transform(sequence(0, {capacity}), j -> CASE WHEN j >= x.w THEN greatest(s[j], s[j - CAST(x.w AS INT)] + x.p) ELSE s[j] END)"
