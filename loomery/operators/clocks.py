@@ -29,7 +29,6 @@ CLOCKS = {
     "idempotencykey": Op("SELECT kind, k, min_by(v, seq) AS result, count(*) - 1 AS retries FROM {ev} GROUP BY kind, k"),
     # Versions migrate one step at a time; each step doubles and adds its number.
     "savepoint": Op("SELECT version, count(*) AS states, TOTAL(CASE WHEN version = {expects} THEN v WHEN version = {expects} - 1 THEN v * 2 + version END) AS resumed, TOTAL(CASE WHEN version < {expects} - 1 THEN 1 ELSE 0 END) AS refused FROM (SELECT v % 3 + 1 AS version, v FROM {ev}) x GROUP BY version", {"expects": 3}),
-    "savepointmigrate": Op("SELECT version, TOTAL(CASE version WHEN 1 THEN ((v * 2 + 1) * 2 + 2) * 2 + 3 WHEN 2 THEN (v * 2 + 2) * 2 + 3 WHEN 3 THEN v * 2 + 3 ELSE v END) AS migrated FROM (SELECT v % 4 + 1 AS version, v FROM {ev}) x GROUP BY version"),
     "speculative": Op("SELECT kind, TOTAL(CASE WHEN v > typical + {slack} THEN 1 ELSE 0 END) AS backups FROM (SELECT e.kind AS kind, v, typical FROM {ev} e JOIN (SELECT kind, median(v) AS typical FROM {ev} GROUP BY kind) m ON e.kind = m.kind) x GROUP BY kind", {"slack": 20}),
     "statebackend": Op("SELECT kind, keys * 64 AS bytes, CASE WHEN keys * 64 <= {budget} THEN 'memory' ELSE 'disk' END AS backend FROM (SELECT kind, count(DISTINCT k) AS keys FROM {ev} GROUP BY kind) x", {"budget": 6400}),
 }
@@ -55,10 +54,7 @@ PARTITIONS = {
     "fanout": Op("SELECT kind, top - p AS behind, p = low AS pins FROM (SELECT kind, p, max(p) OVER () AS top, min(p) OVER () AS low FROM (SELECT kind, max(seq) AS p FROM {ev} GROUP BY kind) a) b"),
     "fusion": Op("SELECT k, count(*) AS groups, TOTAL(n) - count(*) AS hops_removed FROM (SELECT k, g, count(*) AS n FROM (SELECT k, CAST(sum(CASE WHEN fuse AND before THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS g FROM (SELECT k, seq, kind IN ('view', 'click') AS fuse, coalesce(lag(kind IN ('view', 'click')) OVER (PARTITION BY k ORDER BY seq), FALSE) AS before FROM {ev}) a) b GROUP BY k, g) c GROUP BY k"),
     "pauseresume": Op("SELECT k, max(gap) AS longest_pause, TOTAL(CASE WHEN gap > {window} THEN 1 ELSE 0 END) AS overdue FROM (SELECT k, t - lag(t) OVER (PARTITION BY k ORDER BY seq) AS gap FROM {ev}) x GROUP BY k", {"window": 86400}),
-    # Sticky assignment on one more member: only what the newcomer needs moves.
-    "rebalance": Op("SELECT member, count(*) AS parts, TOTAL(CASE WHEN moved THEN 1 ELSE 0 END) AS moved FROM (SELECT CASE WHEN r > quota THEN {before} ELSE m END AS member, r > quota AS moved FROM (SELECT p % {before} AS m, row_number() OVER (PARTITION BY p % {before} ORDER BY p) AS r, CAST(ceil({parts}e0 / ({before} + 1)) AS BIGINT) AS quota FROM (SELECT n - 1 AS p FROM (SELECT SERIES(CAST(1 AS BIGINT), CAST({parts} AS BIGINT)) AS n) x) a) b) c GROUP BY member", {"parts": 60, "before": 4}),
     "rollback": Op("SELECT k, max(CASE WHEN seq < {deploy} THEN seq END) AS savepoint, TOTAL(CASE WHEN seq BETWEEN {deploy} AND {detected} THEN 1 ELSE 0 END) AS poisoned, TOTAL(CASE WHEN seq >= {deploy} THEN 1 ELSE 0 END) AS replayed FROM {ev} GROUP BY k", {"deploy": 400, "detected": 700}),
-    "topology": Op("SELECT stage, outs, ins, CASE WHEN ins = 0 THEN 'source' WHEN outs = 0 THEN 'sink' ELSE 'inner' END AS role FROM (SELECT stage, TOTAL(o) AS outs, TOTAL(i) AS ins FROM (SELECT n_nationkey % 9 AS stage, 1 AS o, 0 AS i FROM {nation} WHERE n_nationkey % 9 < 8 UNION ALL SELECT n_nationkey % 9 + 1 AS stage, 0 AS o, 1 AS i FROM {nation} WHERE n_nationkey % 9 < 8) a GROUP BY stage) b"),
 }
 
 FLOW = {
@@ -88,17 +84,8 @@ FLOW = {
 }
 
 COORDINATION = {
-    "arq": Op("SELECT n AS lost_index, {window} - n + 1 AS go_back_n, 1 AS selective_repeat FROM " + _N + " x", {"n": 8, "window": 8}),
     "boundedstaleness": Op("SELECT k, top - own AS behind, top - own <= {lag} AS served FROM (SELECT k, max(seq) AS own, (SELECT max(seq) FROM {ev}) AS top FROM {ev} GROUP BY k) x", {"lag": 200}),
     "bully": Op("SELECT kind, max(CASE WHEN alive THEN k END) AS leader, count(*) AS nodes FROM (SELECT kind, k, max_by(ok, seq) AND max(v) > 30 AS alive FROM {ev} GROUP BY kind, k) x GROUP BY kind"),
-    "causaldelivery": Op("SELECT k, TOTAL(CASE WHEN need < have THEN 1 ELSE 0 END) AS deliverable, TOTAL(CASE WHEN need >= have THEN 1 ELSE 0 END) AS pending FROM (SELECT k, v % 8 AS need, row_number() OVER (PARTITION BY k ORDER BY seq) AS have FROM {ev}) x GROUP BY k"),
-    "chandylamport": Op("SELECT k, TOTAL(CASE WHEN seq < m THEN v ELSE 0 END) AS local_state, TOTAL(CASE WHEN seq >= m AND seq < m + 100 AND kind = 'view' THEN 1 ELSE 0 END) AS in_flight FROM (SELECT k, seq, v, kind, min(CASE WHEN kind = 'signup' THEN seq END) OVER (PARTITION BY k) AS m FROM {ev}) x WHERE m IS NOT NULL GROUP BY k"),
-    # Pushes to peers drawn by a stable hash: who is covered after each round.
-    "gossip": Op(
-        """SELECT n AS round_no, CAST(size(aggregate(sequence(CAST(1 AS BIGINT), n), array(CAST(0 AS BIGINT)), (s, i) -> array_distinct(concat(s, transform(s, e -> (e * 7919 + i * 104729 + 13) % {size}), transform(s, e -> (e * 6101 + i * 15485863 + 7) % {size}))))) AS BIGINT) AS covered FROM """ + _N + " x",
-        {"n": 9, "size": 200},
-        """SELECT n AS round_no, CAST(len(list_reduce(generate_series(1, n), lambda s, i: list_distinct(list_concat(s, list_concat(list_transform(s, lambda e: (e * 7919 + i * 104729 + 13) % {size}), list_transform(s, lambda e: (e * 6101 + i * 15485863 + 7) % {size})))), [CAST(0 AS BIGINT)])) AS BIGINT) AS covered FROM """ + _N + " x",
-    ),
     "mvcc": Op("SELECT k, max_by(CASE WHEN seq <= {snapshot} THEN v END, CASE WHEN seq <= {snapshot} THEN seq ELSE -1 END) AS seen, greatest(CAST(0 AS BIGINT), TOTAL(CASE WHEN seq <= {horizon} THEN 1 ELSE 0 END) - 1) AS collectable FROM {ev} GROUP BY k HAVING min(seq) <= {snapshot}", {"snapshot": 600, "horizon": 300}),
     # Tail of the normal distribution by a rational approximation (absolute error below 2e-7), at least 1e-12.
     "phiaccrual": Op(
@@ -106,13 +93,9 @@ COORDINATION = {
            (SELECT k, z, 1 / (1 + 0.3275911e0 * abs(z) / sqrt(2e0)) AS w FROM (SELECT k, ((SELECT max(t) FROM {ev}) - max(t) - avg(gap)) / greatest(stddev_pop(gap), 1e0) AS z FROM (SELECT k, t, t - lag(t) OVER (PARTITION BY k ORDER BY seq) AS gap FROM {ev}) x GROUP BY k HAVING count(gap) > 1) y) v) u""",
         {"threshold": 3},
     ),
-    "priorityinherit": Op("SELECT k, max(v) AS effective_priority, max_by(v, seq) AS own_priority, max(v) > max_by(v, seq) AS inherited FROM {ev} GROUP BY k"),
     "quorumwrite": Op("SELECT k, max(CASE WHEN r = {w} THEN v END) AS latency, {r} + {w} > {n} AS overlaps FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v, seq) AS r FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) a WHERE i <= {n}) b GROUP BY k", {"n": 5, "w": 3, "r": 3}),
-    "raftcommit": Op("SELECT max(pos) AS commit_index FROM (SELECT a.pos AS pos FROM (SELECT kind, max(seq) AS pos FROM {ev} GROUP BY kind) a JOIN (SELECT kind, max(seq) AS pos FROM {ev} GROUP BY kind) b ON b.pos >= a.pos GROUP BY a.pos HAVING count(*) * 2 > 5) x"),
     "replicaselect": Op("SELECT kind, round(e, 5) AS estimate, e = min(e) OVER () AS picked FROM (SELECT x.kind AS kind, sum({a} * v * power(1 - {a}, n - i)) / (1 - power(1 - {a}, max(n))) AS e FROM (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY seq) AS i FROM {ev}) x JOIN (SELECT kind, count(*) AS n FROM {ev} GROUP BY kind) c ON x.kind = c.kind GROUP BY x.kind) y", {"a": "2e-1"}),
-    "saga": Op("SELECT k, CAST(coalesce(min(CASE WHEN NOT ok THEN i END), 0) AS BIGINT) AS failed_at, CAST(coalesce(min(CASE WHEN NOT ok THEN i END) - 1, 0) AS BIGINT) AS compensated FROM (SELECT k, ok, row_number() OVER (PARTITION BY k ORDER BY seq) AS i FROM {ev}) x GROUP BY k"),
     "sessionguarantees": Op("SELECT k, TOTAL(CASE WHEN v < top THEN 1 ELSE 0 END) AS refused FROM (SELECT k, v, max(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {ev}) x GROUP BY k"),
-    "swim": Op("SELECT k, CASE WHEN max_by(ok, seq) THEN 'alive' WHEN max(CASE WHEN v > 80 THEN 1 ELSE 0 END) = 1 THEN 'alive by others' ELSE 'suspect' END AS verdict FROM {ev} GROUP BY k"),
     "twophase": Op("SELECT day, count(*) AS voters, min(CASE WHEN ok THEN 1 ELSE 0 END) = 1 AS commits FROM (SELECT INT(t / 86400e0) AS day, k, max_by(ok, seq) AS ok FROM {ev} GROUP BY 1, 2) x GROUP BY day"),
     "vectorclock": Op("SELECT a.k AS a, b.k AS b, CASE WHEN max(a.n - b.n) <= 0 AND min(a.n - b.n) = 0 AND max(a.n - b.n) = 0 THEN 'equal' WHEN max(a.n - b.n) <= 0 THEN 'before' WHEN min(a.n - b.n) >= 0 THEN 'after' ELSE 'concurrent' END AS verdict FROM (SELECT u.k AS k, w.kind AS kind, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT k FROM {ev}) u CROSS JOIN (SELECT DISTINCT kind FROM {ev}) w LEFT JOIN (SELECT k, kind, count(*) AS n FROM {ev} GROUP BY k, kind) c ON u.k = c.k AND w.kind = c.kind) a JOIN (SELECT u.k AS k, w.kind AS kind, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT k FROM {ev}) u CROSS JOIN (SELECT DISTINCT kind FROM {ev}) w LEFT JOIN (SELECT k, kind, count(*) AS n FROM {ev} GROUP BY k, kind) c ON u.k = c.k AND w.kind = c.kind) b ON a.kind = b.kind AND b.k = a.k + 1 GROUP BY a.k, b.k"),
 }
@@ -127,11 +110,6 @@ MODELS = {
 }
 
 GOVERNANCE = {
-    "forgetme": Op("SELECT k, stations, stations >= 3 AS certified FROM (SELECT k, count(DISTINCT kind) AS stations FROM {ev} WHERE kind IN ('error', 'purchase', 'signup') GROUP BY k) x"),
-    # Reader r can read writer w if every field w lacks has a default (even fields have).
-    "schemaevolve": Op("SELECT r.n AS reader, w.n AS writer, w.n >= r.n OR (r.n - w.n) = TOTAL(CASE WHEN f.n % 2 = 0 THEN 1 ELSE 0 END) AS can_read FROM " + _N + " r CROSS JOIN " + _N + " w LEFT JOIN " + _N + " f ON f.n > w.n AND f.n <= r.n GROUP BY r.n, w.n", {"n": 6}),
-    "schemaregistry": Op("SELECT a.n AS old_version, b.n AS new_version, CASE WHEN a.n = b.n THEN 'full' WHEN b.n > a.n AND (b.n - a.n) % 2 = 0 THEN 'backward only' WHEN b.n < a.n THEN 'forward only' ELSE 'none' END AS compatibility FROM " + _N + " a CROSS JOIN " + _N + " b", {"n": 5}),
-    "triage": Op("SELECT kind, CASE kind WHEN 'error' THEN 'check the sink' WHEN 'view' THEN 'check the source' WHEN 'purchase' THEN 'check duplicates' ELSE 'nothing known' END AS advice, count(*) AS n FROM {ev} GROUP BY kind"),
 }
 
 OPERATORS = CLOCKS | PARTITIONS | FLOW | COORDINATION | MODELS | GOVERNANCE

@@ -93,11 +93,6 @@ OPERATORS = {
            FROM (SELECT kind, v AS o, CASE WHEN v % 50 = 0 THEN v + 1 ELSE v END AS n FROM {ev} WHERE BUCKET(k, 100) < {percent}) x GROUP BY kind""",
         {"percent": 30},
     ),
-    "determinism": Op(
-        "SELECT count(*) AS differing FROM (SELECT k, s FROM (SELECT k, TOTAL(v) AS s FROM {ev} GROUP BY k) a EXCEPT ALL SELECT k, s FROM (SELECT k, TOTAL(v) AS s FROM {ev} GROUP BY k) b) x",
-        {},
-        "SELECT CAST(0 AS BIGINT) AS differing",
-    ),
     "dropshed": Op(
         """SELECT tick, tier, n, greatest(CAST(0 AS BIGINT), least(n, {capacity} - before)) AS kept FROM (SELECT tick, tier, n, CAST(coalesce(sum(n) OVER (PARTITION BY tick ORDER BY tier DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
            FROM (SELECT INT(t / 86400e0) AS tick, CASE WHEN kind = 'purchase' THEN 2 WHEN kind = 'signup' THEN 1 ELSE 0 END AS tier, count(*) AS n FROM {ev} GROUP BY 1, 2) x) y""",

@@ -44,15 +44,6 @@ def sideinput(spark, sf_dir):
 
 SQL = {
     "broadcaststate": Op("SELECT n_name, r_name, count(*) AS customers FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY n_name, r_name"),
-    # Rule versions: replicas that answer with an older version need repair.
-    "readrepair": Op("SELECT item, max(version) AS version, max_by(v, version) AS v, TOTAL(CASE WHEN version < top THEN 1 ELSE 0 END) AS repairs FROM (SELECT kind AS item, seq AS version, v, max(seq) OVER (PARTITION BY kind) AS top FROM {ev}) x GROUP BY item"),
-    # Lineage of a day: the users behind each output, and the outputs an input reaches over two hops.
-    "eventgraph": Op("SELECT a.day AS day, count(DISTINCT a.k) AS contributors, count(DISTINCT b.day) AS blast_radius FROM (SELECT DISTINCT INT(t / 86400e0) AS day, k FROM {ev}) a JOIN (SELECT DISTINCT INT(t / 86400e0) AS day, k FROM {ev}) b ON a.k = b.k AND b.day >= a.day GROUP BY a.day"),
-    # Matrix chain of four relations: the best parenthesisation against left to right.
-    "joinorder": Op(
-        """SELECT least(a * b * c + a * c * d + a * d * e, a * b * c + c * d * e + a * c * e, b * c * d + a * b * d + a * d * e, b * c * d + b * d * e + a * b * e, c * d * e + b * c * e + a * b * e) AS optimal, a * b * c + a * c * d + a * d * e AS left_deep, b AS id
-           FROM (SELECT DISTINCT CAST(5 AS BIGINT) AS a, CAST(l_linenumber AS BIGINT) AS b, CAST(7 AS BIGINT) AS c, CAST(l_linenumber * 3 AS BIGINT) AS d, CAST(2 AS BIGINT) AS e FROM {lineitem}) x"""
-    ),
 }
 QUERIES, ORACLES = register(SQL)
 QUERIES |= {"intervaljoin": intervaljoin, "joins": symmetric_join, "asof": asof, "windowjoin": windowjoin, "sideinput": sideinput}
