@@ -129,7 +129,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int = WIDTH) -> t
     total = np.zeros(n, np.uint64)
     power = 1
     for k in range(width):
-        total[: n - k] += value[k:] * np.uint64(power)
+        total[: max(n - k, 0)] += value[k:] * np.uint64(power)
         power = power * _STEP % (1 << 64)
     ends = np.cumsum(count)
     left = ends[row] - np.arange(n)  # words from here to the row's end
