@@ -6,14 +6,19 @@ The plan, each step over all rows and none gathering a group:
    value, are one global order, rare first; any order is exact, this one keeps
    common passages out of the prefixes.
 2. Two sets can reach ``percent`` only if they share one of their first
-   ``n - ceil(percent * n / 100) + 1`` shingles.  Those are dealt out by shingle;
-   the ones met once are dropped.
-3. Within a shingle's group, pairs must pass the length bound and the
-   remaining-length bound from their positions.  Groups of up to ``SMALL``
-   emit such pairs.  Larger groups pair all members with a few leaders first; as long as a group
-   still spans several components, the next, eight times as many, leaders follow, and
-   pairs inside one component are skipped.  Only connectivity is asked for, so
-   a group of thousands of near copies costs a few pairs a member, and every
+   ``n - ceil(percent * n / 100) + 1`` shingles.  Those are the nodes of the first
+   level of a prefix tree of *shared* shingles: a node stands for the first shingles, in
+   the global order, that all pairs below it have in common, and its depth is their
+   partial overlap.  Of two sets the shorter must have a shared shingle early enough for
+   a partner of its own length; members that are not early enough for any such
+   partner in the node, and nodes left with one member, are dropped.
+3. Within a node, pairs must pass the length bound and the
+   remaining-length bound from their positions.  Nodes of up to ``SMALL``
+   emit such pairs.  Larger nodes pair all members with a few leaders first.  Only
+   connectivity is asked for, so a group of thousands of near copies is then one
+   component and costs a few pairs a member.  A node that still spans several
+   components is finished pair by pair if it is small (against the number of children its members would have), and else
+   extended by the next shared shingle: pairs that go on sharing meet in a child, all others part.  So every
    pair is either tested, bounded out, or already connected.
 4. Pairs whose parity bits show that they cannot share enough are left out
    (the bound is exact); the others are verified with whole sets: the sets to test against one probe form
@@ -36,26 +41,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.shingles import buffers, chunks, shingle_sets, trim
+from loomery.llm.shingles import buffers, chunks, mix, shingle_sets, trim
 from loomery.operators.skew import join_back, join_ids
 from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
 
-SMALL, FIRST_LEADERS, GROWTH = 16, 4, 8
-#: Members of a large group that one task compares with its leaders.
-BLOCK = 1024
+SMALL, LEADERS = 16, 4
+#: An open node of up to FULL members, or FULL_CHILDREN times the children of one, is tested pair by pair.
+FULL, FULL_CHILDREN = 256, 4
+#: Members of a large node that one task compares with its leaders.
+BLOCK = 128
 _SLICE = 1 << 14
 _SEEN = 200_000
 
 
 def prefix_length(n, percent: int):
-    return n - (percent * n + 99) // 100 + 1
+    """Of numbers, arrays or columns."""
+    return n - (F.floor((n * percent + 99) / F.lit(100)) if isinstance(n, Column) else (percent * n + 99) // 100) + 1
 
 
 def needed_overlap(total, percent: int):
@@ -135,7 +144,7 @@ def _ordered(at: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> tuple[np.
 
 
 def postings(docs: DataFrame, ranks, percent: int) -> DataFrame:
-    """``(h, doc, n, pos)`` of every prefix shingle; a set a task has seen is not posted again."""
+    """``(h, doc, n, pos)`` of every shingle of the prefixes; a set a task has seen is not posted again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = ranks.value, set()
@@ -164,20 +173,40 @@ def postings(docs: DataFrame, ranks, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc long, n int, pos int")
 
 
-def _possible(n_a, pos_a, n_b, pos_b, percent: int):
-    """The length bound and the remaining-length bound of pairs met at a shared shingle."""
+def _possible(n_a, pos_a, n_b, pos_b, level: int, percent: int):
+    """The length bound and the remaining-length bound of pairs whose ``level``-th shared shingle is at ``pos``."""
     fits = np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b)
-    rest = 1 + np.minimum(n_a - pos_a - 1, n_b - pos_b - 1)
+    rest = level + np.minimum(n_a - pos_a - 1, n_b - pos_b - 1)
     return fits & (rest >= needed_overlap(n_a + n_b, percent))
 
 
+def nodes(posted: DataFrame, level: int, percent: int) -> DataFrame:
+    """``(h, doc, n, pos, f)``: members that can have a partner in their node, and how many there are.
+
+    The shorter of a pair has at least ``needed_overlap(2 n)`` shingles from its
+    shared ones on, and the longer what the shortest such partner asks.
+    """
+    by_node = Window.partitionBy("h")
+    rest = F.lit(level) + F.col("n") - F.col("pos") - 1
+
+    def needed(total: Column) -> Column:
+        return F.floor((total * percent + 99 + percent) / F.lit(100 + percent))
+
+    short = rest >= needed(2 * F.col("n"))
+    seen = posted.withColumn("f", F.count("*").over(by_node)).withColumn("least", F.min(F.when(short, F.col("n"))).over(by_node)).filter("f > 1")
+    partner = F.greatest("least", F.ceil(F.col("n") * F.lit(percent) / F.lit(100)))
+    long = (F.col("least") <= F.col("n")) & (rest >= needed(F.col("n") + partner))
+    kept = seen.filter(short | F.coalesce(long, F.lit(False))).drop("f", "least")
+    return kept.withColumn("f", F.count("*").over(by_node)).filter("f > 1")
+
+
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     keyed = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(keyed[:, 0]), pa.array(keyed[:, 1])], names=["a", "b"])
 
 
-def small_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """All possible pairs of groups of up to ``SMALL`` members."""
+def small_pairs(members: DataFrame, level: int, percent: int) -> DataFrame:
+    """All possible pairs of nodes of up to ``SMALL`` members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
@@ -198,32 +227,32 @@ def small_pairs(groups: DataFrame, percent: int) -> DataFrame:
             if not len(i):
                 break
             j = i + d
-            ok = (x[1, i] != x[1, j]) & _possible(x[2, i], x[3, i], x[2, j], x[3, j], percent)
+            ok = (x[1, i] != x[1, j]) & _possible(x[2, i], x[3, i], x[2, j], x[3, j], level, percent)
             left.append(x[1, i[ok]])
             right.append(x[1, j[ok]])
         return _pair_batch(np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64))
 
-    return groups.select("h", "doc", "n", "pos").repartition("h").sortWithinPartitions("h", "doc").mapInArrow(run, "a long, b long")
+    return members.select("h", "doc", "n", "pos").repartition("h").sortWithinPartitions("h", "doc").mapInArrow(run, "a long, b long")
 
 
-def leader_pairs(groups: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Possible pairs of the ``low``-th to ``high``-th members of each group, by id, with
+def leader_pairs(members: DataFrame, low: int, high: int, level: int, percent: int) -> DataFrame:
+    """Possible pairs of the ``low``-th to ``high``-th members of each node, by id, with
     the members after them in other components.
 
-    A group is dealt out in blocks of about ``BLOCK`` members.  The first
-    ``high`` of each block hold the first ``high`` of the group, and those that
-    lead are sent to all its blocks, so a hot group is spread over many tasks and
+    A node is dealt out in blocks of about ``BLOCK`` members.  The first
+    ``high`` of each block hold the first ``high`` of the node, and those that
+    lead are sent to all its blocks, so a hot node is spread over many tasks and
     each holds the leaders alone.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
-    dealt = groups.select("h", "doc", "n", "pos", "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = members.select("h", "doc", "n", "pos", "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     first = dealt.withColumn("r", F.row_number().over(Window.partitionBy("h", "block").orderBy("doc"))).filter(F.col("r") <= high)
     led = first.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("doc"))).filter(F.col("r").between(low + 1, high))
     sent = led.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "doc", "n", "pos", "comp")
     rows = sent.unionByName(dealt.select("h", "block", F.lit(1).alias("side"), "doc", "n", "pos", "comp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, led = None, np.zeros((4, 0), np.int64)
+        now, led = None, []
         for batch in batches:
             place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "side")])
             block = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("doc", "n", "pos", "comp")])
@@ -232,21 +261,45 @@ def leader_pairs(groups: DataFrame, low: int, high: int, percent: int) -> DataFr
                     continue
                 group, side, own = tuple(place[:2, part[0]]), place[2, part[0]], block[:, part]
                 if group != now:
-                    now, led = group, np.zeros((4, 0), np.int64)
+                    now, led = group, []
                 if side == 0:
-                    led = np.concatenate([led, own], axis=1)
+                    led.append(own)
                     continue
                 step = max(1, 2_000_000 // len(part))
-                for k in range(0, led.shape[1], step):
-                    l, m = led[:, k : k + step, None], own[:, None, :]
-                    ok = (l[0] < m[0]) & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], percent)
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        yield _pair_batch(led[0, k : k + step][i], own[0][j])
+                for leaders in led:
+                    for k in range(0, leaders.shape[1], step):
+                        l, m = leaders[:, k : k + step, None], own[:, None, :]
+                        ok = (l[0] < m[0]) & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], level, percent)
+                        i, j = np.nonzero(ok)
+                        if len(i):
+                            yield _pair_batch(leaders[0, k : k + step][i], own[0][j])
 
     return rows.repartition("h", "block").sortWithinPartitions("h", "block", "side", "doc").mapInArrow(run, "a long, b long")
 
 
+def children(docs: DataFrame, ranks, members: DataFrame, level: int, percent: int) -> DataFrame:
+    """The members of open nodes, posted once for each shingle that may be their next shared one."""
+    ends = staged(members.select("doc").distinct(), "jaccard-extended")
+    sets = ordered_sets(join_ids(docs, ends, "doc", "left_semi"), ranks).select("doc", F.col("n").alias("whole"), "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, doc, pos = (batch.column(k).to_numpy() for k in ("h", "doc", "pos"))
+            for i, items in enumerate(batch.column("items")):
+                values = np.frombuffer(items.as_py(), np.uint64)
+                n, low = len(values), int(pos[i]) + 1
+                nexts = values[low : prefix_length(n, percent) + level]
+                if not len(nexts):
+                    continue
+                made = mix(nexts + mix(h[i : i + 1].view(np.uint64)))
+                columns = [pa.array(made.view(np.int64)), *(pa.array(np.full(len(nexts), x, k)) for x, k in ((doc[i], np.int64), (n, np.int32)))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(low, low + len(nexts), dtype=np.int32))], names=["h", "doc", "n", "pos"])
+
+    # An id with several texts has several sets; a node's member is the one of its size.
+    joined = members.select("h", "doc", "n", "pos").join(sets, "doc").filter("n = whole").select("h", "doc", "pos", "items")
+    return joined.mapInArrow(run, "h long, doc long, n int, pos int")
+
+
 class PrefixTree:
     """Sets in the global order as a trie: sorted sequences and the prefix each shares with the one before."""
 
@@ -371,13 +424,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     ranks = spark.sparkContext.broadcast(merge_sketch(measured, slots))  # at most 32 MB
     rows = measured.filter("slice is null").select("doc", "n", "sig")
 
-    by_hash = Window.partitionBy("h")
-    met = postings(slim, ranks, percent).withColumn("f", F.count("*").over(by_hash)).filter("f > 1")
-    groups = staged(met, "jaccard-groups")
-    small, large = groups.filter(F.col("f") <= SMALL), groups.filter(F.col("f") > SMALL)
-    first = small_pairs(small, percent).unionByName(leader_pairs(large.withColumn("comp", F.col("doc")), 0, FIRST_LEADERS, percent))
-    first = staged(first.distinct(), "jaccard-pairs")
-    edges = verify(slim, ranks, first, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    level = 1
+    members = staged(nodes(postings(slim, ranks, percent), level, percent), "jaccard-nodes")
+    first = _first_pairs(members.withColumn("comp", F.col("doc")), level, percent)
+    edges = verify(slim, ranks, staged(first.distinct(), "jaccard-pairs"), percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     same = rows.filter("sig is not null and doc is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.count("*").alias("size")).filter("size > 1")
     same = staged(same, "jaccard-same")
@@ -386,25 +436,43 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     edges = staged(edges.unionByName(equal).filter("src <> dst").distinct(), "jaccard-edges")
     labels = staged(connected_components(edges), "jaccard-labels")
 
-    done = FIRST_LEADERS
     while True:
-        large = large.filter(F.col("f") > done)  # smaller groups are tested in full
-        named = large.drop("comp").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left")
+        large = members.filter(F.col("f") > SMALL)  # smaller nodes are tested in full
+        named = large.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left")
         named = named.withColumn("comp", F.coalesce("comp", "doc"))
-        open_ = named.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h")
-        large = staged(join_ids(named, staged(open_, "jaccard-open-groups"), "h", "left_semi"), "jaccard-open")
-        if not large.limit(1).collect():
+        # Children of a member: the places left in its prefix.
+        wide = F.avg(prefix_length(F.col("n"), percent) + level - F.col("pos") - 1)
+        of_node = named.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.min("n").alias("least"), wide.alias("wide"))
+        # Where sets may share no more than the node's depth there may be no next shingle.
+        full = (F.col("m") <= F.greatest(F.lit(FULL), FULL_CHILDREN * F.col("wide"))) | (F.lit(level) >= F.ceil(F.col("least") * F.lit(percent) / F.lit(100)))
+        open_ = staged(of_node.filter("low <> high").select("h", full.alias("full")), "jaccard-open-nodes")
+        parts = {r["full"] for r in open_.select("full").distinct().collect()}
+        if not parts:
             break
-        pairs = staged(leader_pairs(large, done, done * GROWTH, percent).distinct(), "jaccard-pairs")
-        done *= GROWTH
-        if not pairs.limit(1).collect():
-            continue
+        found = []
+        if True in parts:
+            rest = staged(join_ids(named, open_.filter("full").select("h"), "h", "left_semi"), "jaccard-open")
+            found.append(leader_pairs(rest, LEADERS, (1 << 31) - 1, level, percent))
+        if False in parts:
+            deeper = staged(join_ids(named, open_.filter("not full").select("h"), "h", "left_semi"), "jaccard-open")
+            level += 1
+            members = staged(nodes(children(slim, ranks, deeper, level - 1, percent), level, percent), "jaccard-nodes")
+            known = deeper.select("doc", "comp").distinct()
+            found.append(_first_pairs(members.join(known, "doc"), level, percent))
+        pairs = staged(reduce(DataFrame.unionByName, found).distinct(), "jaccard-pairs")
         more = verify(slim, ranks, pairs, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         if more.limit(1).collect():
             # The old labels stand for the old edges.
             stars = labels.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
             labels = staged(connected_components(stars.unionByName(more)), "jaccard-labels")
+        if False not in parts:
+            break
 
-    discard(groups)
     named = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def _first_pairs(members: DataFrame, level: int, percent: int) -> DataFrame:
+    """Pairs of new nodes: all of the small ones, those with leaders of the large ones."""
+    small, large = members.filter(F.col("f") <= SMALL), members.filter(F.col("f") > SMALL)
+    return small_pairs(small, level, percent).unionByName(leader_pairs(large, 0, LEADERS, level, percent))

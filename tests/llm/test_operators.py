@@ -241,6 +241,19 @@ def test_chat_round_trip(spark):
     assert loss == {c: "".join(t for _, r, t in turns if r == "assistant") for c, turns in want.items()}
 
 
+def test_chat_ties_repeats_and_a_very_long_conversation(spark):
+    rows = [(1, 0, "user", "b", "k"), (1, 0, "user", "a", "k"), (1, 0, "user", "a", "k"), (1, None, "assistant", "first", "k"), (1, 1, None, None, "k")]
+    rows += [(2, k, "user" if k % 3 == 0 else "assistant", f"<{k}" * 3, "k") for k in range(3000)] + [(2, 3000, "assistant", "x[" * 200_000, "k")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, parts string")
+    made = chat.format_chats(turns)
+    loss = chat.loss_text(made)
+    out = {r["conv_id"]: r for r in chat.parse_chats(made.withColumn("loss", loss), "loss").collect()}
+    assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("assistant", "first"), ("user", "a"), ("user", "a"), ("user", "b"), ("", "")]
+    want = [r for r in rows if r[0] == 2]
+    assert [(t["role"], t["text"]) for t in out[2]["turns"]] == [(r[2], r[3]) for r in want]
+    assert out[2]["loss"] == "".join(r[3] for r in want if r[2] == "assistant") and out[1]["loss"] == "first"
+
+
 def test_chat_merges_neighbours_and_takes_an_empty_table(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
@@ -323,6 +336,51 @@ def test_decontamination_tests_each_row_of_a_repeated_item_id(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == {(d, i): 1.0 for d in range(len(texts)) for i in (None, 5)}
 
 
+def test_decontamination_index_selects_and_finds_leaks_near_the_threshold(spark, monkeypatch):
+    """5,000 items of one length that share phrases; 1,000 leaks of similarity 0.8 to 0.86."""
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    phrases = [rng.choices(vocabulary, k=10) for _ in range(50)]
+    items = [rng.choice(phrases) + rng.choices(vocabulary, k=30) for _ in range(5000)]
+    rows = {}
+    for d in range(1000):
+        text, want = [*items[5 * d]], " ".join(items[5 * d])
+        while True:
+            trial = [*text]
+            trial[rng.choice([0, 1, 2, 37, 38, 39])] = "edit"
+            if rng.random() < 0.3:
+                trial[rng.randrange(3)] = "more"
+            if 0.8 <= best_window(" ".join(trial), want) <= 0.86:
+                break
+            text = trial if best_window(" ".join(trial), want) > 0.86 else [*items[5 * d]]
+        rows[d] = rng.choices(vocabulary, k=5) + trial + rng.choices(vocabulary, k=5)
+    seen, near = [], decontaminate.near_items
+
+    def count(printed, index, radius):
+        out = near(printed, index, radius)
+        seen.append((out.count(), printed.count()))
+        return out
+
+    monkeypatch.setattr(decontaminate, "near_items", count)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, [(d, " ".join(w)) for d, w in rows.items()]), bench).collect()
+    caught = {(r["doc_id"], r["item_id"]) for r in found}
+    assert sum((d, 5 * d) in caught for d in rows) >= 990
+    (pairs, windows), = seen
+    assert windows >= 1000 and pairs < 5 * windows
+
+
+def test_decontamination_of_repeated_rows_and_a_very_long_text(spark):
+    rng = random.Random(18)
+    item = rng.choices([f"w{k}" for k in range(200)], k=30)
+    long = rng.choices([f"w{k}" for k in range(200)], k=60_000)
+    long[50_000:50_000] = item
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(1, " ".join(long)), (2, " ".join(item)), (2, " ".join(item)), (None, " ".join(item))]
+    found = decontaminate.contaminated(docs(spark, rows), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["similarity"], r["window_start"]) for r in found) == [(0, 1, 1.0, 0), (1, 1, 1.0, 50_000), (2, 1, 1.0, 0)]
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, [(1, "a b c d e f")]), bench).collect() == []
@@ -346,6 +404,17 @@ def test_tree_codec_equals_the_library():
     assert codec.encode(long) == codec.plain.encode_ordinary(long) and codec.decode(codec.encode(long)) == long.encode()
 
 
+def test_tree_codec_joins_texts_without_cuts():
+    rng = random.Random(19)
+    pools = ["的一是不了人我在有他这中大来上国。，、！", "aaaaaaab", "ab'stredlvm", "abc019.,;-", "   \t\n\r\x1c\x85\u3000a", "éüñß łж あいう한국１２²½", "🙂👍🏽\u200d\u0301e"]
+    codec = bpe.TreeCodec(bpe.read_ranks(RANKS), PATTERN, leaf=3)
+    for k in range(1500):
+        text = "".join(rng.choices(pools[k % 7] if k % 8 else "".join(pools), k=rng.randrange(1, 300)))
+        assert codec.encode(text) == codec.plain.encode_ordinary(text)
+    long = "".join(rng.choices(pools[0][:16], k=20_000))
+    assert bpe.TreeCodec(bpe.read_ranks(RANKS), PATTERN).encode(long) == codec.plain.encode_ordinary(long)
+
+
 def test_bpe_round_trip_rows(spark):
     rows = corpus(9, 30) + [(None, "x"), (3, "x y " * 5000)]
     out = bpe.round_trip(docs(spark, rows), RANKS, PATTERN).collect()
@@ -475,6 +544,67 @@ def test_jaccard_large_groups_and_leader_rounds(spark):
     assert out == components_by_force(rows)
 
 
+def test_jaccard_drift_of_many_versions(spark):
+    """300 versions, each one word from the one before: one chain, whatever the order of ids."""
+    rng = random.Random(15)
+    text, rows = [f"c{k}" for k in range(100)], []
+    for d in range(300):
+        rows.append((d if d < 150 else 1000 - d, " ".join(text)))
+        text = [*text]
+        text[rng.randrange(100)] = f"n{d}"
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs(spark, rows)).collect()}
+    assert out == components_by_force(rows)
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    """Pairs handed to verification, counted."""
+    seen, verify = [], jaccard_join.verify
+
+    def count(docs, ranks, pairs, percent):
+        seen.append(pairs.count())
+        return verify(docs, ranks, pairs, percent)
+
+    monkeypatch.setattr(jaccard_join, "verify", count)
+    return seen
+
+
+def test_jaccard_shared_boilerplate_costs_no_pairs(spark, counted):
+    """Pages at similarities from 0.6 to 0.79 by what they share, with words of their own: nothing links, few pairs are tested."""
+    rows = []
+    for k in range(20_000):
+        own = (16, 28)[k % 2]  # words, four more than there are
+        rows.append((k, " ".join([f"x{k}y{j}" for j in range(own - 4)] + [f"b{k % 2}w{j}" for j in range(104 - own)])))
+    out = jaccard_join.jaccard_components(docs(spark, rows)).filter("doc_id <> component_id").count()
+    assert out == 0 and sum(counted) < len(rows)
+
+
+def test_jaccard_open_nodes_are_extended(spark, counted, monkeypatch):
+    """Templates with a few choices each: members share early shingles with strangers and with relatives."""
+    monkeypatch.setattr(jaccard_join, "FULL", 20)
+    monkeypatch.setattr(jaccard_join, "FULL_CHILDREN", 0)
+    rng = random.Random(16)
+    forms = [[[f"f{f}p{p}c{c}" for c in range(3)] for p in range(4)] for f in range(2)]
+    rows = []
+    for k in range(400):
+        form = forms[k % 2]
+        part = [" ".join(f"{rng.choice(form[p])}w{j}" for j in range(2)) + f" {rng.choice(form[p])} " + " ".join(f"s{k % 2}q{p}z{j}" for j in range(6)) for p in range(4)]
+        rows.append((k, " ".join(part)))
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs(spark, rows)).collect()}
+    assert out == components_by_force(rows) and len(set(out.values())) > 5
+
+
+def test_jaccard_very_long_and_repeated_rows(spark):
+    rng = random.Random(17)
+    long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
+    near = [*long]
+    for k in range(0, 40_000, 300):
+        near[k] = "edit"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:20_000])), (4, "a b"), (4, "a b"), (5, "A B"), (6, None)]
+    out = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs(spark, rows)).collect())
+    assert out == [(1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 4), (6, 6)]
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).collect() == []
 
