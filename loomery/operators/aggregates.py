@@ -17,12 +17,16 @@ AGGREGATES = {
         {"fanout": 8},
         "SELECT kind, TOTAL(v) AS total, max(v) AS largest, count(*) AS n FROM {ev} GROUP BY kind",
     ),
-    "inversions": Op("SELECT a.k AS k, count(*) AS inversions FROM {ev} a JOIN {ev} b ON a.k = b.k AND a.seq < b.seq AND a.v > b.v GROUP BY a.k"),
     "keychurn": Op("SELECT w, count(*) AS users, TOTAL(CASE WHEN f = w THEN 1 ELSE 0 END) AS novel FROM (SELECT DISTINCT INT(t / 86400e0) AS w, k, min(INT(t / 86400e0)) OVER (PARTITION BY k) AS f FROM {ev}) x GROUP BY w"),
     "localagg": Op("SELECT kind, TOTAL(n) AS n, TOTAL(s) AS total, max(m) AS largest, count(*) AS shipped, TOTAL(n) - count(*) AS saved FROM (SELECT kind, INT(seq / {batch}e0) AS b, count(*) AS n, TOTAL(v) AS s, max(v) AS m FROM {ev} GROUP BY 1, 2) x GROUP BY kind", {"batch": 100}),
     # A true count, whatever the values.
     "localcombine": Op("SELECT kind, TOTAL(n) AS n, min(lo) AS least, max(hi) AS most FROM (SELECT kind, k, count(*) AS n, min(v) AS lo, max(v) AS hi FROM {ev} GROUP BY 1, 2) x GROUP BY kind", {}, "SELECT kind, count(*) AS n, min(v) AS least, max(v) AS most FROM {ev} GROUP BY kind"),
-    "majority": Op("SELECT k, kind FROM (SELECT k, kind, count(*) AS c, CAST(sum(count(*)) OVER (PARTITION BY k) AS BIGINT) AS n FROM {ev} GROUP BY k, kind) x WHERE 2 * c > n"),
+    # The size of value, if any, that more than half of a user's events have.
+    "majority": Op(
+        "SELECT k, size FROM (SELECT k, size, count(*) AS c, CAST(sum(count(*)) OVER (PARTITION BY k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN v < 40 THEN 'small' WHEN v < 80 THEN 'middle' ELSE 'large' END AS size FROM {ev}) w GROUP BY k, size) x WHERE 2 * c > n",
+        {},
+        "SELECT k, CASE WHEN s THEN 'small' WHEN m THEN 'middle' ELSE 'large' END AS size FROM (SELECT k, avg(CASE WHEN v < 40 THEN 1e0 ELSE 0e0 END) > 0.5 AS s, avg(CASE WHEN v >= 40 AND v < 80 THEN 1e0 ELSE 0e0 END) > 0.5 AS m, avg(CASE WHEN v >= 80 THEN 1e0 ELSE 0e0 END) > 0.5 AS l FROM {ev} GROUP BY k) x WHERE s OR m OR l",
+    ),
     "onlineregression": Op("SELECT k, round(regr_slope(v, seq), 8) AS slope, round(regr_intercept(v, seq), 6) AS intercept FROM {ev} GROUP BY k HAVING count(*) > 1"),
     "outlier": Op(
         """SELECT e.k AS k, e.seq AS seq, e.v AS v FROM {ev} e JOIN (SELECT f.k AS k, med, median(abs(f.v - med)) AS mad FROM {ev} f JOIN (SELECT k, median(v) AS med FROM {ev} GROUP BY k) m ON f.k = m.k GROUP BY f.k, med) d ON e.k = d.k

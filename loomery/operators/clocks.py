@@ -24,7 +24,14 @@ CLOCKS = {
     "virtualtime": Op("SELECT instant, LIST(seq) AS callbacks FROM (SELECT INT(t / 3600e0) * 3600 AS instant, seq FROM {ev}) x GROUP BY instant"),
     "asyncorder": Op("SELECT k, max(held) AS peak FROM (SELECT k, count(*) OVER (PARTITION BY k ORDER BY a, seq) - max(rank_in) OVER (PARTITION BY k ORDER BY a, seq) AS behind, max(rank_in) OVER (PARTITION BY k ORDER BY a, seq) - count(*) OVER (PARTITION BY k ORDER BY a, seq) AS held FROM (SELECT k, a, seq, row_number() OVER (PARTITION BY k ORDER BY e, seq) AS rank_in FROM " + _LATE + " x) y) z GROUP BY k"),
     "barrieralign": Op("SELECT k, max(e) - min(e) AS delay, TOTAL(CASE WHEN e < top THEN v ELSE 0 END) AS absorbed FROM (SELECT k, e, v, max(e) OVER (PARTITION BY k) AS top FROM (SELECT k, kind, max(t) AS e, TOTAL(v) AS v FROM {ev} GROUP BY k, kind) a) b GROUP BY k"),
-    "checkpoint": Op("SELECT barrier, count(*) AS n, CAST(sum(TOTAL(v)) OVER (ORDER BY barrier) AS BIGINT) AS state FROM (SELECT INT(seq / {every}e0) AS barrier, v FROM {ev}) x GROUP BY barrier", {"every": 100}),
+    # The state at each barrier: running sums within blocks of barriers, after the sums of the blocks before.
+    "checkpoint": Op(
+        """WITH b AS (SELECT INT(seq / {every}e0) AS barrier, count(*) AS n, TOTAL(v) AS total FROM {ev} GROUP BY 1), c AS (SELECT INT(barrier / 1000e0) AS part, TOTAL(total) AS total FROM b GROUP BY 1),
+           d AS (SELECT part, coalesce(sum(total) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c)
+           SELECT b.barrier AS barrier, b.n AS n, CAST(d.base + sum(b.total) OVER (PARTITION BY d.part ORDER BY b.barrier) AS BIGINT) AS state FROM b JOIN d ON INT(b.barrier / 1000e0) = d.part""",
+        {"every": 100},
+        "SELECT barrier, count(*) AS n, CAST(sum(TOTAL(v)) OVER (ORDER BY barrier) AS BIGINT) AS state FROM (SELECT INT(seq / {every}e0) AS barrier, v FROM {ev}) x GROUP BY barrier",
+    ),
     "checkpointinterval": Op("SELECT n, round({cost} / CAST(n AS DOUBLE) + n / (2e0 * {mtbf}), 8) AS waste, round(sqrt(2e0 * {cost} * {mtbf}), 6) AS optimum FROM " + _N + " x", {"n": 40, "cost": 5, "mtbf": 1000}),
     "idempotencykey": Op("SELECT kind, k, min_by(v, seq) AS result, count(*) - 1 AS retries FROM {ev} GROUP BY kind, k"),
     # Versions migrate one step at a time; each step doubles and adds its number.
@@ -65,7 +72,6 @@ FLOW = {
     "ringbuffer": Op("SELECT k, LIST(seq) AS kept FROM (SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS back FROM {ev}) x WHERE back <= {capacity} GROUP BY k", {"capacity": 4}),
     "slidingwindowrate": Op("SELECT k, TOTAL(CASE WHEN r <= {limit} THEN 1 ELSE 0 END) AS admitted, TOTAL(CASE WHEN r > {limit} THEN 1 ELSE 0 END) AS refused FROM (SELECT k, row_number() OVER (PARTITION BY k, INT(t / {window}e0) ORDER BY seq) AS r FROM {ev}) x GROUP BY k", {"limit": 2, "window": 86400}),
     "tenantquota": Op("SELECT k, TOTAL(v) AS used, min(CASE WHEN p * 100 >= {budget} * 50 THEN seq END) AS warned_at_50, min(CASE WHEN p * 100 >= {budget} * 95 THEN seq END) AS warned_at_95, greatest(CAST(0 AS BIGINT), TOTAL(v) - {budget}) AS overage FROM (SELECT k, v, seq, CAST(sum(v) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS p FROM {ev}) x GROUP BY k", {"budget": 2000}),
-    "maxminfair": Op("SELECT k, demand, least(demand, level) AS share FROM (SELECT k, demand, max(CASE WHEN fits THEN NULL ELSE fair END) OVER () AS lv, coalesce(min(CASE WHEN NOT fits THEN fair END) OVER (), max(demand) OVER ()) AS level FROM (SELECT k, demand, INT(({capacity} - before) / CAST(n - r + 1 AS DOUBLE)) AS fair, demand <= INT(({capacity} - before) / CAST(n - r + 1 AS DOUBLE)) AS fits FROM (SELECT k, demand, row_number() OVER (ORDER BY demand, k) AS r, count(*) OVER () AS n, CAST(coalesce(sum(demand) OVER (ORDER BY demand, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT k, TOTAL(v) AS demand FROM {ev} GROUP BY k) a) b) c) d", {"capacity": 20000}),
     # Load of a retry storm after each round, without and with a retry budget.
     "retrystorm": Op(
         """SELECT n AS round_no, aggregate(sequence(CAST(1 AS BIGINT), n), CAST({base} AS BIGINT), (s, i) -> {base} + CAST(floor(s * {fail}) AS BIGINT)) AS naive,

@@ -45,17 +45,12 @@ FRAMES = {
     "ewma": Op("SELECT x.k AS k, round(sum({a} * v * power(1 - {a}, n - i)), 5) AS raw, round(sum({a} * v * power(1 - {a}, n - i)) / (1 - power(1 - {a}, max(n))), 5) AS corrected FROM " + _RANKED + " x JOIN (SELECT k, count(*) AS n FROM {ev} GROUP BY k) c ON x.k = c.k GROUP BY x.k", {"a": "3e-1"}),
     "kadane": Op("SELECT k, max(p - least(0, before)) AS best FROM (SELECT k, p, coalesce(min(p) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM " + _PREFIX + " a) b GROUP BY k"),
     "longestunique": Op("SELECT k, CAST(max(i - edge) AS BIGINT) AS longest FROM (SELECT k, i, max(p) OVER (PARTITION BY k ORDER BY i) AS edge FROM (SELECT k, i, coalesce(lag(i) OVER (PARTITION BY k, v ORDER BY i), 0) AS p FROM " + _RANKED + " a) b) c GROUP BY k"),
-    "maxrectangle": Op(
-        """SELECT k, max(v * (hi - lo - 1)) AS area FROM (SELECT a.k AS k, a.i AS i, min(a.v) AS v, coalesce(max(CASE WHEN b.i < a.i AND b.v < a.v THEN b.i END), 0) AS lo, coalesce(min(CASE WHEN b.i > a.i AND b.v < a.v THEN b.i END), max(n) + 1) AS hi
-           FROM """ + _RANKED + " a JOIN " + _RANKED + """ b ON a.k = b.k JOIN (SELECT k, count(*) AS n FROM {ev} GROUP BY k) c ON a.k = c.k GROUP BY a.k, a.i) x GROUP BY k"""
-    ),
     "prefixsum": Op("SELECT k, max(CASE WHEN i = {hi} THEN p END) - coalesce(max(CASE WHEN i = {lo} THEN p END), 0) AS range_sum, max(CASE WHEN i = n THEN p END) AS total FROM (SELECT k, i, count(*) OVER (PARTITION BY k) AS n, CAST(sum(v) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS p FROM " + _RANKED + " a) b GROUP BY k", {"lo": 5, "hi": 15}),
     "prefixsum2d": Op("SELECT r, c, CAST(sum(s) OVER (PARTITION BY c ORDER BY r) AS BIGINT) AS p FROM (SELECT r, c, CAST(sum(v) OVER (PARTITION BY r ORDER BY c) AS BIGINT) AS s FROM (SELECT k % 8 AS r, seq % 8 AS c, TOTAL(v) AS v FROM {ev} GROUP BY 1, 2) a) b"),
     "rainwater": Op("SELECT k, TOTAL(least(l, r) - v) AS water FROM (SELECT k, v, max(v) OVER (PARTITION BY k ORDER BY i) AS l, max(v) OVER (PARTITION BY k ORDER BY i DESC) AS r FROM " + _RANKED + " a) b GROUP BY k"),
     "runningmedian": Op("SELECT k, seq, round(percentile(v, 0.5) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS med FROM {ev}", {}, "SELECT k, seq, round(median(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS med FROM {ev}"),
     "slidingcount": Op("SELECT k, seq, CAST(sum(v) OVER w AS BIGINT) AS total, count(*) OVER w AS n, round(avg(v) OVER w, 6) AS mean FROM {ev} WINDOW w AS (PARTITION BY k ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"),
     "slidingmax": Op("SELECT k, seq, max(v) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS top FROM {ev}"),
-    "windowspan": Op("SELECT k, max(n) AS longest FROM (SELECT a.k AS k, a.i AS i, count(*) AS n FROM (SELECT k, i, p - v AS q FROM (SELECT k, i, v, CAST(sum(v) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS p FROM " + _RANKED + " x) y) a JOIN (SELECT k, i, CAST(sum(v) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS p FROM " + _RANKED + " z) b ON a.k = b.k AND b.i >= a.i AND b.p - a.q <= {budget} GROUP BY a.k, a.i) c GROUP BY k", {"budget": 300}),
 }
 
 ORDERING = {
@@ -74,11 +69,11 @@ ORDERING = {
     "nextpermutation": Op(
         """SELECT k, JOINED(transform(CASE WHEN i = 0 THEN reverse(a) ELSE concat(slice(a, 1, i - 1), array(a[j - 1]), reverse(transform(sequence(i + 1, size(a)), x -> CASE WHEN x = j THEN a[i - 1] ELSE a[x - 1] END))) END, x -> TEXT(x)), ',') AS following FROM
            (SELECT k, a, i, CASE WHEN i = 0 THEN 0 ELSE array_max(filter(sequence(i + 1, size(a)), x -> a[x - 1] > a[i - 1])) END AS j FROM (SELECT k, a, coalesce(array_max(filter(sequence(1, size(a) - 1), x -> a[x - 1] < a[x])), 0) AS i FROM
-           (SELECT k, transform(array_sort(collect_list(named_struct('s', seq, 'v', v % 9))), e -> e.v) AS a FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 8 GROUP BY k HAVING count(*) > 1) b) c) d""",
+           (SELECT k, transform(array_sort(collect_list(named_struct('s', seq, 'v', v % 9))), e -> e.v) AS a FROM (SELECT k, v, seq FROM {ev}) q GROUP BY k HAVING count(*) > 1) b) c) d""",
         {},
         """SELECT k, array_to_string(CASE WHEN i = 0 THEN list_reverse(a) ELSE list_concat(a[1:i - 1], list_concat([a[j]], list_reverse(list_transform(generate_series(i + 1, len(a)), lambda x: CASE WHEN x = j THEN a[i] ELSE a[x] END)))) END, ',') AS following FROM
            (SELECT k, a, i, CASE WHEN i = 0 THEN 0 ELSE list_max(list_filter(generate_series(i + 1, len(a)), lambda x: a[x] > a[i])) END AS j FROM (SELECT k, a, coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda x: a[x] < a[x + 1])), 0) AS i FROM
-           (SELECT k, list(v % 9 ORDER BY seq) AS a FROM (SELECT k, v, seq, row_number() OVER (PARTITION BY k ORDER BY seq) AS r FROM {ev}) q WHERE r <= 8 GROUP BY k HAVING count(*) > 1) b) c) d""",
+           (SELECT k, list(v % 9 ORDER BY seq) AS a FROM (SELECT k, v, seq FROM {ev}) q GROUP BY k HAVING count(*) > 1) b) c) d""",
     ),
     "resequencer": Op("SELECT k, max(CASE WHEN seen = seq_in THEN seq_in ELSE 0 END) AS contiguous, count(*) AS offered FROM (SELECT k, r AS seq_in, count(*) OVER (PARTITION BY k ORDER BY r) AS seen FROM (SELECT DISTINCT k, v % 30 + 1 AS r FROM {ev}) x) y GROUP BY k"),
     "skewmeter": Op("SELECT k, max(CASE WHEN r = CAST(ceil(n * 0.9e0) AS BIGINT) THEN d END) AS p90, round(100 * avg(CASE WHEN d > {bound} THEN 1e0 ELSE 0e0 END), 4) AS refused_share FROM (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY d, seq) AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT k, seq, (seq * 7919 % 97) * 60 AS d FROM {ev}) x) y GROUP BY k", {"bound": 3000}),
@@ -93,7 +88,12 @@ SETS = {
     "crdtset": Op("SELECT DISTINCT k FROM {ev} WHERE kind = 'signup' EXCEPT SELECT k FROM {ev} WHERE kind = 'error' AND v > 90"),
     "lwwregister": Op("SELECT k, max_by(v, seq) AS v, max(seq) AS stamp, count(*) - 1 AS discarded FROM {ev} GROUP BY k"),
     "lwwset": Op("SELECT k, item FROM (SELECT k, v % 10 AS item, max(CASE WHEN ok THEN seq END) AS added, coalesce(max(CASE WHEN NOT ok THEN seq END), -1) AS removed FROM {ev} GROUP BY 1, 2) x WHERE added >= removed"),
-    "orset": Op("SELECT DISTINCT a.k AS k, a.item AS item FROM (SELECT k, v % 10 AS item, seq AS tag FROM {ev} WHERE ok) a LEFT JOIN (SELECT x.k AS k, y.seq AS tag FROM {ev} x JOIN {ev} y ON x.k = y.k AND x.v % 10 = y.v % 10 AND y.seq < x.seq WHERE NOT x.ok AND y.ok) r ON a.k = r.k AND a.tag = r.tag WHERE r.tag IS NULL"),
+    # An add stays unless a later removal of its item has seen it.
+    "orset": Op(
+        "SELECT DISTINCT k, item FROM (SELECT k, v % 10 AS item, seq, ok, max(CASE WHEN NOT ok THEN seq END) OVER (PARTITION BY k, v % 10) AS removed FROM {ev}) x WHERE ok AND (removed IS NULL OR seq > removed)",
+        {},
+        "SELECT DISTINCT a.k AS k, a.item AS item FROM (SELECT k, v % 10 AS item, seq AS tag FROM {ev} WHERE ok) a LEFT JOIN (SELECT x.k AS k, y.seq AS tag FROM {ev} x JOIN {ev} y ON x.k = y.k AND x.v % 10 = y.v % 10 AND y.seq < x.seq WHERE NOT x.ok AND y.ok) r ON a.k = r.k AND a.tag = r.tag WHERE r.tag IS NULL",
+    ),
     "merkle": Op("SELECT bucket, SHA(JOINED(LIST(TEXT(k)), ',')) AS digest FROM (SELECT DISTINCT BUCKET(k, {leaves}) AS bucket, k FROM {ev}) x GROUP BY bucket", {"leaves": 16}),
     "unionstream": Op("SELECT min(top) - {bound} AS merged, count(*) AS inputs, max(top) - min(top) AS spread FROM (SELECT kind, max(t) AS top FROM {ev} GROUP BY kind) x WHERE top > (SELECT max(t) FROM {ev}) - {idle}", {"bound": 3600, "idle": 864000}),
 }

@@ -55,15 +55,27 @@ def matched(left: DataFrame, right: DataFrame, tolerance: str, delay: str) -> Da
     return a.join(b, near, "full_outer")
 
 
-def pattern_matches(events: DataFrame, stages: tuple[str, ...], within_s: int) -> DataFrame:
-    """Ordered stages per key within a time span; one partial match is kept for each key."""
+def pattern_matches(events: DataFrame, stages: tuple[str, ...], within_s: int, delay: str = "0 seconds") -> DataFrame:
+    """Ordered stages per key within a time span; one partial match is kept for each key.
+
+    A key's state is the rows the watermark has not passed and the match under way.  Rows are taken in
+    event-time order once the watermark is past them, whichever batch brought them; rows later than the watermark
+    are dropped.  A match that can no longer be completed is forgotten with its key when its time is up.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, start = state.get if state.exists else (-1, 0.0)
-        found = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for ts, kind, seq in zip(rows["ts"], rows["kind"], rows["seq"], strict=True):
-            now = ts.timestamp()
+        at, start, held = state.get if state.exists else (-1, 0.0, [])
+        mark = state.getCurrentWatermarkMs() / 1000
+        rows = [tuple(r) for r in held]
+        if not state.hasTimedOut:
+            for part in batches:
+                rows += [(ts.timestamp(), int(seq), kind) for ts, seq, kind in zip(part["ts"], part["seq"], part["kind"], strict=True) if ts.timestamp() >= mark]
+        rows.sort()
+        found, waiting = [], []
+        for now, seq, kind in rows:
+            if now >= mark:
+                waiting.append((now, seq, kind))
+                continue
             if at >= 0 and now - start > within_s:
                 at = -1
             if kind == stages[0]:
@@ -71,12 +83,21 @@ def pattern_matches(events: DataFrame, stages: tuple[str, ...], within_s: int) -
             elif at >= 0 and kind == stages[at + 1]:
                 at += 1
             if at == len(stages) - 1:
-                found.append((key[0], int(seq), int(now - start)))
+                found.append((key[0], seq, int(now - start)))
                 at = -1
-        state.update((at, start))
+        if at >= 0 and start + within_s < mark:
+            at = -1
+        if at < 0 and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((at, start, waiting))
+            due = waiting[0][0] if waiting else start + within_s
+            state.setTimeoutTimestamp(int(max(due, mark) * 1000) + 1)
         yield pd.DataFrame(found, columns=["k", "seq", "took"])
 
-    return events.groupBy("k").applyInPandasWithState(step, "k long, seq long, took long", "at int, start double", "append", GroupStateTimeout.NoTimeout)
+    held = "at int, start double, held array<struct<ts: double, seq: long, kind: string>>"
+    return events.withWatermark("ts", delay).groupBy("k").applyInPandasWithState(step, "k long, seq long, took long", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_once(path: str):

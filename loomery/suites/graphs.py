@@ -64,8 +64,9 @@ def pipelinegraph(spark, sf_dir):
 
 
 def unionfind(spark, sf_dir):
-    ev = frame(spark, sf_dir, "ev").filter("v < 2")
-    return connected_components(ev.select(F.col("k").alias("src"), (F.col("seq") % 211 + 100000).alias("dst")))
+    """Users joined by values: users of one remainder meet in the values they share."""
+    ev = frame(spark, sf_dir, "ev")
+    return connected_components(ev.select(F.col("k").alias("src"), (F.col("k") % 37 * 1000 + F.col("v") + 10**12).alias("dst")))
 
 
 def _tree(spark, sf_dir):
@@ -128,7 +129,7 @@ def _trail(edges):
 SQL = {
     # The orbit of x -> (x * x + c) mod m: tail and cycle length.
     "floyd": Op(
-        """SELECT c, CAST(min(i) AS BIGINT) AS first_repeat, CAST(min(i) - max(j) AS BIGINT) AS cycle_length FROM (SELECT c, i, max(j) AS j FROM (SELECT a.c AS c, a.i AS i, b.i AS j FROM orbit a JOIN orbit b ON a.c = b.c AND b.i < a.i AND a.x = b.x) p GROUP BY c, i) q WHERE (c, i) IN (SELECT c, min(i) FROM (SELECT a.c AS c, a.i AS i FROM orbit a JOIN orbit b ON a.c = b.c AND b.i < a.i AND a.x = b.x) r GROUP BY c) GROUP BY c"""
+        """SELECT c, CAST(min(i) AS BIGINT) AS first_repeat, CAST(min(i) - max(j) AS BIGINT) AS cycle_length FROM (SELECT c, i, max(j) AS j FROM (SELECT a.c AS c, a.i AS i, b.i AS j FROM {orbit} a JOIN {orbit} b ON a.c = b.c AND b.i < a.i AND a.x = b.x) p GROUP BY c, i) q WHERE (c, i) IN (SELECT c, min(i) FROM (SELECT a.c AS c, a.i AS i FROM {orbit} a JOIN {orbit} b ON a.c = b.c AND b.i < a.i AND a.x = b.x) r GROUP BY c) GROUP BY c"""
     ),
 }
 _ORBIT_SPARK = "SELECT c, pos AS i, x FROM (SELECT c, posexplode(aggregate(sequence(1, 60), array(CAST(2 AS BIGINT)), (s, i) -> array_append(s, (element_at(s, -1) * element_at(s, -1) + c) % 97))) AS (pos, x) FROM (SELECT explode(sequence(CAST(1 AS BIGINT), CAST(50 AS BIGINT))) AS c))"
@@ -136,8 +137,7 @@ _ORBIT_DUCK = "orbit(c, i, x) AS (SELECT c, 0, CAST(2 AS BIGINT) FROM (SELECT un
 
 
 def floyd(spark, sf_dir):
-    spark.sql(_ORBIT_SPARK).createOrReplaceTempView("orbit")
-    return spark.sql(SQL["floyd"].sql)
+    return SQL["floyd"].apply(spark, {"orbit": spark.sql(_ORBIT_SPARK)})
 
 
 QUERIES = {
@@ -182,9 +182,9 @@ ORACLES = {
     "scc": _HEAVY + ", nodes AS (SELECT grp, src AS node FROM edges UNION SELECT grp, dst FROM edges) SELECT n.grp, n.node, least(n.node, coalesce(min(a.dst), n.node)) AS component FROM nodes n LEFT JOIN (SELECT x.grp, x.src, x.dst FROM reach x JOIN reach y ON x.grp = y.grp AND x.src = y.dst AND x.dst = y.src) a ON a.grp = n.grp AND a.src = n.node GROUP BY 1, 2",
     "deadlock": _HEAVY + "SELECT grp, max(src) AS victim, count(*) AS waiting FROM reach WHERE src = dst GROUP BY 1",
     "pipelinegraph": _HEAD + ", dag AS (SELECT grp, src, dst FROM edges WHERE src < dst)" + _CLOSURE.replace("edges", "dag") + "SELECT grp, src, count(*) AS downstream FROM reach GROUP BY 1, 2",
-    "unionfind": f"WITH RECURSIVE {_EV}, e AS (SELECT DISTINCT k AS a, seq % 211 + 100000 AS b FROM ev WHERE v < 2), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, b FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.other = w.a) SELECT node, least(node, min(other)) AS component FROM r GROUP BY node",
+    "unionfind": f"WITH RECURSIVE {_EV}, e AS (SELECT DISTINCT k AS a, k % 37 * 1000 + v + 1000000000000 AS b FROM ev), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, b FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.other = w.a) SELECT node, least(node, min(other)) AS component FROM r GROUP BY node",
     "binarylifting": "SELECT c_custkey + 1 AS node, (c_custkey + 1) // 8 AS ancestor FROM customer WHERE c_custkey + 1 >= 8",
     "lca": "WITH RECURSIVE line(node, ancestor) AS (SELECT c_custkey + 1, c_custkey + 1 FROM customer UNION ALL SELECT node, ancestor // 2 FROM line WHERE ancestor > 1) SELECT a.node, max(a.ancestor) AS lowest FROM line a JOIN line b ON b.node = a.node + 1 AND a.ancestor = b.ancestor GROUP BY 1",
     "eulertour": "WITH RECURSIVE line(node, ancestor) AS (SELECT c_custkey + 1, c_custkey + 1 FROM customer UNION ALL SELECT node, ancestor // 2 FROM line WHERE ancestor > 1) SELECT ancestor AS node, count(*) AS subtree_size FROM line GROUP BY 1",
-    "floyd": f"WITH RECURSIVE {_ORBIT_DUCK} " + SQL["floyd"].sql,
+    "floyd": f"WITH RECURSIVE {_ORBIT_DUCK} " + SQL["floyd"].sql.replace("{orbit}", "orbit"),
 }
