@@ -9,6 +9,7 @@ from loomery.operators.sqlop import SqlOperator as Op
 from loomery.plans import graphs
 from loomery.plans.components import connected_components
 from loomery.suites.frames import VIEWS, frame, register
+from loomery.suites.graph_oracles import oracles
 
 NODES = 6
 _EV = "ev AS (" + VIEWS["ev"] + ")"
@@ -188,3 +189,4 @@ ORACLES = {
     "eulertour": "WITH RECURSIVE line(node, ancestor) AS (SELECT c_custkey + 1, c_custkey + 1 FROM customer UNION ALL SELECT node, ancestor // 2 FROM line WHERE ancestor > 1) SELECT ancestor AS node, count(*) AS subtree_size FROM line GROUP BY 1",
     "floyd": f"WITH RECURSIVE {_ORBIT_DUCK} " + SQL["floyd"].sql.replace("{orbit}", "orbit"),
 }
+ORACLES |= oracles(_HEAD, _EV)
