@@ -14,10 +14,11 @@ The plan, each step over all rows and none gathering a group:
    partner in the node, and nodes left with one member, are dropped.
 3. Within a node, pairs must pass the length bound and the
    remaining-length bound from their positions.  Nodes of up to ``SMALL``
-   emit such pairs.  Larger nodes pair all members with a few leaders first.  Only
+   emit such pairs.  Larger nodes pair all members with a few leaders first, and those
+   that still span several components with some more.  Only
    connectivity is asked for, so a group of thousands of near copies is then one
-   component and costs a few pairs a member.  A node that still spans several
-   components is finished pair by pair if it is small (against the number of children its members would have), and else
+   component and costs a few pairs a member; pairs inside one component are skipped.  A node that is
+   still open is finished pair by pair if it is small (against the number of children its members would have), and else
    extended by the next shared shingle: pairs that go on sharing meet in a child, all others part.  So every
    pair is either tested, bounded out, or already connected.
 4. Pairs whose parity bits show that they cannot share enough are left out
@@ -53,7 +54,7 @@ from loomery.operators.skew import join_back, join_ids
 from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
 
-SMALL, LEADERS = 16, 4
+SMALL, LEADERS, MORE_LEADERS = 16, 4, 32
 #: An open node of up to FULL members, or FULL_CHILDREN times the children of one, is tested pair by pair.
 FULL, FULL_CHILDREN = 256, 4
 #: Members of a large node that one task compares with its leaders.
@@ -436,6 +437,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     edges = staged(edges.unionByName(equal).filter("src <> dst").distinct(), "jaccard-edges")
     labels = staged(connected_components(edges), "jaccard-labels")
 
+    led = LEADERS
     while True:
         large = members.filter(F.col("f") > SMALL)  # smaller nodes are tested in full
         named = large.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left")
@@ -450,22 +452,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
         if not parts:
             break
         found = []
+        if led < MORE_LEADERS:
+            members = staged(join_ids(named, open_.select("h"), "h", "left_semi"), "jaccard-open")
+            found.append(leader_pairs(members, led, MORE_LEADERS, level, percent))
+            members, led, parts = members.drop("comp"), MORE_LEADERS, set()
         if True in parts:
             rest = staged(join_ids(named, open_.filter("full").select("h"), "h", "left_semi"), "jaccard-open")
-            found.append(leader_pairs(rest, LEADERS, (1 << 31) - 1, level, percent))
+            found.append(leader_pairs(rest, led, (1 << 31) - 1, level, percent))
         if False in parts:
             deeper = staged(join_ids(named, open_.filter("not full").select("h"), "h", "left_semi"), "jaccard-open")
-            level += 1
+            level, led = level + 1, LEADERS
             members = staged(nodes(children(slim, ranks, deeper, level - 1, percent), level, percent), "jaccard-nodes")
             known = deeper.select("doc", "comp").distinct()
             found.append(_first_pairs(members.join(known, "doc"), level, percent))
         pairs = staged(reduce(DataFrame.unionByName, found).distinct(), "jaccard-pairs")
-        more = verify(slim, ranks, pairs, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        more = verify(slim, ranks, pairs, percent).select(F.col("a").alias("src"), F.col("b").alias("dst")) if pairs.limit(1).collect() else pairs
         if more.limit(1).collect():
             # The old labels stand for the old edges.
             stars = labels.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
             labels = staged(connected_components(stars.unionByName(more)), "jaccard-labels")
-        if False not in parts:
+        if parts == {True}:
             break
 
     named = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left")

@@ -79,10 +79,13 @@ class TokenEfficiency:
         return bool(_IDENTIFIER.match(run)) and all(self.ratio(group) >= MAX_RATIO for group in _LETTERS.findall(run))
 
     def spans(self, text: str, base: list[tuple[int, int, int]], max_ratio: float, known: frozenset[str]) -> list[tuple[int, int, int]]:
-        out = []
+        out, at, reach = [], 0, 0
+        ordered = sorted((s, e) for s, _, e in base)
         for m in _RUN.finditer(text):
             run = m[0]
-            if not any(c.isalpha() for c in run) or looks_named(run, known) or any(s < m.end() and m.start() < e for s, _, e in base):
+            while at < len(ordered) and ordered[at][0] < m.end():
+                reach, at = max(reach, ordered[at][1]), at + 1
+            if reach > m.start() or not any(c.isalpha() for c in run) or looks_named(run, known):
                 continue
             if self.ratio(run) < max_ratio and not self.of_words(run):
                 out.append((m.start(), 3, m.end()))
