@@ -130,6 +130,14 @@ def test_exact_dedup_against_history(spark):
     assert out == {10: (2, 2, False, True), 11: (12, 2, False, False), 12: (12, 2, True, False), 13: (13, 1, True, False)}
 
 
+def test_exact_dedup_of_very_long_texts_and_extreme_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "x" * 2_000_000), (5, "X" * 2_000_000), (low, "alone"), (high, "y"), (None, "Y"), (None, "z")]
+    out = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    check_dedup(rows, out)
+    assert {r["keep_id"] for r in out} == {5, low, high, None}
+
+
 def test_drop_repeats_keeps_one_row_of_each_text(spark):
     rows = [(1, "a"), (2, "A"), (3, None), (4, ""), (None, "n"), (None, "N"), (9, "z"), (9, "z"), (9, "y")]
     out = sorted((lower(r["text"]) for r in exact_dedup.drop_repeats(docs(spark, rows)).collect()))
@@ -213,6 +221,21 @@ def test_token_files_are_plain_zstd_and_notice_damage(tmp_path):
         frames.FrameReader(io.BytesIO(b"x" * 40), 40)
 
 
+def test_token_files_of_extreme_ids_and_other_vocabularies(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    low = -(1 << 63)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        vocabulary = public_tokenizers.path(name)
+        rows = [(low, "one  Two"), (None, "three"), (None, ""), (7, " spaces  and\ttabs " * 50)]
+        path = str(tmp_path / name)
+        frames.write_token_files(docs(spark, rows), path, vocabulary).collect()
+        out = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in frames.read_token_files(spark, path).collect()]
+        plain = Tokenizer.from_file(vocabulary)
+        assert sorted(out, key=repr) == sorted([(d, plain.encode(t, add_special_tokens=False).ids + [1]) for d, t in rows], key=repr)
+        assert [r["doc_id"] for r in frames.read_token_files(spark, path, [low]).collect()] == [low]
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     frames.write_token_files(docs(spark, []), str(tmp_path / "none"), public_tokenizers.path("word_bpe_49k.json")).collect()
     assert frames.read_token_files(spark, str(tmp_path / "none")).collect() == []
@@ -455,6 +478,21 @@ def test_language_id_edge_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_id_ties_repeats_long_texts_and_many_languages(spark):
+    one, two = "xyxyxy yyxyx xyyx", "mnmnm nnmmn mmnnm"
+    train = spark.createDataFrame([(k, t, lang) for k in range(60) for t, lang in ((one, "bb"), (one, "cc"), (two, "aa"))], "doc_id long, text string, lang string")
+    model = language_id.train(train)
+    rows = [(1, one), (1, one), (2, " ".join([two] * 20_000)), (2, one + " " + two * 30_000)]
+    out = [tuple(r) for r in language_id.identify(docs(spark, rows), model).collect()]
+    assert out[0] == out[1] and out[0][1] == "bb" and out[2][1] == out[3][1] == "aa"
+    kept = language_id.recognised(docs(spark, [*rows, (None, one), (3, None), (1, "12")]), model)
+    assert kept.columns == docs(spark, []).columns and sorted((r["doc_id"] or 0, r["row"]) for r in kept.collect()) == [(0, "x"), (1, "x"), (1, "x"), (2, "x"), (2, "x")]
+    many = [(f"l{k:03d}", " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}zq" for j in range(12))) for k in range(150)]
+    wide = language_id.train(spark.createDataFrame([(10 * k + j, t, name) for k, (name, t) in enumerate(many) for j in range(8)], "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs(spark, [(k, t) for k, (_, t) in enumerate(many)]), wide).collect()}
+    assert len(wide.languages) == 150 and found == {k: name for k, (name, _) in enumerate(many)}
+
+
 # ---- secrets
 
 
@@ -486,6 +524,28 @@ def test_random_strings_by_token_efficiency(spark):
     assert none == []
 
 
+def ratio_by_rule(run):
+    plain = bpe.TreeCodec(bpe.read_ranks(RANKS), PATTERN).plain
+    return len(run) / len(plain.encode_ordinary(run))
+
+
+def test_secret_scan_of_repeats_empty_tables_and_very_long_texts(spark):
+    rng = random.Random(20)
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)) for _ in range(40)]
+    keys = [k for k in keys if ratio_by_rule(k) < secrets.MAX_RATIO and not base_by_rule(k)]
+    parts = [w for k in range(4000) for w in ("plain words of a text", f"password = hunter{k:08d}x", "d41d8cd98f00b204e9800998ecf8427e")]
+    for at, key in enumerate(keys):
+        parts.insert(at * 300 + 7, key)
+    long = " ".join(parts)
+    rows = [(1, long), (2, "token: abcdefghijkl"), (2, "token: abcdefghijkl"), (3, None)]
+    found = secrets.scan_secrets(docs(spark, rows), RANKS, PATTERN).collect()
+    assert [[tuple(s) for s in r["spans"]] for r in found[1:]] == [[("assign", 0, 19)]] * 2 + [[]]
+    spans = [(s["start"], s["end"]) for s in found[0]["spans"] if s["kind"] == "random"]
+    assert [long[a:b] for a, b in spans] == keys
+    assert sorted((s["start"], secrets.KINDS.index(s["kind"]), s["end"]) for s in found[0]["spans"] if s["kind"] != "random") == base_by_rule(long)
+    assert secrets.scan_secrets(docs(spark, []), RANKS, PATTERN).collect() == []
+
+
 def test_random_strings_of_one_case_or_letters_only_are_no_identifiers():
     test, rng = secrets.TokenEfficiency(RANKS, PATTERN), random.Random(12)
     for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
@@ -657,6 +717,25 @@ def test_warc_assembly_follows_chains_and_keeps_orphans(spark):
     assert out["r2"]["requests"] is None and out["lost"]["response"] is None and len(out) == 3
 
 
+def test_warc_assembly_follows_any_chain_and_records_that_name_nothing(spark):
+    def record(i, kind, to=()):
+        return (i, kind, None, None, list(to), None, 0, None, None)
+
+    rows = [record("r", "response", ["m00"]), *[record(f"m{k:02d}", "metadata", [f"m{k + 1:02d}"]) for k in range(20)], record("m20", "metadata")]
+    rows += [record("s", "response"), record("q", "request", ["s", "x"]), record("x", "metadata")]
+    out = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()}
+    assert [m["record_id"] for m in out["r"]["metadata"]] == [f"m{k:02d}" for k in range(21)]
+    assert [m["record_id"] for m in out["s"]["metadata"]] == ["x"] and [q["record_id"] for q in out["s"]["requests"]] == ["q"] and len(out) == 2
+
+
+def test_warc_of_a_very_long_page(spark, tmp_path):
+    big = "é" * 3_000_000
+    pages = spark.createDataFrame([(2, "u", big), (1, "v", big), (3, "w", "")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w")).collect()
+    out = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.page_captures(warc.assemble(warc.read_archives(spark, str(tmp_path / "w"), payloads=False))).collect())
+    assert out == [(1, 6_000_000, "response", None), (2, 6_000_000, "revisit", 1), (3, 0, "response", None)]
+
+
 def test_warc_reader_takes_plain_files_and_refuses_damage(spark, tmp_path):
     one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Type: application/http\r\nX-Folded: a\r\n b\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhello\r\n\r\n"
     (tmp_path / "w").mkdir()

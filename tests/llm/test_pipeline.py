@@ -59,6 +59,34 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert out == {(d, len(ids[d]), hashlib.sha256(" ".join(map(str, ids[d])).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in want}
 
 
+def test_stages_decide_row_by_row(spark, tmp_path):
+    """Null and repeated ids, repeated rows, a very long text and columns with the operators' own names."""
+    folder = str(tmp_path / "tables")
+    rng = random.Random(22)
+    words = [a + b + c + d for a in "kt" for b in "ao" for c in "rn" for d in "eu"]
+    item, clean, long = (rng.choices(words, k=n) for n in (30, 80, 40_000))
+    near = [*clean]
+    near[40] = "edit"
+    texts = [
+        (None, clean), (7, near), (7, rng.choices(words, k=50)), (None, item + clean[:9]), (7, item), (3, item[:29] + ["end"]), (None, long), (8, long), (9, near), (9, near), (9, ["12", "34"]),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, row_key string, comp long, lang_pred string"
+    rows = [(d, " ".join(t), "aa", "s", 1, k, "k", -1, "l") for k, (d, t) in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.schema.names == [f.split()[0] for f in schema.split(", ")]
+        kept.append({r["row"] for r in docs.collect()})
+    assert kept[0] == set(range(10))  # the last row has no letters
+    # Equal texts: of the long ones the one with an id stays, of the repeated rows one, with the larger id of all three.
+    assert {2, 0, 3, 4, 5, 7} < kept[1] and kept[1] - {0, 2, 3, 4, 5, 7} in ({8}, {9})
+    # Near copies: the row without an id counts as largest; the two items differ in one shingle of 26.
+    assert len(kept[2] & {0, 8, 9}) == 1 and 0 not in kept[2] and {2, 3, 7} < kept[2] and len(kept[2] & {4, 5}) == 1
+    assert 2 in kept[3] and 7 in kept[3] and not kept[3] & {3, 4, 5}
+
+
 def test_pipeline_of_an_empty_table_and_stage_columns(spark, tmp_path):
     folder, schema = str(tmp_path / "tables"), "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{folder}/documents.parquet")
