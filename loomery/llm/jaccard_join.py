@@ -55,10 +55,11 @@ from loomery.plans.components import connected_components
 from loomery.sources.staging import discard, staged
 
 SMALL, LEADERS, MORE_LEADERS = 16, 4, 32
-#: An open node of up to FULL members, or FULL_CHILDREN times the children of one, is tested pair by pair.
-FULL, FULL_CHILDREN = 256, 4
-#: Members of a large node that one task compares with its leaders.
-BLOCK = 128
+#: An open node of up to FULL members, or FULL_CHILDREN times the children of one, is tested pair by pair:
+#: comparing a pair by lengths and positions costs some nanoseconds, a child a row.
+FULL, FULL_CHILDREN = 2048, 4
+#: Members of a large node that one task compares with a few leaders, or with all members.
+BLOCK, FULL_BLOCK = 128, 512
 _SLICE = 1 << 14
 _SEEN = 200_000
 
@@ -240,12 +241,12 @@ def leader_pairs(members: DataFrame, low: int, high: int, level: int, percent: i
     """Possible pairs of the ``low``-th to ``high``-th members of each node, by id, with
     the members after them in other components.
 
-    A node is dealt out in blocks of about ``BLOCK`` members.  The first
+    A node is dealt out in blocks.  The first
     ``high`` of each block hold the first ``high`` of the node, and those that
     lead are sent to all its blocks, so a hot node is spread over many tasks and
     each holds the leaders alone.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("f") / (BLOCK if high <= MORE_LEADERS else FULL_BLOCK))).cast("int")
     dealt = members.select("h", "doc", "n", "pos", "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     first = dealt.withColumn("r", F.row_number().over(Window.partitionBy("h", "block").orderBy("doc"))).filter(F.col("r") <= high)
     led = first.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("doc"))).filter(F.col("r").between(low + 1, high))
