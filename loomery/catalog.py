@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomery.definitions import PLAIN
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for module in _modules():
         out |= getattr(module, "ORACLES", {})
-    return out
+    return out | PLAIN

@@ -61,7 +61,7 @@ PARTITIONS = {
     "fanout": Op("SELECT kind, top - p AS behind, p = low AS pins FROM (SELECT kind, p, max(p) OVER () AS top, min(p) OVER () AS low FROM (SELECT kind, max(seq) AS p FROM {ev} GROUP BY kind) a) b"),
     "fusion": Op("SELECT k, count(*) AS groups, TOTAL(n) - count(*) AS hops_removed FROM (SELECT k, g, count(*) AS n FROM (SELECT k, CAST(sum(CASE WHEN fuse AND before THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY seq) AS BIGINT) AS g FROM (SELECT k, seq, kind IN ('view', 'click') AS fuse, coalesce(lag(kind IN ('view', 'click')) OVER (PARTITION BY k ORDER BY seq), FALSE) AS before FROM {ev}) a) b GROUP BY k, g) c GROUP BY k"),
     "pauseresume": Op("SELECT k, max(gap) AS longest_pause, TOTAL(CASE WHEN gap > {window} THEN 1 ELSE 0 END) AS overdue FROM (SELECT k, t - lag(t) OVER (PARTITION BY k ORDER BY seq) AS gap FROM {ev}) x GROUP BY k", {"window": 86400}),
-    "rollback": Op("SELECT k, max(CASE WHEN seq < {deploy} THEN seq END) AS savepoint, TOTAL(CASE WHEN seq BETWEEN {deploy} AND {detected} THEN 1 ELSE 0 END) AS poisoned, TOTAL(CASE WHEN seq >= {deploy} THEN 1 ELSE 0 END) AS replayed FROM {ev} GROUP BY k", {"deploy": 400, "detected": 700}),
+    "rollback": Op("SELECT k, max(CASE WHEN seq < {deploy} THEN seq END) AS savepoint, TOTAL(CASE WHEN seq BETWEEN {deploy} AND {detected} THEN 1 ELSE 0 END) AS poisoned, TOTAL(CASE WHEN seq >= {deploy} THEN 1 ELSE 0 END) AS replayed FROM {ev} GROUP BY k", {"deploy": "(SELECT CAST(floor(max(seq) * 4e-1) AS BIGINT) FROM {ev})", "detected": "(SELECT CAST(floor(max(seq) * 7e-1) AS BIGINT) FROM {ev})"}),
 }
 
 FLOW = {
@@ -92,7 +92,7 @@ FLOW = {
 COORDINATION = {
     "boundedstaleness": Op("SELECT k, top - own AS behind, top - own <= {lag} AS served FROM (SELECT k, max(seq) AS own, (SELECT max(seq) FROM {ev}) AS top FROM {ev} GROUP BY k) x", {"lag": 200}),
     "bully": Op("SELECT kind, max(CASE WHEN alive THEN k END) AS leader, count(*) AS nodes FROM (SELECT kind, k, max_by(ok, seq) AND max(v) > 30 AS alive FROM {ev} GROUP BY kind, k) x GROUP BY kind"),
-    "mvcc": Op("SELECT k, max_by(CASE WHEN seq <= {snapshot} THEN v END, CASE WHEN seq <= {snapshot} THEN seq ELSE -1 END) AS seen, greatest(CAST(0 AS BIGINT), TOTAL(CASE WHEN seq <= {horizon} THEN 1 ELSE 0 END) - 1) AS collectable FROM {ev} GROUP BY k HAVING min(seq) <= {snapshot}", {"snapshot": 600, "horizon": 300}),
+    "mvcc": Op("SELECT k, max_by(CASE WHEN seq <= {snapshot} THEN v END, CASE WHEN seq <= {snapshot} THEN seq ELSE -1 END) AS seen, greatest(CAST(0 AS BIGINT), TOTAL(CASE WHEN seq <= {horizon} THEN 1 ELSE 0 END) - 1) AS collectable FROM {ev} GROUP BY k HAVING min(seq) <= {snapshot}", {"snapshot": "(SELECT CAST(floor(max(seq) * 6e-1) AS BIGINT) FROM {ev})", "horizon": "(SELECT CAST(floor(max(seq) * 3e-1) AS BIGINT) FROM {ev})"}),
     # Tail of the normal distribution by a rational approximation (absolute error below 2e-7), at least 1e-12.
     "phiaccrual": Op(
         """SELECT k, round(z, 6) AS z, round(-log10(greatest(1e-12, CASE WHEN z >= 0 THEN q ELSE 1 - q END)), 5) AS phi, -log10(greatest(1e-12, CASE WHEN z >= 0 THEN q ELSE 1 - q END)) > {threshold} AS suspect FROM (SELECT k, z, 5e-1 * w * (0.254829592e0 + w * (-0.284496736e0 + w * (1.421413741e0 + w * (-1.453152027e0 + w * 1.061405429e0)))) * exp(-z * z / 2) AS q FROM

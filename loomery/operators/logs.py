@@ -7,20 +7,20 @@ OPERATORS = {
     "backfillmerge": Op(
         """SELECT k, count(*) AS n, TOTAL(CASE WHEN src = 'backfill' THEN 1 ELSE 0 END) AS backfilled, TOTAL(v) AS total
            FROM (SELECT k, v, 'backfill' AS src FROM {ev} WHERE seq < {cutover} UNION ALL SELECT k, v, 'live' AS src FROM {ev} WHERE seq >= {cutover}) u GROUP BY k""",
-        {"cutover": 400},
+        {"cutover": "(SELECT CAST(floor(max(seq) * 4e-1) AS BIGINT) FROM {ev})"},
     ),
     # Latest image per key at a position; deleted keys are gone.
     "cdc": Op(
         """SELECT k, v AS image, seq AS position FROM (SELECT k, v, seq, kind, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM {ev} WHERE seq <= {position}) x
            WHERE r = 1 AND kind <> 'error'""",
-        {"position": 800},
+        {"position": "(SELECT CAST(floor(max(seq) * 8e-1) AS BIGINT) FROM {ev})"},
         """SELECT k, v AS image, seq AS position FROM (SELECT k, arg_max(v, seq) AS v, max(seq) AS seq, arg_max(kind, seq) AS kind FROM {ev} WHERE seq <= {position} GROUP BY k) x WHERE kind <> 'error'""",
     ),
     # Newest snapshot plus the changes after it.
     "changelog": Op(
         """SELECT k, max_by(v, seq) AS v FROM (SELECT k, v, seq, kind FROM (SELECT k, v, seq, kind, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM {ev} WHERE seq <= {snapshot}) a WHERE r = 1
            UNION ALL SELECT k, v, seq, kind FROM {ev} WHERE seq > {snapshot}) b GROUP BY k HAVING max_by(kind, seq) <> 'error'""",
-        {"snapshot": 500},
+        {"snapshot": "(SELECT CAST(floor(max(seq) * 5e-1) AS BIGINT) FROM {ev})"},
         "SELECT k, arg_max(v, seq) AS v FROM {ev} GROUP BY k HAVING arg_max(kind, seq) <> 'error'",
     ),
     # Last record per key; tombstones stay until they are older than the grace.
@@ -32,7 +32,7 @@ OPERATORS = {
     # What each start position replays.
     "coldstart": Op(
         """SELECT k, count(*) AS earliest, TOTAL(CASE WHEN seq > {snapshot} THEN 1 ELSE 0 END) AS snapshot_replay, CAST(0 AS BIGINT) AS latest FROM {ev} GROUP BY k""",
-        {"snapshot": 600},
+        {"snapshot": "(SELECT CAST(floor(max(seq) * 6e-1) AS BIGINT) FROM {ev})"},
     ),
     "compressbatch": Op(
         """SELECT n, 40 + TOTAL(greatest(22, 100 - 7 * least(i, 10))) AS bytes, round(100e0 * n / (40 + sum(greatest(22, 100 - 7 * least(i, 10)))), 6) AS ratio
