@@ -81,5 +81,53 @@ PLAIN = {
     "snowflake": _EV + "SELECT seq, ((t - 1704067200) * 1000 << 22) + (k % 1024 << 12) + (SELECT count(*) FROM ev b WHERE b.k % 1024 = a.k % 1024 AND b.t = a.t AND b.seq < a.seq) AS id FROM ev a",
     "bitmapindex": _EV + ", n AS (SELECT count(*) AS n FROM ev) SELECT kind, count(*) AS equals, count(*) FILTER (v & 1 = 0) AS both, any_value(n.n) - count(*) AS complement FROM ev CROSS JOIN n GROUP BY kind",
     "minqueue": _R + "SELECT a.k, a.seq, min(b.v) AS minimum FROM r a JOIN r b ON a.k = b.k AND b.i BETWEEN a.i - 6 AND a.i GROUP BY 1, 2",
+    "dlq": _EV + "SELECT k, kind, CAST(len(q) AS BIGINT) AS attempts, len(q) > 2 AS dead_letter, q[1] AS first_seq FROM (SELECT k, kind, list(seq ORDER BY seq) AS q FROM ev WHERE kind = 'error' OR v < 20 GROUP BY 1, 2) x",
+    "heartbeat": _EV + """, p AS (SELECT k, list_max(list_filter(list(CASE WHEN kind = 'view' THEN t END), lambda x: x IS NOT NULL)) AS pulse, list_max(list_filter(list(CASE WHEN kind <> 'view' THEN t END), lambda x: x IS NOT NULL)) AS other FROM ev GROUP BY k)
+        SELECT k, CASE WHEN pulse IS NULL THEN 'never heard' WHEN pulse < (SELECT max(t) FROM ev) - 172800 THEN 'dead' WHEN other IS NULL OR other < pulse THEN 'quiet' ELSE 'live' END AS reading FROM p""",
+    "replayspeed": _L + ", d AS (SELECT k, list_max(ts) - list_min(ts) AS naive, (len(ts) + 4) // 5 AS fast FROM (SELECT k, list(t) AS ts FROM ev GROUP BY k) x) SELECT k, naive, CAST(fast AS BIGINT) AS accelerated, round(naive / CAST(fast AS DOUBLE), 4) AS speedup FROM d",
+    "tieredlog": _EV + ", b AS (SELECT least(max(last) - 300, min(last)) AS edge FROM (SELECT max(seq) AS last FROM ev GROUP BY k) x) SELECT k, count(*) FILTER (seq >= edge) AS hot_reads, count(*) FILTER (seq >= edge) + 5 * count(*) FILTER (seq < edge) AS ticks FROM ev CROSS JOIN b GROUP BY k",
+    "adaptivesample": _EV + "SELECT kind, n, CASE WHEN n <= 100 THEN 1e0 ELSE 100 / CAST(n AS DOUBLE) END AS p, CASE WHEN n <= 100 THEN CAST(n AS DOUBLE) ELSE 100 / CAST(n AS DOUBLE) * n END AS expected FROM (SELECT kind, count(*) AS n FROM ev GROUP BY kind) x",
+    "branch": _EV + "SELECT 'large' AS branch, count(*) AS n, count(*) FILTER (kind = 'purchase') AS overlapping FROM ev WHERE v >= 80 UNION ALL SELECT 'paid', count(*), 0 FROM ev WHERE v < 80 AND kind = 'purchase' UNION ALL SELECT 'default', count(*), 0 FROM ev WHERE v < 80 AND kind <> 'purchase'",
+    "invariants": _EV + "SELECT d.day, (SELECT count(*) FROM ev WHERE t // 86400 = d.day AND (v < 0 OR v > 95)) AS quarantined, (SELECT count(*) FROM ev WHERE t // 86400 = d.day AND (v < 0 OR v > 95)) >= 3 AS escalate FROM (SELECT DISTINCT t // 86400 AS day FROM ev) d",
+    "operators": _EV + "SELECT printf('%s-%d', kind, k % 4) AS route, count(*) AS n, CAST(2 * sum(v) AS BIGINT) AS total FROM ev WHERE NOT v = 0 GROUP BY kind, k % 4",
+    "splitstream": _EV + "SELECT m.output, CAST(len(list(seq)) AS BIGINT) AS n, list_min(list(seq)) AS first_seq FROM ev JOIN (VALUES ('purchase', 'sales'), ('signup', 'growth'), ('error', 'alerts'), ('view', 'rest'), ('click', 'rest')) m(kind, output) ON m.kind = ev.kind GROUP BY 1",
+    "shadowpipe": _EV + """SELECT w, CASE WHEN NOT bool_or(o) THEN 'new only' WHEN NOT bool_or(n) THEN 'old only' WHEN sum(CASE WHEN o THEN v ELSE 0 END) = sum(CASE WHEN n THEN u ELSE 0 END) THEN 'equal' ELSE 'differs' END AS verdict FROM (SELECT t // 21600 AS w, v, v AS u, v > 2 AS o, k % 10 > 0 AS n FROM ev) x WHERE o OR n GROUP BY w""",
+    "multisource": _EV + ", m AS (SELECT kind, max(t) AS top FROM ev GROUP BY kind) SELECT a.kind, a.top, bool_and(a.top <= b.top) AS holds_back, min(b.top) AS combined FROM m a CROSS JOIN m b GROUP BY 1, 2",
+    "idletimeout": _EV + "SELECT count(*) FILTER (top - seen >= 86400) AS idle_sources, min(seen) FILTER (top - seen < 86400) AS combined FROM (SELECT k, max(t) AS seen, (SELECT max(t) FROM ev) AS top FROM ev GROUP BY k) x",
+    "watermarkalign": _EV + ", m AS (SELECT k, max(t) AS top FROM ev GROUP BY k) SELECT k, top - (SELECT min(top) FROM m) AS drift, top > (SELECT min(top) FROM m) + 172800 AS paused FROM m",
+    "watermarklag": _EV + "SELECT k, d + 3600 AS lag, CASE WHEN d + 3600 <= 86400 THEN 'fresh' WHEN d <= 86400 THEN 'bound' ELSE 'source' END AS blame FROM (SELECT a.k, max(b.t) - max(a.t) AS d FROM (SELECT k, max(t) AS t FROM ev GROUP BY k) a CROSS JOIN (SELECT max(t) AS t FROM ev) b GROUP BY a.k) x",
+    "clockdrift": _EV + ", d AS (SELECT k, list(v ORDER BY seq)[-1] - 50 AS drift FROM ev WHERE kind = 'signup' GROUP BY k) SELECT k, any_value(drift) AS drift, min(t) - any_value(drift) AS first_corrected, max(t) - any_value(drift) AS last_corrected FROM ev JOIN d USING (k) GROUP BY k",
+    "lagscale": _EV + "SELECT k, 10 * count(*) AS lag_added, 12 * count(*) FILTER (ok) AS drained, 12 * count(*) FILTER (ok) > 10 * count(*) AS scale_up FROM ev GROUP BY k",
+    "timingwheel": _EV + "SELECT k, seq, (seq + v) - (seq + v) // 16 * 16 AS slot, (v - 1) // 16 AS revolutions, seq + v AS fires FROM ev WHERE v <> 0",
+    "virtualtime": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS instant, list(event_id ORDER BY event_id) AS callbacks FROM events GROUP BY 1",
+    "barrieralign": _EV + ", p AS (SELECT k, kind, max(t) AS e, sum(v) AS v FROM ev GROUP BY 1, 2) SELECT a.k, max(a.e) - min(a.e) AS delay, CAST(coalesce(sum(a.v) FILTER (EXISTS (SELECT 1 FROM p b WHERE b.k = a.k AND b.e > a.e)), 0) AS BIGINT) AS absorbed FROM p a GROUP BY a.k",
+    "speculative": _EV + ", m AS (SELECT kind, quantile_cont(v, 0.5) AS typical FROM ev GROUP BY kind) SELECT kind, count(*) FILTER (v - typical > 20) AS backups FROM ev JOIN m USING (kind) GROUP BY kind",
+    "savepoint": _EV + "SELECT v % 3 + 1 AS version, count(*) AS states, CAST(sum(CASE v % 3 WHEN 2 THEN v WHEN 1 THEN 2 * v + 2 END) AS BIGINT) AS resumed, count(*) FILTER (v % 3 = 0) AS refused FROM ev GROUP BY 1",
+    "fanout": _EV + ", m AS (SELECT kind, max(seq) AS p FROM ev GROUP BY kind) SELECT a.kind, max(b.p) - a.p AS behind, a.p = min(b.p) AS pins FROM m a CROSS JOIN m b GROUP BY a.kind, a.p",
+    "fusion": _EV + ", l AS (SELECT k, list(kind IN ('view', 'click') ORDER BY seq) AS f FROM ev GROUP BY k) SELECT k, CAST(len(f) - len(list_filter(generate_series(2, len(f)), lambda i: f[i] AND f[i - 1])) AS BIGINT) AS groups, CAST(len(list_filter(generate_series(2, len(f)), lambda i: f[i] AND f[i - 1])) AS BIGINT) AS hops_removed FROM l",
+    "jitterbuffer": _L + "SELECT k, CAST(len(list_filter(generate_series(1, len(xs)), lambda i: xs[i] * 3 <= 150)) AS BIGINT) AS played, CAST(len(xs) AS BIGINT) AS n FROM l",
+    "tenantquota": _R + ", p AS (SELECT a.k, a.seq, sum(b.v) AS p FROM r a JOIN r b ON a.k = b.k AND b.i <= a.i GROUP BY 1, 2) SELECT k, CAST(max(p) AS BIGINT) AS used, min(seq) FILTER (p >= 1000) AS warned_at_50, min(seq) FILTER (p >= 1900) AS warned_at_95, CAST(greatest(0, max(p) - 2000) AS BIGINT) AS overage FROM p GROUP BY k",
+    "ratebreaker": _R + ", w AS (SELECT a.k, a.i, count(*) AS n, count(*) FILTER (NOT b.ok) / CAST(count(*) AS DOUBLE) AS share FROM r a JOIN r b ON a.k = b.k AND b.i BETWEEN a.i - 9 AND a.i GROUP BY 1, 2) SELECT k, bool_or(n >= 5 AND share > 0.3e0) AS tripped, round(max(share), 6) AS worst FROM w GROUP BY k",
+    "bully": _EV + ", a AS (SELECT kind, k, list(ok ORDER BY seq)[-1] AND list_max(list(v)) > 30 AS alive FROM ev GROUP BY 1, 2) SELECT kind, max(k) FILTER (alive) AS leader, count(*) AS nodes FROM a GROUP BY kind",
+    "quorumwrite": _L + "SELECT k, list_sort(xs[:5])[3] AS latency, 3 + 3 > 5 AS overlaps FROM l",
+    "replicaselect": _EV + ", l AS (SELECT kind, list(CAST(v AS DOUBLE) ORDER BY seq) AS xs FROM ev GROUP BY kind), e AS (SELECT kind, list_reduce(xs, lambda s, x: 0.8e0 * s + 0.2e0 * x, 0e0) / (1 - pow(0.8e0, len(xs))) AS e FROM l) SELECT kind, round(e, 5) AS estimate, e = (SELECT min(e) FROM e) AS picked FROM e",
+    "ewma": _EV + ", l AS (SELECT k, list(CAST(v AS DOUBLE) ORDER BY seq) AS xs FROM ev GROUP BY k), e AS (SELECT k, len(xs) AS n, list_reduce(xs, lambda s, x: 0.7e0 * s + 0.3e0 * x, 0e0) AS raw FROM l) SELECT k, round(raw, 5) AS raw, round(raw / (1 - pow(0.7e0, n)), 5) AS corrected FROM e",
+    "pipelinethroughput": _EV + ", m AS (SELECT kind, count(*) AS n FROM ev GROUP BY kind) SELECT n AS throughput, kind AS bottleneck, (SELECT max(n) FROM m) - n AS slack FROM m ORDER BY n, kind LIMIT 1",
+    "amdahl": "SELECT n AS cores, round(n / (n * 0.1e0 + 0.9e0), 8) AS amdahl, CAST(10 AS DOUBLE) AS ceiling, round(n - 0.1e0 * (n - 1), 8) AS gustafson FROM (SELECT unnest(generate_series(1, 64)) AS n) x",
+    "queueing": "SELECT n AS percent, round(n / CAST(100 - n AS DOUBLE), 8) AS queue_length, round(n / CAST(100 - n AS DOUBLE), 8) AS wait FROM (SELECT unnest(generate_series(1, 99)) AS n) x",
+    "simpson": "SELECT n AS degree, round(1 / CAST(n + 1 AS DOUBLE), 7) AS integral FROM (SELECT unnest(generate_series(1, 6)) AS n) x",
+    "horspool": "SELECT item_id, CAST(strpos(text, 'on') AS BIGINT) AS first_hit FROM benchmark WHERE contains(text, 'on')",
+    "rabinkarp": "SELECT item_id, CAST(len(string_split(text, 'in')) - 1 AS BIGINT) AS hits FROM benchmark WHERE text IS NOT NULL",
+    "zalgo": "SELECT item_id, list_max(h) AS last_hit, CAST(len(h) AS BIGINT) AS hits FROM (SELECT item_id, list_filter(generate_series(2, length(text)), lambda i: starts_with(text[i:], text[:2])) AS h FROM benchmark) x WHERE len(h) > 0",
+    "ahocorasick": "SELECT item_id, p AS pattern, CAST(len(regexp_extract_all(text, p)) AS BIGINT) AS hits FROM benchmark CROSS JOIN (VALUES ('the'), ('er'), ('on'), ('he')) q(p) WHERE contains(text, p)",
+    "booth": "SELECT s, list_min(list_transform(generate_series(1, length(s)), lambda i: substr(concat(s, s), i, length(s)))) AS least_rotation FROM (SELECT DISTINCT p_brand AS s FROM part) x",
+    "deltaencode": _EV + ", l AS (SELECT k, list(t ORDER BY t, seq) AS ts FROM ev GROUP BY k) SELECT k, CAST(len(ts) AS BIGINT) AS n, CAST(1 + coalesce(list_sum(list_transform(generate_series(2, len(ts)), lambda i: greatest(1, (length(bin(ts[i] - ts[i - 1])) + 6) // 7))), 0) AS BIGINT) AS encoded_bytes, CAST(len(ts) * 8 AS BIGINT) AS raw_bytes FROM l",
+    "gray": "SELECT n, CAST(list_sum(list_transform(generate_series(0, 8), lambda b: CASE WHEN (n >> b) & 1 <> (n >> (b + 1)) & 1 THEN 1 << b ELSE 0 END)) AS BIGINT) AS code FROM (SELECT unnest(generate_series(1, 256)) AS n) x",
+    # A run starts where the kind before is another, and lasts to the next start.
+    "rle": _R + ", h AS (SELECT a.k, a.kind, a.i, a.seq, lead(a.i) OVER (PARTITION BY a.k ORDER BY a.i) AS upto FROM r a LEFT JOIN r b ON a.k = b.k AND b.i = a.i - 1 WHERE b.kind IS DISTINCT FROM a.kind) SELECT k, kind, coalesce(upto, (SELECT max(i) + 1 FROM r WHERE r.k = h.k)) - i AS run_length, seq AS starts FROM h",
+    "twostackqueue": _EV + ", q AS (SELECT k, list(v ORDER BY seq) FILTER (kind <> 'purchase') AS ins, list(seq ORDER BY seq) FILTER (kind = 'purchase') AS outs FROM ev GROUP BY k) SELECT k, ins[i] AS dequeued, outs[i] AS taken_at FROM (SELECT *, unnest(generate_series(1, least(len(ins), len(outs)))) AS i FROM q WHERE ins IS NOT NULL AND outs IS NOT NULL) x",
+    "coinchange": """WITH RECURSIVE ways(amount, coins) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT amount + c, coins + 1 FROM ways CROSS JOIN (VALUES (3), (5), (7)) d(c) WHERE amount + c <= 90)
+        SELECT n AS amount, coalesce(min(coins), -1) AS coins FROM (SELECT unnest(generate_series(1, 90)) AS n) x LEFT JOIN ways ON amount = n GROUP BY n""",
+    "content_hash": _EV + "SELECT DISTINCT k, left(sha256(CAST(k AS VARCHAR)), 32) AS digest, CAST(list_reduce(list_transform(string_split(left(sha256(CAST(k AS VARCHAR)), 8), ''), lambda h: CAST(strpos('0123456789abcdef', h) - 1 AS BIGINT)), lambda a, b: a * 16 + b) % 16 AS BIGINT) AS bucket FROM ev",
 }
 PLAIN = {name: text.replace(") , ", "), ") for name, text in PLAIN.items()}

@@ -88,8 +88,9 @@ OPTIMISATION = {
         {"capacity": 60},
         "SELECT k, (list_reduce(xs, lambda s, x: list_transform(generate_series(0, {capacity}), lambda j: CASE WHEN j >= x.w THEN greatest(s[j + 1], s[j - x.w + 1] + x.p) ELSE s[j + 1] END), list_transform(generate_series(0, {capacity}), lambda j: CAST(0 AS BIGINT))))[-1] AS best FROM (SELECT k, list({'w': v % 17 + 1, 'p': v} ORDER BY seq) AS xs FROM {ev} GROUP BY k) y",
     ),
+    # Fewest coins of 3, 5 and 7; an amount they cannot make gives -1.
     "coinchange": Op(
-        "SELECT n AS amount, CAST(coalesce(min(a + b + c), -1) AS BIGINT) AS coins FROM (SELECT n, a, b, n - 7 * a - 5 * b AS rest, INT((n - 7 * a - 5 * b) / 3e0) AS c FROM " + _N + " x CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(20 AS BIGINT)) AS a) p CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(20 AS BIGINT)) AS b) q) y WHERE rest >= 0 AND rest % 3 = 0 GROUP BY n",
+        "SELECT n AS amount, CAST(coalesce(min(CASE WHEN rest >= 0 AND rest % 3 = 0 THEN a + b + c END), -1) AS BIGINT) AS coins FROM (SELECT n, a, b, n - 7 * a - 5 * b AS rest, INT((n - 7 * a - 5 * b) / 3e0) AS c FROM " + _N + " x CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(20 AS BIGINT)) AS a) p CROSS JOIN (SELECT SERIES(CAST(0 AS BIGINT), CAST(20 AS BIGINT)) AS b) q) y GROUP BY n",
         {"n": 90},
     ),
     "fractionalknapsack": Op("SELECT k, round(sum(CASE WHEN c <= {capacity} THEN p WHEN c - w < {capacity} THEN p * ({capacity} - (c - w)) / CAST(w AS DOUBLE) ELSE 0 END), 5) AS best FROM (SELECT k, w, CAST(p AS DOUBLE) AS p, CAST(sum(w) OVER (PARTITION BY k ORDER BY p / CAST(w AS DOUBLE) DESC, seq) AS BIGINT) AS c FROM (SELECT k, seq, v % 17 + 1 AS w, v AS p FROM {ev}) a) b GROUP BY k", {"capacity": 60}),
