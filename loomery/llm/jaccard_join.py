@@ -58,8 +58,8 @@ SMALL, LEADERS, MORE_LEADERS = 16, 4, 32
 #: An open node of up to FULL members, or FULL_CHILDREN times the children of one, is tested pair by pair:
 #: comparing a pair by lengths and positions costs some nanoseconds, a child a row.
 FULL, FULL_CHILDREN = 2048, 4
-#: Members of a large node that one task compares with a few leaders, or with all members.
-BLOCK, FULL_BLOCK = 128, 512
+#: Members of a large node that one task compares with a few leaders, or with as many others.
+BLOCK = 128
 _SLICE = 1 << 14
 _SEEN = 200_000
 
@@ -133,7 +133,7 @@ def merge_sketch(measured: DataFrame, slots: int) -> np.ndarray:
 
     parts = measured.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice long, counts binary")
     out = np.zeros(slots, np.uint64)
-    for r in parts.toLocalIterator():  # slots values in all
+    for r in parts.coalesce(16).toLocalIterator():  # slots values in all, one part at a time
         out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.uint64)
     return np.minimum(np.log2(out + 1.0) * 1024, 65535).astype(np.uint16)
 
@@ -246,37 +246,61 @@ def leader_pairs(members: DataFrame, low: int, high: int, level: int, percent: i
     lead are sent to all its blocks, so a hot node is spread over many tasks and
     each holds the leaders alone.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("f") / (BLOCK if high <= MORE_LEADERS else FULL_BLOCK))).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
     dealt = members.select("h", "doc", "n", "pos", "comp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     first = dealt.withColumn("r", F.row_number().over(Window.partitionBy("h", "block").orderBy("doc"))).filter(F.col("r") <= high)
     led = first.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("doc"))).filter(F.col("r").between(low + 1, high))
     sent = led.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "doc", "n", "pos", "comp")
     rows = sent.unionByName(dealt.select("h", "block", F.lit(1).alias("side"), "doc", "n", "pos", "comp"))
 
+    return _compared(rows.withColumn("other", F.lit(-1)), level, percent)
+
+
+def full_pairs(members: DataFrame, level: int, percent: int) -> DataFrame:
+    """Possible pairs of members of each node in different components.
+
+    A node's members are dealt into parts of about ``BLOCK``; every two parts, and each with
+    itself, are one cell, so that all cells are of one size whatever the node's.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
+    dealt = members.select("h", "doc", "n", "pos", "comp", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    own = ["doc", "n", "pos", "comp"]
+    first = dealt.select("h", F.col("part").alias("block"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), F.lit(0).alias("side"), *own)
+    second = dealt.select("h", F.explode(F.sequence(F.lit(0), "part")).alias("block"), F.col("part").alias("other"), F.lit(1).alias("side"), *own)
+    return _compared(first.unionByName(second), level, percent)
+
+
+def _compared(rows: DataFrame, level: int, percent: int) -> DataFrame:
+    """Possible pairs of the two sides of each cell ``(h, block, other)``.
+
+    The smaller id leads, but for cells of two different parts, where either may.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, led = None, []
         for batch in batches:
-            place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "side")])
+            place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "other", "side")])
             block = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("doc", "n", "pos", "comp")])
             for part in np.split(np.arange(place.shape[1]), np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1):
                 if not len(part):
                     continue
-                group, side, own = tuple(place[:2, part[0]]), place[2, part[0]], block[:, part]
+                group, side, own = tuple(place[:3, part[0]].tolist()), place[3, part[0]], block[:, part]
                 if group != now:
                     now, led = group, []
                 if side == 0:
                     led.append(own)
                     continue
+                either = group[2] >= 0 and group[1] != group[2]
                 step = max(1, 2_000_000 // len(part))
                 for leaders in led:
                     for k in range(0, leaders.shape[1], step):
                         l, m = leaders[:, k : k + step, None], own[:, None, :]
-                        ok = (l[0] < m[0]) & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], level, percent)
-                        i, j = np.nonzero(ok)
+                        ordered = (l[0] != m[0]) if either else (l[0] < m[0])
+                        i, j = np.nonzero(ordered & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], level, percent))
                         if len(i):
                             yield _pair_batch(leaders[0, k : k + step][i], own[0][j])
 
-    return rows.repartition("h", "block").sortWithinPartitions("h", "block", "side", "doc").mapInArrow(run, "a long, b long")
+    return rows.repartition("h", "block", "other").sortWithinPartitions("h", "block", "other", "side", "doc").mapInArrow(run, "a long, b long")
 
 
 def children(docs: DataFrame, ranks, members: DataFrame, level: int, percent: int) -> DataFrame:
@@ -459,7 +483,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
             members, led, parts = members.drop("comp"), MORE_LEADERS, set()
         if True in parts:
             rest = staged(join_ids(named, open_.filter("full").select("h"), "h", "left_semi"), "jaccard-open")
-            found.append(leader_pairs(rest, led, (1 << 31) - 1, level, percent))
+            found.append(full_pairs(rest, level, percent))
         if False in parts:
             deeper = staged(join_ids(named, open_.filter("not full").select("h"), "h", "left_semi"), "jaccard-open")
             level, led = level + 1, LEADERS

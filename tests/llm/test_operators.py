@@ -654,6 +654,15 @@ def test_jaccard_open_nodes_are_extended(spark, counted, monkeypatch):
     assert out == components_by_force(rows) and len(set(out.values())) > 5
 
 
+def test_cells_compare_every_two_members_of_other_components_once(spark):
+    rng = random.Random(23)
+    rows = [(h, 1000 * h + d, rng.randrange(50, 60), rng.randrange(6), 0 if h == 2 else d % 5, size) for h, size in ((1, 300), (2, 200), (3, 20)) for d in range(size)]
+    members = spark.createDataFrame(rows, "h long, doc long, n int, pos int, comp long, f long")
+    out = [(r["a"], r["b"]) for r in jaccard_join.full_pairs(members, 1, 80).collect()]
+    want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[4] != b[4] and jaccard_join._possible(a[2], a[3], b[2], b[3], 1, 80)}
+    assert len(out) == len(set(out)) and set(out) == want and len(want) > 10_000
+
+
 def test_jaccard_very_long_and_repeated_rows(spark):
     rng = random.Random(17)
     long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
