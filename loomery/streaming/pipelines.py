@@ -73,7 +73,7 @@ def pattern_matches(events: DataFrame, stages: tuple[str, ...], within_s: int, d
         rows.sort()
         found, waiting = [], []
         for now, seq, kind in rows:
-            if now >= mark:
+            if now >= mark + 0.001:  # the watermark's own millisecond has passed
                 waiting.append((now, seq, kind))
                 continue
             if at >= 0 and now - start > within_s:
@@ -93,7 +93,7 @@ def pattern_matches(events: DataFrame, stages: tuple[str, ...], within_s: int, d
         else:
             state.update((at, start, waiting))
             due = waiting[0][0] if waiting else start + within_s
-            state.setTimeoutTimestamp(int(max(due, mark) * 1000) + 1)
+            state.setTimeoutTimestamp(max(int(due * 1000) - 1, int(mark * 1000) + 1))
         yield pd.DataFrame(found, columns=["k", "seq", "took"])
 
     held = "at int, start double, held array<struct<ts: double, seq: long, kind: string>>"
