@@ -18,7 +18,8 @@ The plan, each step over all rows and none gathering a group:
    that still span several components with some more.  Only
    connectivity is asked for, so a group of thousands of near copies is then one
    component and costs a few pairs a member; pairs inside one component are skipped.  A node that is
-   still open is finished pair by pair if it is small (against the number of children its members would have), and else
+   still open is finished pair by pair with whole sets (step 4 is then done, and only links that join components come out)
+   if it is small (against the number of children its members would have), and else
    extended by the next shared shingle: pairs that go on sharing meet in a child, all others part.  So every
    pair is either tested, bounded out, or already connected.
 4. Pairs whose parity bits show that they cannot share enough are left out
@@ -61,6 +62,8 @@ FULL, FULL_CHILDREN = 2048, 4
 #: Members of a large node that one task compares with a few leaders, or with as many others.
 BLOCK = 128
 _SLICE = 1 << 14
+#: Values of either side that one product of sets holds, and its columns.
+_VALUES, _COLUMNS = 1 << 19, 1 << 12
 _SEEN = 200_000
 
 
@@ -253,60 +256,183 @@ def leader_pairs(members: DataFrame, low: int, high: int, level: int, percent: i
     sent = led.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "doc", "n", "pos", "comp")
     rows = sent.unionByName(dealt.select("h", "block", F.lit(1).alias("side"), "doc", "n", "pos", "comp"))
 
-    return _compared(rows.withColumn("other", F.lit(-1)), level, percent)
-
-
-def full_pairs(members: DataFrame, level: int, percent: int) -> DataFrame:
-    """Possible pairs of members of each node in different components.
-
-    A node's members are dealt into parts of about ``BLOCK``; every two parts, and each with
-    itself, are one cell, so that all cells are of one size whatever the node's.
-    """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
-    dealt = members.select("h", "doc", "n", "pos", "comp", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    own = ["doc", "n", "pos", "comp"]
-    first = dealt.select("h", F.col("part").alias("block"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), F.lit(0).alias("side"), *own)
-    second = dealt.select("h", F.explode(F.sequence(F.lit(0), "part")).alias("block"), F.col("part").alias("other"), F.lit(1).alias("side"), *own)
-    return _compared(first.unionByName(second), level, percent)
+    return _compared(rows, level, percent)
 
 
 def _compared(rows: DataFrame, level: int, percent: int) -> DataFrame:
-    """Possible pairs of the two sides of each cell ``(h, block, other)``.
-
-    The smaller id leads, but for cells of two different parts, where either may.
-    """
+    """Possible pairs of the leaders (side 0) of each block and its members after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, led = None, []
         for batch in batches:
-            place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "other", "side")])
+            place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "side")])
             block = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("doc", "n", "pos", "comp")])
             for part in np.split(np.arange(place.shape[1]), np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1):
                 if not len(part):
                     continue
-                group, side, own = tuple(place[:3, part[0]].tolist()), place[3, part[0]], block[:, part]
+                group, side, own = tuple(place[:2, part[0]].tolist()), place[2, part[0]], block[:, part]
                 if group != now:
                     now, led = group, []
                 if side == 0:
                     led.append(own)
                     continue
-                either = group[2] >= 0 and group[1] != group[2]
                 step = max(1, 2_000_000 // len(part))
                 for leaders in led:
                     for k in range(0, leaders.shape[1], step):
                         l, m = leaders[:, k : k + step, None], own[:, None, :]
-                        ordered = (l[0] != m[0]) if either else (l[0] < m[0])
-                        i, j = np.nonzero(ordered & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], level, percent))
+                        i, j = np.nonzero((l[0] < m[0]) & (l[3] != m[3]) & _possible(l[1], l[2], m[1], m[2], level, percent))
                         if len(i):
                             yield _pair_batch(leaders[0, k : k + step][i], own[0][j])
 
-    return rows.repartition("h", "block", "other").sortWithinPartitions("h", "block", "other", "side", "doc").mapInArrow(run, "a long, b long")
+    return rows.repartition("h", "block").sortWithinPartitions("h", "block", "side", "doc").mapInArrow(run, "a long, b long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``: a product of their incidence matrices.
+
+    Some sets and some columns are taken at a time, so memory is bounded by the sets.
+    """
+    out = np.zeros((len(left), len(right)), np.int64)
+    for rows in _runs(left):
+        for columns in _runs(right):
+            own = left[rows] + right[columns]
+            values, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(v) for v in own])
+            order = np.argsort(values, kind="stable")
+            code = np.cumsum(np.diff(values[order], prepend=values[order[0]]) != 0)
+            twice = np.bincount(code)[code] > 1
+            owner, code = owner[order][twice], code[twice]
+            code = np.cumsum(np.diff(code, prepend=code[:1]) != 0)
+            cut, some = len(left[rows]), np.zeros((len(left[rows]), len(right[columns])), np.int64)
+            for k in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+                x = np.zeros((len(own), _COLUMNS), np.float32)
+                part = slice(*np.searchsorted(code, (k, k + _COLUMNS)))
+                x[owner[part], code[part] - k] = 1
+                some += (x[:cut] @ x[cut:].T).astype(np.int64)  # whole numbers up to _COLUMNS, exact
+            out[rows, columns] = some
+    return out
+
+
+def _runs(sets: list[np.ndarray]) -> Iterator[slice]:
+    """Slices of ``sets`` with up to ``_VALUES`` values, or one set."""
+    low, held = 0, 0
+    for k, values in enumerate(sets):
+        if k > low and held + len(values) > _VALUES:
+            yield slice(low, k)
+            low, held = k, 0
+        held += len(values)
+    yield slice(low, len(sets))
+
+
+def linked_sets(left: list[np.ndarray], right: list[np.ndarray], asked: np.ndarray, percent: int) -> np.ndarray:
+    """Of the pairs marked in ``asked``, those that link: parity bits first, then whole sets."""
+    out = np.zeros(asked.shape, bool)
+    rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+    if not len(rows):
+        return out
+    asked, left, right = asked[np.ix_(rows, columns)], [left[i] for i in rows], [right[j] for j in columns]
+    n, m = np.array([len(v) for v in left]), np.array([len(v) for v in right])
+    need = needed_overlap(n[:, None] + m, percent)
+    size = parity_size(max(n.max(), m.max()))
+    x, y = (np.stack([np.frombuffer(parity_bits(v, size), np.uint8) for v in own]) for own in (left, right))
+    for i in range(len(left)):
+        odd = np.bitwise_count(x[i] ^ y).sum(axis=1, dtype=np.int64)
+        asked[i] &= (n[i] + m - odd) // 2 >= need[i]
+    i, j = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+    if len(i):
+        at = np.ix_(i, j)
+        out[np.ix_(rows[i], columns[j])] = asked[at] & (overlaps([left[k] for k in i], [right[k] for k in j]) >= need[at])
+    return out
+
+
+class Forest:
+    """Components joined so far; a link within one is not needed."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (parent := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(parent, parent)
+            x = parent
+        return x
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """The places of those links of ``a`` and ``b`` that join two components."""
+        kept = []
+        for k in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_index=True)[1].tolist() if len(a) else []:
+            p, q = self.root(int(a[k])), self.root(int(b[k]))
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                kept.append(k)
+        return kept
+
+
+def full_pairs(members: DataFrame, level: int, percent: int) -> DataFrame:
+    """Pairs of members of each node in different components: the possible ones, or, of
+    members with their whole sets in ``items``, links that connect all that link.
+
+    A node's members are dealt into parts of about ``BLOCK``; every two parts, and each with
+    itself, are one cell, so that all cells are of one size whatever the node's.  With sets, every possible
+    pair of a cell is tested there and a cell gives fewer links than it has members, however
+    many of its pairs are possible or link.
+    """
+    whole = ["items"] if "items" in members.columns else []
+    parts = F.greatest(F.lit(1), F.ceil(F.col("f") / BLOCK)).cast("int")
+    dealt = members.select("h", "doc", "n", "pos", "comp", *whole, parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = (F.col("part") > F.col("met")).cast("int").alias("side")
+    rows = met.select("h", F.least("part", "met").alias("block"), F.greatest("part", "met").alias("other"), side, "doc", "n", "pos", "comp", *whole)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray]]]:
+        now, held, sets = None, [], []
+        for batch in batches:
+            place = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("h", "block", "other")])
+            own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("side", "doc", "n", "pos", "comp")])
+            for part in np.split(np.arange(place.shape[1]), np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1):
+                if not len(part):
+                    continue
+                group = tuple(place[:, part[0]].tolist())
+                if held and group != now:
+                    yield now[1] == now[2], np.concatenate(held, axis=1), sets
+                    held, sets = [], []
+                now = group
+                held.append(own[:, part])
+                if whole:
+                    sets += [np.frombuffer(batch.column("items")[int(i)].as_py(), np.uint64) for i in part]
+        if held:
+            yield now[1] == now[2], np.concatenate(held, axis=1), sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, (side, doc, n, pos, comp), sets in cells(batches):
+            left, forest = np.flatnonzero(side == 0), Forest()
+            right = left if alone else np.flatnonzero(side == 1)
+            step = max(1, 2_000_000 // max(len(right), 1))
+            for k in range(0, len(left), step):
+                l, m = left[k : k + step, None], right[None, :]
+                asked = ((doc[l] < doc[m]) if alone else (doc[l] != doc[m])) & (comp[l] != comp[m]) & _possible(n[l], pos[l], n[m], pos[m], level, percent)
+                if whole:
+                    asked = linked_sets([sets[i] for i in l[:, 0]], [sets[j] for j in right], asked, percent)
+                i, j = np.nonzero(asked)
+                a, b = l[i, 0], right[j]
+                if whole:
+                    kept = forest.joining(comp[a], comp[b])
+                    a, b = a[kept], b[kept]
+                if len(a):
+                    yield _pair_batch(doc[a], doc[b])
+
+    return rows.repartition("h", "block", "other").sortWithinPartitions("h", "block", "other").mapInArrow(run, "a long, b long")
+
+
+def with_sets(docs: DataFrame, ranks, members: DataFrame) -> DataFrame:
+    """Members with their whole sets in the global order, ``items``."""
+    ends = staged(members.select("doc").distinct(), "jaccard-members")
+    sets = ordered_sets(join_ids(docs, ends, "doc", "left_semi"), ranks).select("doc", F.col("n").alias("whole"), "items")
+    # An id with several texts has several sets; a node's member is the one of its size.
+    return members.join(sets, "doc").filter("n = whole").drop("whole")
 
 
 def children(docs: DataFrame, ranks, members: DataFrame, level: int, percent: int) -> DataFrame:
     """The members of open nodes, posted once for each shingle that may be their next shared one."""
-    ends = staged(members.select("doc").distinct(), "jaccard-extended")
-    sets = ordered_sets(join_ids(docs, ends, "doc", "left_semi"), ranks).select("doc", F.col("n").alias("whole"), "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,8 +447,7 @@ def children(docs: DataFrame, ranks, members: DataFrame, level: int, percent: in
                 columns = [pa.array(made.view(np.int64)), *(pa.array(np.full(len(nexts), x, k)) for x, k in ((doc[i], np.int64), (n, np.int32)))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(low, low + len(nexts), dtype=np.int32))], names=["h", "doc", "n", "pos"])
 
-    # An id with several texts has several sets; a node's member is the one of its size.
-    joined = members.select("h", "doc", "n", "pos").join(sets, "doc").filter("n = whole").select("h", "doc", "pos", "items")
+    joined = with_sets(docs, ranks, members.select("h", "doc", "n", "pos")).select("h", "doc", "pos", "items")
     return joined.mapInArrow(run, "h long, doc long, n int, pos int")
 
 
@@ -366,9 +491,13 @@ class PrefixTree:
         return out
 
 
-def parity_bits(values: np.ndarray) -> bytes:
-    """A bit for each of about as many buckets as values: whether an odd number of values falls there."""
-    size = max(1 << max(len(values) - 1, 1).bit_length(), 512)
+def parity_size(n: int) -> int:
+    return max(1 << max(int(n) - 1, 1).bit_length(), 512)
+
+
+def parity_bits(values: np.ndarray, size: int | None = None) -> bytes:
+    """A bit for each of ``size`` buckets, or about as many as values: whether an odd number of values falls there."""
+    size = size or parity_size(len(values))
     odd = np.bincount((values >> np.uint64(8)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -476,23 +605,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
         parts = {r["full"] for r in open_.select("full").distinct().collect()}
         if not parts:
             break
-        found = []
+        found, links = [], []
         if led < MORE_LEADERS:
             members = staged(join_ids(named, open_.select("h"), "h", "left_semi"), "jaccard-open")
             found.append(leader_pairs(members, led, MORE_LEADERS, level, percent))
             members, led, parts = members.drop("comp"), MORE_LEADERS, set()
         if True in parts:
             rest = staged(join_ids(named, open_.filter("full").select("h"), "h", "left_semi"), "jaccard-open")
-            found.append(full_pairs(rest, level, percent))
+            links.append(staged(full_pairs(with_sets(slim, ranks, rest), level, percent).distinct(), "jaccard-links"))
         if False in parts:
             deeper = staged(join_ids(named, open_.filter("not full").select("h"), "h", "left_semi"), "jaccard-open")
             level, led = level + 1, LEADERS
             members = staged(nodes(children(slim, ranks, deeper, level - 1, percent), level, percent), "jaccard-nodes")
             known = deeper.select("doc", "comp").distinct()
             found.append(_first_pairs(members.join(known, "doc"), level, percent))
-        pairs = staged(reduce(DataFrame.unionByName, found).distinct(), "jaccard-pairs")
-        more = verify(slim, ranks, pairs, percent).select(F.col("a").alias("src"), F.col("b").alias("dst")) if pairs.limit(1).collect() else pairs
-        if more.limit(1).collect():
+        if found:
+            pairs = staged(reduce(DataFrame.unionByName, found).distinct(), "jaccard-pairs")
+            if pairs.limit(1).collect():
+                links.append(verify(slim, ranks, pairs, percent))
+        more = reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst")) if links else None
+        if more is not None and more.limit(1).collect():
             # The old labels stand for the old edges.
             stars = labels.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
             labels = staged(connected_components(stars.unionByName(more)), "jaccard-labels")

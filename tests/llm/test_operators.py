@@ -663,6 +663,77 @@ def test_cells_compare_every_two_members_of_other_components_once(spark):
     assert len(out) == len(set(out)) and set(out) == want and len(want) > 10_000
 
 
+def test_jaccard_open_groups_give_fewer_links_than_members(spark, monkeypatch):
+    """Versions with nine words of four choices each: hundreds share a shingle, few of their pairs link, many miss by little."""
+    rng = random.Random(24)
+    rows = []
+    for k in range(500):
+        text = [f"b{j}" for j in range(120)]
+        for slot in range(9):
+            text[6 + 13 * slot] = f"s{slot}c{rng.randrange(4)}"
+        rows.append((k, " ".join(text)))
+    seen, full = [], jaccard_join.full_pairs
+
+    def count(members, level, percent):
+        out = full(members, level, percent)
+        seen.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "full_pairs", count)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1024)  # one cell a node
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs(spark, rows)).collect()}
+    assert out == components_by_force(rows) and len(set(out.values())) > 100
+    assert seen and all(0 < made < given for given, made in seen)
+
+
+def test_cells_with_sets_connect_what_links(spark):
+    """Parts of several sizes: the links given connect what all links of a node connect, from few rows."""
+    rng = random.Random(25)
+    rows, sets = [], {}
+    for h, size in ((1, 300), (2, 40)):
+        for d in range(size):
+            form = 1000 * rng.randrange(1, 5)
+            own = set(range(90)) | set(range(form, form + 20)) if d % 3 else set(rng.sample(range(10_000), 110))
+            own -= set(rng.sample(range(90), 3))
+            values = np.array(sorted(own), np.uint64)
+            sets[1000 * h + d] = own
+            rows.append((h, 1000 * h + d, len(own), rng.randrange(4), d % 200, size, values.tobytes()))
+    members = spark.createDataFrame(rows, "h long, doc long, n int, pos int, comp long, f long, items binary")
+    out = {(r["a"], r["b"]) for r in jaccard_join.full_pairs(members, 1, 80).collect()}
+    every, given = jaccard_join.Forest(), jaccard_join.Forest()
+    linked = 0
+    for a, b in itertools.combinations(rows, 2):
+        x, y = sets[a[1]], sets[b[1]]
+        if a[0] == b[0] and a[4] != b[4] and jaccard_join._possible(a[2], a[3], b[2], b[3], 1, 80) and 100 * len(x & y) >= 80 * len(x | y):
+            linked += 1
+            every.joining(np.array([a[0] * 10_000 + a[4]]), np.array([b[0] * 10_000 + b[4]]))
+        elif (a[1], b[1]) in out or (b[1], a[1]) in out:
+            raise AssertionError("a pair that does not link")
+    comp = {r[1]: r[0] * 10_000 + r[4] for r in rows}
+    for a, b in out:
+        given.joining(np.array([comp[a]]), np.array([comp[b]]))
+    names = sorted(set(comp.values()))
+    same = [[f.root(x) for x in names] for f in (every, given)]
+    assert len(set(zip(*same, strict=True))) == len(set(same[0])) == len(set(same[1]))
+    assert linked > 2000 and len(out) < 9 * 300
+
+
+@pytest.mark.parametrize(("values", "columns"), [(1 << 19, 1 << 12), (50, 7)])
+def test_overlaps_and_linked_sets_equal_intersections(monkeypatch, values, columns):
+    monkeypatch.setattr(jaccard_join, "_VALUES", values)
+    monkeypatch.setattr(jaccard_join, "_COLUMNS", columns)
+    rng = random.Random(26)
+    for _ in range(30):
+        base = rng.sample(range(1 << 40), 60)
+        left, right = ([np.array(rng.sample(base, rng.randrange(1, 60)) + rng.sample(range(1 << 41, 1 << 42), rng.randrange(5)), np.uint64) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        left[0] = right[0]
+        want = np.array([[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left])
+        assert (jaccard_join.overlaps(left, right) == want).all()
+        asked = np.array([[rng.random() < 0.7 for _ in right] for _ in left])
+        links = np.array([[100 * want[i, j] >= 80 * (len(x) + len(y) - want[i, j]) for j, y in enumerate(right)] for i, x in enumerate(left)])
+        assert (jaccard_join.linked_sets(left, right, asked, 80) == (asked & links)).all()
+
+
 def test_jaccard_very_long_and_repeated_rows(spark):
     rng = random.Random(17)
     long = [f"w{rng.randrange(5000)}" for _ in range(40_000)]
