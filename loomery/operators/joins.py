@@ -7,6 +7,8 @@ exact condition follows the equi-join on (key, bucket).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +47,18 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with ``values`` of the latest right row of its key at or before it."""
-    reference = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"))
+    """Each left row with ``values`` of the latest right row of its key at or before it.
+
+    Of right rows of one key and time that with the greatest ``values``, compared in
+    their order without those that hold maps or variants, counts.  A row whose key or
+    time is null matches nothing; left rows stay.
+    """
+    known = right.filter(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    reference = known.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"))
     probe = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
     both = reference.unionByName(probe, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ties = [f"_value.{v}" for v in values if not re.search(r"\b(map<|variant\b)", right.select(v).schema[0].dataType.simpleString())]
+    order = Window.partitionBy(key).orderBy("_t", "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("_value", F.last("_value", ignorenulls=True).over(order)).filter("_side = 1")
     return filled.select("_row.*", *[F.col(f"_value.{v}").alias(v) for v in values])
 

@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomery.errors import BadRequest
 from loomery.operators import joins
 from loomery.operators.skew import join_back
+from loomery.suites import joins as suite
 
 
 def frames(spark, left, right):
@@ -43,6 +46,38 @@ def test_asof_is_inclusive(spark):
     assert out == {250: 200, 200: 200, 999: 300, 5: None}
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_asof_of_tied_rows_does_not_depend_on_their_order(spark, step):
+    left, _ = frames(spark, [("r", 5), ("r", 9)], [])
+    right = [("r", 4, 1, {"a": 1}), ("r", 4, 2, {"a": 2}), ("r", 4, 10, None), ("r", 4, None, {"a": 0}), ("r", 7, 3, {"a": 3})]
+    right = spark.createDataFrame(right[::step], "k string, rt long, seq long, tags map<string, int>").coalesce(1)
+    out = {r["lt"]: (r["seq"], r["tags"]) for r in joins.asof_join(left, right, "k", "lt", "rt", ["seq", "tags"]).collect()}
+    assert out == {5: (10, None), 9: (3, {"a": 3})}
+
+
+def test_asof_rows_without_key_or_time_match_nothing(spark):
+    left, right = frames(spark, [("r", 250), (None, 250), ("r", None), ("s", 1)], [("r", 100), (None, 100), ("r", None), ("s", None)])
+    out = {(r["k"], r["lt"]): (r["rt"], r["x"]) for r in joins.asof_join(left, right.withColumn("x", F.lit(1)), "k", "lt", "rt", ["rt", "x"]).collect()}
+    assert out == {("r", 250): (100, 1), (None, 250): (None, None), ("r", None): (None, None), ("s", 1): (None, None)}
+
+
+def test_asof_query_equals_its_sql_without_keys_or_times_and_gives_the_last_of_tied_rows(spark, tmp_path):
+    rng, kinds = random.Random(8), ["purchase", "signup"]
+    rows = [(i, rng.choice([None, *range(5)]), rng.choice([None, *range(60)]), rng.choice(kinds)) for i in range(400)]
+    table = "SELECT id AS event_id, timestamp_seconds(second) AS ts, u AS user_id, kind AS event_type, 1.5D AS value, '' AS props FROM {rows}"
+    spark.sql(table, rows=spark.createDataFrame(rows, "id long, u long, second long, kind string").orderBy(F.rand(3))).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    out = {r["l_seq"]: r for r in suite.asof(spark, str(tmp_path)).collect()}
+    sql = duck.execute(f"SELECT k, l_seq, l_t, r_t FROM ({suite.ORACLES['asof']})").fetchall()
+    assert sorted(map(repr, sql)) == sorted(repr((r["k"], r["l_seq"], r["l_t"], r["r_t"])) for r in out.values())
+    last = {}
+    for i, u, second, kind in rows:
+        if kind == "signup" and second is not None:
+            last[u, second] = i
+    assert all(r["r_seq"] == (None if r["r_t"] is None else last[r["k"], r["r_t"]]) for r in out.values())
+
+
 def test_join_back_with_a_hot_key(spark):
     rows = spark.createDataFrame([("hot" if k % 2 else f"k{k}", k) for k in range(5000)] + [(None, -1)], "key string, v long")
     groups = rows.filter("key is not null").groupBy("key").count().withColumnRenamed("count", "n")
